@@ -48,3 +48,30 @@ def text_blocks(lines: DataFrame, block_lines: int = BLOCK_LINES) -> DataFrame:
             .agg(one.alias("a")).withColumn("a", kept)
             .select("file_id", "block", F.col("a")[0]["line"].alias("first_line"), F.size("a").alias("n_lines"),
                     F.array_join(F.transform("a", lambda x: x["text"]), "\n").alias("text")))
+
+
+def blocks_with_context(lines: DataFrame, before: int, after: int, block_lines: int = BLOCK_LINES) -> DataFrame:
+    """file_id, block, first_line, before, own, after, more_before, more_after: a block's own text, and that of some lines of the neighbouring
+    blocks. ``first_line`` is the number of the first own line; more_... tell whether there are such lines at all.
+
+    Only lines within ``before`` and ``after`` of a block's end are sent twice, so the volume stays that of the lines.
+    """
+    rows = clean_lines(lines)
+    at = F.floor((F.col("line") - 1) / block_lines).cast("int")
+    place = F.pmod(F.col("line") - 1, F.lit(block_lines))
+    blocks = F.array_compact(F.array(at, F.when((place < after) & (at > 0), at - 1), F.when(place >= block_lines - before, at + 1)))
+    part = lambda cond: F.array_join(F.transform(F.filter("a", cond), lambda x: x["text"]), "\n")
+    first, last = F.col("block") * block_lines + 1, (F.col("block") + 1) * block_lines
+    kept = F.filter("a", lambda x, i: (i == F.size("a") - 1) | (F.col("a")[i + 1]["line"] != x["line"]))
+    return (rows.select("file_id", "line", "text", F.explode(blocks).alias("block"))
+            .groupBy("file_id", "block").agg(F.array_sort(F.collect_set(F.struct("line", "text"))).alias("a"))
+            .withColumn("a", kept)
+            .select("file_id", "block", first.alias("first_line"), part(lambda x: x["line"] < first).alias("before"), part(lambda x: x["line"].between(first, last)).alias("own"),
+                    part(lambda x: x["line"] > last).alias("after"), F.exists("a", lambda x: x["line"] < first).alias("more_before"),
+                    F.exists("a", lambda x: x["line"] > last).alias("more_after"), F.exists("a", lambda x: x["line"].between(first, last)).alias("real"))
+            .where("real").drop("real"))
+
+
+def indexed_lines(lines: DataFrame, files: DataFrame) -> DataFrame:
+    """The rows of the indexed files."""
+    return clean_lines(lines).join(current_files(files).select("file_id"), "file_id", "left_semi")

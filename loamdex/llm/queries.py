@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import credentials, spans
+from . import credentials, docpairs, spans
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +21,15 @@ def p1_redacted(spark: SparkSession, d: str) -> DataFrame:
     return credentials.find_credentials(table(spark, d, "file_lines"), table(spark, d, "files")).select("file_id", "line", "masked", "rules")
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return docpairs.documented(table(spark, d, "file_lines"), table(spark, d, "files"), table(spark, d, "symbols")).select("file_id", "line").distinct()
+
+
+def p3_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Signature, body and description of each documented function."""
+    return docpairs.pairs(table(spark, d, "file_lines"), table(spark, d, "files"), table(spark, d, "symbols"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return spans.shared_pairs(table(spark, d, "file_lines"), table(spark, d, "files"))
 
@@ -35,7 +44,7 @@ def p4_share(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_redacted, p4_found, p4_spans, p4_share)}
+    return {f.__name__: f for f in (p1_found, p1_redacted, p3_found, p3_pairs, p4_found, p4_spans, p4_share)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BLOCK_LINES, clean_lines, current_files
+from .common import BLOCK_LINES, blocks_with_context, current_files, indexed_lines
 
 SPAN, RUN, GEAR, LEAST = 200, 40, 24, 59
 KEY = SPAN - RUN + 1
@@ -96,20 +96,7 @@ class Text:
 
 
 def _neighbours(lines: DataFrame, block_lines: int) -> DataFrame:
-    """file_id, block, before, own, after: the text of a block's own lines, and of some lines around them."""
-    at = F.floor((F.col("line") - 1) / block_lines).cast("int")
-    place = F.pmod(F.col("line") - 1, F.lit(block_lines))
-    blocks = F.array_compact(F.array(at, F.when((place < AFTER) & (at > 0), at - 1), F.when(place >= block_lines - BEFORE, at + 1)))
-    part = lambda cond: F.array_join(F.transform(F.filter("a", cond), lambda x: x["text"]), "\n")
-    first, last = F.col("block") * block_lines + 1, (F.col("block") + 1) * block_lines
-    kept = F.filter("a", lambda x, i: (i == F.size("a") - 1) | (F.col("a")[i + 1]["line"] != x["line"]))
-    return (lines.select("file_id", "line", "text", F.explode(blocks).alias("block"))
-            .groupBy("file_id", "block").agg(F.array_sort(F.collect_set(F.struct("line", "text"))).alias("a"))
-            .withColumn("a", kept)
-            .select("file_id", "block", part(lambda x: x["line"] < first).alias("before"), part(lambda x: x["line"].between(first, last)).alias("own"),
-                    part(lambda x: x["line"] > last).alias("after"), F.exists("a", lambda x: x["line"] < first).alias("more_before"),
-                    F.exists("a", lambda x: x["line"] > last).alias("more_after"), F.exists("a", lambda x: x["line"].between(first, last)).alias("real"))
-            .where("real").drop("real"))
+    return blocks_with_context(lines, BEFORE, AFTER, block_lines)
 
 
 def _whole(before: str, own: str, after: str, more_before: bool, more_after: bool) -> tuple[str, int, int]:
@@ -166,10 +153,6 @@ def _pairs_of_sets(sets: DataFrame) -> DataFrame:
     return spread.select(F.col("a").alias("file_id_a"), F.explode(F.slice("ids", F.col("i") + 2, F.size("ids"))).alias("file_id_b")).distinct()
 
 
-def _indexed_lines(lines: DataFrame, files: DataFrame) -> DataFrame:
-    return clean_lines(lines).join(current_files(files).select("file_id"), "file_id", "left_semi")
-
-
 def _shared(lines: DataFrame, block_lines: int) -> DataFrame:
     """k, s: the digests that occur in more than one file, and where."""
     keys = _neighbours(lines, block_lines).mapInPandas(_chunks, "k bigint, h bigint, file_id bigint, block int, at int")
@@ -187,7 +170,7 @@ def shared_pairs(lines: DataFrame, files: DataFrame, block_lines: int = BLOCK_LI
     Null texts are empty lines, repeated rows count once, files shorter than SPAN give nothing, empty tables no rows. A stretch repeated
     in one file only isn't shared.
     """
-    rows = _indexed_lines(lines, files)
+    rows = indexed_lines(lines, files)
     shared = _shared(rows, block_lines).persist()
     flat = shared.select("k", F.explode("s").alias("x")).select("k", "x.*")
     right = flat.where("h <> 0").groupBy("h").agg(_ids(F.col("file_id")).alias("ids")).where(F.size("ids") > 1)
@@ -206,7 +189,7 @@ def _around(rows: DataFrame, places: DataFrame, block_lines: int) -> DataFrame:
 def shared_spans(lines: DataFrame, files: DataFrame, block_lines: int = BLOCK_LINES) -> DataFrame:
     """file_id, path, start, length: the maximal stretches of each file (in code points from 0) of which every window of SPAN characters
     also stands in another file."""
-    rows = _indexed_lines(lines, files)
+    rows = indexed_lines(lines, files)
     shared = _shared(rows, block_lines).persist()
     flat = shared.select("k", F.explode("s").alias("x")).select("k", "x.*")
     right = flat.where("h <> 0").groupBy("h").agg((F.min("file_id") != F.max("file_id")).alias("both")).where("both").select("h", F.lit(True).alias("goes_on"))
@@ -229,7 +212,7 @@ def shared_spans(lines: DataFrame, files: DataFrame, block_lines: int = BLOCK_LI
 
 def shared_share(lines: DataFrame, files: DataFrame, block_lines: int = BLOCK_LINES) -> DataFrame:
     """file_id, path, n_chars, shared_chars: of each indexed file, how many of its characters also stand in another file."""
-    rows = _indexed_lines(lines, files)
+    rows = indexed_lines(lines, files)
     n = rows.dropDuplicates(["file_id", "line"]).groupBy("file_id").agg((F.sum(F.length("text") + 1) - 1).alias("n_chars"))
     # stretches with less than SPAN between their starts can lap over each other
     v = Window.partitionBy("file_id").orderBy("start")
