@@ -35,19 +35,26 @@ def clean_lines(lines: DataFrame) -> DataFrame:
         F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
-def text_blocks(lines: DataFrame, block_lines: int = BLOCK_LINES) -> DataFrame:
-    """file_id, block, first_line, n_lines, text: the distinct lines of each block in order, joined by line ends.
+def text_blocks(lines: DataFrame, heads: DataFrame | None = None, block_lines: int = BLOCK_LINES) -> DataFrame:
+    """file_id, block, n_lines, text[, head]: the distinct lines of each block in order, joined by line ends.
 
-    One shuffle on (file_id, block), so that a file with a third of all lines is spread like any other data. Of
-    contradicting texts of one line the greatest in byte order counts.
+    One shuffle on (file_id, block), so that a file with a third of all lines is spread like any other data. heads (file_id, head) goes through the
+    same shuffle as line 0 of each file's first block; without it the text would have to move once more for a join. Of contradicting texts of one line
+    the greatest in byte order counts.
     """
-    one = F.array_sort(F.collect_set(F.struct("line", "text")))
+    rows = clean_lines(lines)
+    if heads is not None:
+        rows = rows.where("line >= 1").unionByName(heads.select("file_id", F.lit(0).alias("line"), F.col("head").alias("text")))
     # keeps the last of entries alike in line
     kept = F.filter("a", lambda x, i: (i == F.size("a") - 1) | (F.col("a")[i + 1]["line"] != x["line"]))
-    return (clean_lines(lines).groupBy("file_id", F.floor((F.col("line") - 1) / block_lines).cast("int").alias("block"))
-            .agg(one.alias("a")).withColumn("a", kept)
-            .select("file_id", "block", F.col("a")[0]["line"].alias("first_line"), F.size("a").alias("n_lines"),
-                    F.array_join(F.transform("a", lambda x: x["text"]), "\n").alias("text")))
+    out = (rows.groupBy("file_id", F.floor((F.greatest(F.col("line"), F.lit(1)) - 1) / block_lines).cast("int").alias("block"))
+           .agg(F.array_sort(F.collect_set(F.struct("line", "text"))).alias("a")).withColumn("a", kept))
+    if heads is None:
+        return out.select("file_id", "block", F.size("a").alias("n_lines"), F.array_join(F.transform("a", lambda x: x["text"]), "\n").alias("text"))
+    headed = F.col("a")[0]["line"] == 0
+    body = F.when(headed, F.slice("a", F.lit(2), F.size("a"))).otherwise(F.col("a"))
+    return (out.select("file_id", "block", F.when(headed, F.col("a")[0]["text"]).alias("head"), body.alias("a"))
+            .select("file_id", "block", "head", F.size("a").alias("n_lines"), F.array_join(F.transform("a", lambda x: x["text"]), "\n").alias("text")))
 
 
 def blocks_with_context(lines: DataFrame, before: int, after: int, block_lines: int = BLOCK_LINES) -> DataFrame:

@@ -373,11 +373,12 @@ def documented(lines: DataFrame, files: DataFrame, symbols: DataFrame, block_lin
     gives one row. Lines have to be numbered without gaps from 1, as the tables' are. A body that goes on past the neighbouring block's lines
     is put together from the lines themselves.
     """
-    rows = indexed_lines(lines, files)
     wanted = (symbols.where(F.col("kind").isin("function", "method") & F.col("file_id").isNotNull() & (F.col("line") >= 1))
               .select("file_id", F.floor((F.col("line") - 1) / block_lines).cast("int").alias("block"), F.struct(F.col("line").cast("int").alias("line"), "name", "signature").alias("s"))
               .groupBy("file_id", "block").agg(F.collect_set("s").alias("symbols")))
-    blocks = blocks_with_context(rows, CONTEXT, CONTEXT, block_lines).join(wanted, ["file_id", "block"]).join(current_files(files).select("file_id", "language"), "file_id")
+    # the files are joined to the symbols, so that the text moves once
+    wanted = wanted.join(current_files(files).select("file_id", "language"), "file_id")
+    blocks = blocks_with_context(lines, CONTEXT, CONTEXT, block_lines).join(wanted, ["file_id", "block"])
     found = blocks.mapInPandas(_pair_batches, "file_id bigint, line int, name string, signature string, body string, description string, whole boolean")
     return found
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import credentials, docpairs, spans
+from . import credentials, docpairs, spans, syntax
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,8 +43,21 @@ def p4_share(spark: SparkSession, d: str) -> DataFrame:
     return spans.shared_share(table(spark, d, "file_lines"), table(spark, d, "files"))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return syntax.invalid_files(table(spark, d, "file_lines"), table(spark, d, "files")).select("file_id")
+
+
+def p5_files(spark: SparkSession, d: str) -> DataFrame:
+    """What is wrong with each such file, and what language it is instead."""
+    return syntax.invalid_files(table(spark, d, "file_lines"), table(spark, d, "files"))
+
+
+def p5_rates(spark: SparkSession, d: str) -> DataFrame:
+    return syntax.invalid_rates(table(spark, d, "file_lines"), table(spark, d, "files"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_redacted, p3_found, p3_pairs, p4_found, p4_spans, p4_share)}
+    return {f.__name__: f for f in (p1_found, p1_redacted, p3_found, p3_pairs, p4_found, p4_spans, p4_share, p5_found, p5_files, p5_rates)}
 
 
 def oracle_sql() -> dict[str, str]:

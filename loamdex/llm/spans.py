@@ -22,9 +22,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BLOCK_LINES, blocks_with_context, current_files, indexed_lines
+from .common import BLOCK_LINES, blocks_with_context, clean_lines, current_files, indexed_lines
 
-SPAN, RUN, GEAR, LEAST = 200, 40, 24, 59
+SPAN, RUN, GEAR, LEAST = 200, 52, 16, 31
 KEY = SPAN - RUN + 1
 assert 2 * (RUN - 1) + LEAST + RUN + GEAR - 1 <= SPAN
 BEFORE, AFTER = RUN, SPAN + RUN  # lines of the neighbours; each has one character at least, its line end
@@ -170,12 +170,13 @@ def shared_pairs(lines: DataFrame, files: DataFrame, block_lines: int = BLOCK_LI
     Null texts are empty lines, repeated rows count once, files shorter than SPAN give nothing, empty tables no rows. A stretch repeated
     in one file only isn't shared.
     """
-    rows = indexed_lines(lines, files)
-    shared = _shared(rows, block_lines).persist()
-    flat = shared.select("k", F.explode("s").alias("x")).select("k", "x.*")
+    rows, indexed = clean_lines(lines), current_files(files).select("file_id")
+    # few places are left here, so this is where files that don't count are cheap to leave out
+    flat = _shared(rows, block_lines).select("k", F.explode("s").alias("x")).select("k", "x.*").join(indexed, "file_id", "left_semi").persist()
     right = flat.where("h <> 0").groupBy("h").agg(_ids(F.col("file_id")).alias("ids")).where(F.size("ids") > 1)
     # digests whose places don't all go on alike to the right may do so to the left
-    mixed = shared.where(F.exists("s", lambda x: (x["h"] != F.col("s")[0]["h"]) | (x["h"] == 0))).select(F.explode("s").alias("x")).select("x.*")
+    alike = flat.groupBy("k").agg(F.min("h").alias("a"), F.max("h").alias("b")).where((F.col("a") != F.col("b")) | (F.col("a") == 0) | (F.col("b") == 0))
+    mixed = flat.join(alike.select("k"), "k", "left_semi")
     left = _around(rows, mixed, block_lines).groupBy("w").agg(_ids(F.col("file_id")).alias("ids")).where(F.size("ids") > 1)
     return _pairs_of_sets(right.select("ids").unionByName(left.select("ids")))
 
@@ -189,9 +190,8 @@ def _around(rows: DataFrame, places: DataFrame, block_lines: int) -> DataFrame:
 def shared_spans(lines: DataFrame, files: DataFrame, block_lines: int = BLOCK_LINES) -> DataFrame:
     """file_id, path, start, length: the maximal stretches of each file (in code points from 0) of which every window of SPAN characters
     also stands in another file."""
-    rows = indexed_lines(lines, files)
-    shared = _shared(rows, block_lines).persist()
-    flat = shared.select("k", F.explode("s").alias("x")).select("k", "x.*")
+    rows, indexed = clean_lines(lines), current_files(files).select("file_id")
+    flat = _shared(rows, block_lines).select("k", F.explode("s").alias("x")).select("k", "x.*").join(indexed, "file_id", "left_semi").persist()
     right = flat.where("h <> 0").groupBy("h").agg((F.min("file_id") != F.max("file_id")).alias("both")).where("both").select("h", F.lit(True).alias("goes_on"))
     marked = flat.join(right, "h", "left").withColumn("goes_on", F.coalesce("goes_on", F.lit(False)))
     w = Window.partitionBy("file_id", "block").orderBy("at")
