@@ -82,3 +82,14 @@ def blocks_with_context(lines: DataFrame, before: int, after: int, block_lines:
 def indexed_lines(lines: DataFrame, files: DataFrame) -> DataFrame:
     """The rows of the indexed files."""
     return clean_lines(lines).join(current_files(files).select("file_id"), "file_id", "left_semi")
+
+
+#: Most rows of a side that is broadcast; its rows have a few numbers each, so this is a few MB.
+SMALL_ROWS = 200_000
+
+
+def small(df: DataFrame, most: int = SMALL_ROWS) -> DataFrame:
+    """df, marked for a broadcast if it has been counted and has at most ``most`` rows; beyond, the join shuffles both sides. df is kept, so counting
+    it costs nothing twice."""
+    kept = df.persist()
+    return F.broadcast(kept) if kept.limit(most + 1).count() <= most else kept

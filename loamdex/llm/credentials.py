@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import clean_lines, current_files
+from .common import clean_lines, current_files, small
 
 MASK = "********"
 MAX_DEPTH = 5  # layers of encoding inside one another
@@ -361,8 +361,8 @@ def find_credentials(lines: DataFrame, files: DataFrame) -> DataFrame:
     ranges = (markers.withColumn("last", F.when(~F.lead("opens").over(w), F.lead("line").over(w)))
               .where(F.col("opens") & F.col("last").isNotNull() & (F.col("last") - F.col("line") <= PEM_LINES))
               .select("file_id", F.col("line").alias("first"), "last"))
-    inside = (ranges.select("file_id", "first", "last", F.explode(F.sequence("first", "last")).alias("line"))
-              .join(rows, ["file_id", "line"]).dropDuplicates(["file_id", "first", "line"]))
+    wanted = ranges.select("file_id", "first", "last", F.explode(F.sequence("first", "last")).alias("line"))
+    inside = rows.join(small(wanted), ["file_id", "line"]).dropDuplicates(["file_id", "first", "line"])
     body = F.col("text").rlike(_BODY)
     sound = inside.groupBy("file_id", "first").agg(F.min(body | F.col("line").isin(F.col("first"), F.col("last")) | begin | end).alias("ok"),
                                                    F.count(F.lit(1)).alias("n"), F.first(F.col("last") - F.col("first") + 1).alias("want"))

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BLOCK_LINES, blocks_with_context, clean_lines, current_files, indexed_lines
+from .common import BLOCK_LINES, blocks_with_context, clean_lines, current_files, indexed_lines, small
 
 SPAN, RUN, GEAR, LEAST = 200, 52, 16, 31
 KEY = SPAN - RUN + 1
@@ -183,7 +183,7 @@ def shared_pairs(lines: DataFrame, files: DataFrame, block_lines: int = BLOCK_LI
 
 def _around(rows: DataFrame, places: DataFrame, block_lines: int) -> DataFrame:
     wanted = places.groupBy("file_id", "block").agg(F.collect_set("at").alias("ats"))
-    some = rows.join(wanted.select("file_id").distinct(), "file_id", "left_semi")
+    some = rows.join(small(wanted.select("file_id").distinct()), "file_id", "left_semi")
     return _neighbours(some, block_lines).join(wanted, ["file_id", "block"]).mapInPandas(_windows, "w bigint, file_id bigint, block int, at int")
 
 
