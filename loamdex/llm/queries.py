@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import credentials, docpairs, spans, syntax
+from . import credentials, docpairs, handwritten, spans, syntax
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +21,15 @@ def p1_redacted(spark: SparkSession, d: str) -> DataFrame:
     return credentials.find_credentials(table(spark, d, "file_lines"), table(spark, d, "files")).select("file_id", "line", "masked", "rules")
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return handwritten.not_written(table(spark, d, "file_lines"), table(spark, d, "files")).select("file_id")
+
+
+def p2_kinds(spark: SparkSession, d: str) -> DataFrame:
+    """Which sort each such file is of, and what the forest says."""
+    return handwritten.not_written(table(spark, d, "file_lines"), table(spark, d, "files"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return docpairs.documented(table(spark, d, "file_lines"), table(spark, d, "files"), table(spark, d, "symbols")).select("file_id", "line").distinct()
 
@@ -57,7 +66,7 @@ def p5_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_redacted, p3_found, p3_pairs, p4_found, p4_spans, p4_share, p5_found, p5_files, p5_rates)}
+    return {f.__name__: f for f in (p1_found, p1_redacted, p2_found, p2_kinds, p3_found, p3_pairs, p4_found, p4_spans, p4_share, p5_found, p5_files, p5_rates)}
 
 
 def oracle_sql() -> dict[str, str]:
