@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import credentials, docpairs, handwritten, spans, syntax
+from . import credentials, docpairs, handwritten, residue, spans, syntax
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -65,8 +65,17 @@ def p5_rates(spark: SparkSession, d: str) -> DataFrame:
     return syntax.invalid_rates(table(spark, d, "file_lines"), table(spark, d, "files"))
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return residue.residue_pages(table(spark, d, "documents"))
+
+
+def p8_clean(spark: SparkSession, d: str) -> DataFrame:
+    """The pages that stay."""
+    return residue.clean_pages(table(spark, d, "documents")).select("doc_id", "lang", "source", "n_chars")
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_redacted, p2_found, p2_kinds, p3_found, p3_pairs, p4_found, p4_spans, p4_share, p5_found, p5_files, p5_rates)}
+    return {f.__name__: f for f in (p1_found, p1_redacted, p2_found, p2_kinds, p3_found, p3_pairs, p4_found, p4_spans, p4_share, p5_found, p5_files, p5_rates, p8_found, p8_clean)}
 
 
 def oracle_sql() -> dict[str, str]:
