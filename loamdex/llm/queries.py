@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import credentials, docpairs, handwritten, residue, spans, syntax
+from . import credentials, docpairs, handwritten, mixing, packing, residue, spans, syntax
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -65,6 +65,22 @@ def p5_rates(spark: SparkSession, d: str) -> DataFrame:
     return syntax.invalid_rates(table(spark, d, "file_lines"), table(spark, d, "files"))
 
 
+def p6_containers(spark: SparkSession, d: str) -> DataFrame:
+    return packing.containers(table(spark, d, "documents"), table(spark, d, "pack_sizes"))
+
+
+def p6_unused(spark: SparkSession, d: str) -> DataFrame:
+    return packing.unused_room(table(spark, d, "documents"), table(spark, d, "pack_sizes"))
+
+
+def p7_draw(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.draw(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.shares(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return residue.residue_pages(table(spark, d, "documents"))
 
@@ -75,7 +91,7 @@ def p8_clean(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_redacted, p2_found, p2_kinds, p3_found, p3_pairs, p4_found, p4_spans, p4_share, p5_found, p5_files, p5_rates, p8_found, p8_clean)}
+    return {f.__name__: f for f in (p1_found, p1_redacted, p2_found, p2_kinds, p3_found, p3_pairs, p4_found, p4_spans, p4_share, p5_found, p5_files, p5_rates, p6_containers, p6_unused, p7_draw, p7_shares, p8_found, p8_clean)}
 
 
 def oracle_sql() -> dict[str, str]:
