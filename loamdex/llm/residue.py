@@ -14,6 +14,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from operator import eq
 
 import numpy as np
 import pandas as pd
@@ -22,10 +23,13 @@ from pyspark.sql import functions as F
 
 from loamdex.session import checkpointed
 
+from .common import small
+
 HAMMING, SIMILARITY = 12, 0.8
 ROOT_SIMILARITY = 0.65  # to the trusted node a label comes from; else a chain of near-duplicates could end in printed text
 BLOCKS = 8  # of 8 bits; two of them make the key of a table, so pairs that differ in up to 6 bits always meet
 TABLES = [(i, j) for i in range(BLOCKS) for j in range(i)]
+MOST_KEYS = 600_000  # of the newly labelled nodes, up to which their tables are broadcast: 12 bytes each
 WINDOW = 5  # cells that one wording may be broken into
 GRAM = 4
 
@@ -121,7 +125,8 @@ PLACEHOLDER = re.compile(
     r"\{\{[^{}\n]{1,40}\}\}|\{%[^%\n]{1,40}%\}|<%=?[^%\n]{1,40}%>|\$\{\w{1,40}\}|\[\[[^\[\]\n]{1,40}\]\]|@@[\w ]{2,40}@@|%[A-Z][A-Z0-9_]{2,40}%|#[A-Z][A-Z0-9_]{3,40}#|__[A-Z][A-Z0-9_]{2,40}__|"
     r"&lt;\w{2,40}&gt;|\{\d{1,2}\}|\[(?:[A-Z][A-Z0-9]{2,20})(?: [A-Z0-9]{2,20}){0,3}\]|\[[IlL1]n[sfr]\w{1,3}[trf]\b[^\[\]\n]{3,60}\n?[^\[\]\n]{0,40}\]|\b[A-Z0-9][A-Z0-9 ]{2,30} [GC]OE[S5] HERE\b|"
     r"\bY[o0]ur [a-z][a-z ]{2,30} te[xz][tfrl] h[ecora]r[ecora]\b|\{\{[\w| ]{2,40}\}?(?=\s|$)")
-REPEATED = re.compile(r"(?i)(?<!\w)([a-z]{2,8})(?:[\s,.]+\1(?!\w)){2,}|(?<!\w)(?:x{2,8}\s+){2,}x{2,8}(?!\w)|(?<!\w)([a-z]{3,8} [a-z]{3,8})(?:[\s,.]+\2(?!\w)){2,}")
+_PLACEHOLDER_CHARS = re.compile(r"[{}%$\[@#&<]|__| HERE|[o0]ur [a-z ]+ te[xz]")
+_PROGRAM_CHARS = re.compile(r"[/]\w|::|rror|ception|ORA-|SQLST|HTTP|back \(m|on line")
 #: What programs write when they fail.
 PROGRAM = re.compile(r"\bTrace[bh]ack \(m|\bFatal error: \w|/[a-z5]{2,6}/\w+/\w+\.(?:py|php|js|rb|java|go|p[hb]p)\b|\b(?:[A-Z][a-z]+){1,3}(?:Error|Exception):|\b\w+::\w+\(\)|\bSQLSTATE\b|\bORA-\d{3,}|\bHTTP/\d|\bnginx?z?[/ ]?\d|\berrno\b|\bon line \d+$")
 QUOTED = re.compile(r"[\"'“”„‘’«»‚](?=\w)|(?<=\w)[\"”“»«’‘']|[«»„“”]")
@@ -132,8 +137,11 @@ _FOLD = str.maketrans({**{c: "o" for c in "aeco0"}, **{c: "l" for c in "ilj1!tf"
 _PAIRS = [("rn", "m"), ("ni", "m"), ("in", "m"), ("vv", "w"), ("cl", "d"), ("li", "h"), ("ii", "u"), ("ri", "n")]
 
 
+_MARKS = re.compile("[\u0300-\u036f]+")
+
+
 def plain(text: str) -> str:
-    return "".join(c for c in unicodedata.normalize("NFD", text.lower()) if not unicodedata.combining(c)) if not text.isascii() else text.lower()
+    return text.lower() if text.isascii() else _MARKS.sub("", unicodedata.normalize("NFD", text.lower()))
 
 
 def fold(text: str) -> str:
@@ -203,7 +211,51 @@ _COMMON = set("nothing happens before please number printing address article rea
 STEMS = sorted({s for w in WORDINGS for s in (fold(x) for x in re.findall(r"[^\W\d_]{6,}", plain(w)) if x not in _COMMON) if len(s) >= 5} |
                {fold(x) for x in ("not found", "bad gate", "foo bar", "dummy copy", "admite", "access denied", "acceso denegado", "acces refuse", "zugriff ver", "no se pudo", "start page", "startseite", "d'accueil", "de inicio", "too many req", "sample art", "filler", "forbidden")} |
                {fold(x) for x in LOREM if len(x) >= 5 and x not in ("tempor", "tortor", "nulla", "vitae", "ornare", "velit", "magna", "minim", "culpa", "veniam", "dolor", "dolore", "integer", "donec", "risus", "fugiat", "cillum", "irure", "nostrud")} | {fold("server error"), fold("this server"), fold("du serveur")})
-_STEM = re.compile("|".join(re.escape(s) for s in sorted(STEMS, key=len, reverse=True)))
+_AUTOMATON: list = []
+
+
+def _stems():
+    if not _AUTOMATON:
+        import ahocorasick
+
+        a = ahocorasick.Automaton()
+        for s in STEMS:
+            a.add_word(s, len(s))
+        a.make_automaton()
+        _AUTOMATON.append(a)
+    return _AUTOMATON[0]
+
+
+def _lines_of(ends: list[int], text: str, first: int, last: int) -> range:
+    """The lines of a text that hold the characters first to last of the same text without its hyphens at line ends."""
+    at, i, out = 0, 0, []
+    for i, n in enumerate(ends):
+        joined = text[at:at + n].endswith("-")
+        at += n + 1
+        own = n - 1 if joined else n + 1
+        if first < own:
+            out.append(i)
+        first, last = first - own, last - own
+        if last < 0:
+            break
+    return range(out[0], out[-1] + 1) if out else range(0)
+
+
+def repeated(text: str) -> str | None:
+    """A word or a pair of words that stands three times in a row."""
+    ws = re.findall(r"[a-z]+", text.lower())
+    if not any(map(eq, ws, ws[1:])) and not any(map(eq, ws, ws[2:])) and "xxx" not in text:
+        return None
+    for a, b, c in zip(ws, ws[1:], ws[2:]):
+        if a == b == c and len(a) > 1 and a not in ("no", "ha", "oh", "la", "hear", "very", "ja", "tic", "bang", "hurrah"):
+            return fold(a)
+        if len(a) > 1 and {*a} | {*b} | {*c} == {"x"}:
+            return "x"
+    for i in range(len(ws) - 5):
+        if ws[i] == ws[i + 2] == ws[i + 4] and ws[i + 1] == ws[i + 3] == ws[i + 5]:
+            return fold(ws[i] + ws[i + 1])
+    return None
+
 _LOREM = {fold(x) for x in LOREM}
 
 
@@ -223,20 +275,27 @@ def is_filler(text: str) -> bool:
 def nodes_of(text: str) -> dict[str, bool]:
     """The nodes of a page: folded text, and whether it is trusted."""
     out: dict[str, bool] = {}
-    for m in PLACEHOLDER.finditer(text):
-        if not re.fullmatch(r"\{[A-Z][a-z]+\}|\[\d+\]", m[0]):
-            out["placeholder" + folded(m[0])] = True
-    for m in REPEATED.finditer(text):
-        words = re.findall(r"[a-z]+", m[0].lower())
-        if not all(w in ("no", "ha", "oh", "la", "hear", "very", "ja", "tic", "bang") for w in words):
-            out["repeated" + folded(m[0])] = True
-    for m in PROGRAM.finditer(text):
-        out["program" + folded(m[0])] = True
+    if _PLACEHOLDER_CHARS.search(text):
+        for m in PLACEHOLDER.finditer(text):
+            if not re.fullmatch(r"\{[A-Z][a-z]+\}|\[\d+\]", m[0]):
+                out["placeholder" + folded(m[0])] = True
+    if r := repeated(text):
+        out["repeated" + r] = True
+    if _PROGRAM_CHARS.search(text):
+        for m in PROGRAM.finditer(text):
+            out["program" + folded(m[0])] = True
+    # where a word is broken at a line's end, its parts are put together; the two texts keep the numbers of lines
     t = fold(text)
-    if not _STEM.search(t):
+    places = {t.count("\n", 0, e) for e, _ in _stems().iter(t)}
+    if "-\n" in t:
+        u = t.replace("-\n", "")
+        ends = [len(x) for x in t.split("\n")]
+        for e, s in _stems().iter(u):
+            places |= set(_lines_of(ends, t, e - s + 1, e))
+    if not places:
         return out
     lines = text.split("\n")
-    hits = {i for i, line in enumerate(lines) if _STEM.search(fold(line) + "\n") or _STEM.search(fold(re.sub(r"-$", "", line) + (lines[i + 1] if i + 1 < len(lines) else "")))}
+    hits = {i for i in places if i < len(lines)}
     cells = [[c.strip() for c in CELL.split(line) if c.strip()] for line in lines]
     for i in hits:
         here = cells[i]
@@ -314,14 +373,17 @@ def residue_nodes(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     hashed = distinct.mapInPandas(_hashed, "node string, trusted boolean, h bigint").persist()
     labelled = (hashed.where("trusted").select("node", "h").unionByName(known.mapInPandas(_hashed, "node string, h bigint")).distinct()
                 .select("node", "h", F.col("node").alias("root")))
-    frontier = labelled
-    keyed = _keys(hashed.where("not trusted").select("node", "h"))
+    frontier = labelled = checkpointed(labelled)
+    others = hashed.where("not trusted").select("node", "h")
+    keyed = _keys(others.select("h").distinct())
     while True:
-        pairs = (_keys(frontier.withColumnRenamed("node", "known")).withColumnRenamed("h", "kh").join(keyed, "key")
-                 .where((F.bit_count(F.col("h").bitwiseXOR(F.col("kh"))) <= HAMMING) & (F.least(F.length("node"), F.length("known")) >= 0.7 * F.greatest(F.length("node"), F.length("known"))))
-                 .select("known", "root", "node").distinct())
+        # digests alone meet in the tables; texts are joined to what is left after the Hamming distance
+        near = (keyed.join(small(_keys(frontier.select(F.col("h").alias("kh")).distinct().withColumnRenamed("kh", "h")).withColumnRenamed("h", "kh"), MOST_KEYS), "key")
+                .where(F.bit_count(F.col("h").bitwiseXOR(F.col("kh"))) <= HAMMING).select("kh", "h").distinct())
+        pairs = (near.join(frontier.select(F.col("node").alias("known"), F.col("h").alias("kh"), "root"), "kh").join(others, "h")
+                 .where(F.least(F.length("node"), F.length("known")) >= 0.7 * F.greatest(F.length("node"), F.length("known"))).select("known", "root", "node"))
         found = pairs.mapInPandas(_verified, "node string, root string, score double").groupBy("node").agg(F.max_by("root", F.struct("score", "root")).alias("root"))
-        fresh = found.join(labelled.select("node"), "node", "left_anti").join(hashed.select("node", "h"), "node").select("node", "h", "root")
+        fresh = found.join(labelled.select("node"), "node", "left_anti").join(others, "node").select("node", "h", "root")
         frontier = checkpointed(fresh)
         if frontier.isEmpty():
             return nodes, labelled.select("node")
