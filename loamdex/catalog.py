@@ -313,10 +313,15 @@ def symbols_spec_engine(x: Index) -> DataFrame:
     return line_symbols(x.lines, of)
 
 
-@query(SYMBOLS.format("= 'go'"))
+@query("""select file_id, path, kind, name, line, case when kind in ('function', 'method') then end_line end as end_line, "column", case when kind in ('function', 'method') then signature end as signature, context
+from s where language = 'go'""")
 def symbols_go_scanner(x: Index) -> DataFrame:
+    """Declarations of Go files, from the lines themselves. The rows of the index end values on their first line, whatever brackets they leave open; the scanner
+    follows the brackets, so the ends of functions and methods alone are compared."""
     of = x.files.where((F.col("index_status") == "indexed") & (F.col("language") == "go")).select(F.col("id").alias("file_id"), "path", "language")
-    return scanned_symbols(_arrays(x, of.select("file_id")).join(of, "file_id"))
+    found = scanned_symbols(_arrays(x, of.select("file_id")).join(of, "file_id"))
+    runs = F.col("kind").isin("function", "method")
+    return found.select("file_id", "path", "kind", "name", "line", F.when(runs, F.col("end_line")).alias("end_line"), "column", F.when(runs, F.col("signature")).alias("signature"), "context")
 
 
 TOKENS = "list_filter(regexp_split_to_array(lower(strip_accents({})), '[^\\pL\\pN]+'), lambda t: t <> '')"

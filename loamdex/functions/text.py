@@ -90,10 +90,10 @@ def detect_language(path: Column) -> Column:
 
 def truncate_bytes(c: Column, most: int) -> Column:
     """At most so many bytes of UTF-8, cut at the last whole character."""
-    # a cut in a character leaves its first bytes, which decode to one replacement character at the end
-    cut = F.regexp_replace(F.decode(F.substring(F.encode(c, "UTF-8"), 1, most), "UTF-8"), "�+$", "")
-    # every prefix of characters that fits: characters of the cut are a prefix of the text
-    return F.when(F.octet_length(c) <= most, c).otherwise(F.when(F.startswith(c, cut), cut).otherwise(F.substring(c, 1, most // 4)))
+    raw = F.encode(c, "UTF-8")
+    inside = lambda i: F.substring(F.hex(F.substring(raw, i, 1)), 1, 1).isin("8", "9", "A", "B")  # noqa: E731  a byte that goes on a character
+    k = F.when(~inside(most + 1), most).when(~inside(most), most - 1).when(~inside(most - 1), most - 2).otherwise(most - 3)
+    return F.when(F.octet_length(c) <= most, c).otherwise(F.decode(F.substr(raw, F.lit(1), k), "UTF-8"))
 
 
 def context(lines: Column, line: Column, reach: int = 2) -> Column:

@@ -54,12 +54,17 @@ def _expand(part: str, lisp: bool = False) -> str:
     return out if lisp else re.sub(r"(?<![\[\\!])!(?![?=\]])", lambda _: _B, out)
 
 
+#: What a line of a method must look like up to its first bracket. Java's engine backtracks where the patterns' original one doesn't; a line that fails
+#: here fails the pattern as well, at once.
+GUARDS = {"java": r"(?=[\w<>\[\], ?\t\n\f\r]++\()", "csharp": r"(?=[\w<>\[\], ?\t\n\f\r]++\()", "c": r"(?=[\w* \t\n\f\r]++\()", "cpp": r"(?=[^(;{}]++\()"}
+
+
 def pattern(language: str, i: int) -> tuple[str, str]:
-    """(regular expression with the groups prefix and name, kind). Java's engine tries as many white-space runs as there are ways to split them, so
-    the alternatives that are themselves white space are possessive where that changes no match."""
+    """(regular expression with the groups prefix and name, kind)."""
     prefix, name, rest, kind = SPECS[language][i]
+    guard = GUARDS.get(language, "") if kind in ("method", "function") else ""
     keep = name == _LISP or "!?" in name
-    return f"^({_expand(prefix)})({_expand(name, lisp=keep)}){_expand(rest)}", kind
+    return f"^{guard}({_expand(prefix)})({_expand(name, lisp=keep)}){_expand(rest)}", kind
 
 
 def match(language: Column, line: Column, specs: dict[str, list[tuple[str, str, str, str]]] | None = None) -> Column:
