@@ -63,6 +63,8 @@ def blocks_with_context(lines: DataFrame, before: int, after: int, block_lines:
 
     Only lines within ``before`` and ``after`` of a block's end are sent twice, so the volume stays that of the lines.
     """
+    if block_lines < max(before, after):
+        raise ValueError("a block must have as many lines as are taken from its neighbours")
     rows = clean_lines(lines)
     at = F.floor((F.col("line") - 1) / block_lines).cast("int")
     place = F.pmod(F.col("line") - 1, F.lit(block_lines))

@@ -63,7 +63,7 @@ OPTION = re.compile(r"(?i)(?<![\w-])--?(?:pass(?:word|wd|phrase)?|pwd|token|secr
 SHORT_P = re.compile(r"(?<=\s-p)([^\s\"'`)]{6,})")
 USER_PASS = re.compile(r"(?<![\w-])(?:-u|--user)[ =][\w.\-]+:([^\s\"'`@]+)")
 PROSE = re.compile(rf"(?i)\b{WORD}\b[`'\"]?\s*(?:is|was|are|lautet|ist|war|es|era|est|était|=|:)\s*[`'\"]?([^\s`'\"]+)")
-USES = re.compile(r"(?i)\b(?:uses|with|nutzt|utilise|usa|/)\s+[`'\"]?([^\s`'\"]+)")
+USES = re.compile(r"(?i)(?:\b(?:uses|with|nutzt|utilise|usa)|(?<=\s)/)\s+[`'\"]?([^\s`'\"]+)")
 LOGIN = re.compile(r"(?i)\b(?:log ?in|remember|account|user|anmeld|zugang|connexion|acceso)")
 SQL = re.compile(r"(?i)\b(?:IDENTIFIED\s+(?:WITH\s+\w+\s+)?BY|PASSWORD)\s*=?\s*'([^']+)'|\bSET\s+[\w.]*(?:token|key|secret|password|pass)\w*\s+(?:TO|=)\s*'([^']+)'")
 PAIR = re.compile(r"""(["'])([A-Za-z][\w.\-]{1,30})\1\s*,?\s*(["'])((?:(?!\3)[^\s\\]){8,64})\3""")

@@ -391,7 +391,7 @@ def pairs(lines: DataFrame, files: DataFrame, symbols: DataFrame, block_lines: i
     cut = found.where("not whole").withColumn("n", F.size(F.split("body", "\n"))).withColumn("own", indent(F.element_at(F.split("body", "\n"), 1)))
     later = cut.join(rows, "file_id").where(F.col("at") > F.col("line"))
     ends = later.groupBy("file_id", "line", "name").agg(F.min(F.when((F.trim("t") != "") & (indent(F.col("t")) <= F.col("own")) & (F.col("at") > F.col("line") + CONTEXT), F.col("at"))).alias("end"))
-    bodies = (later.join(ends, ["file_id", "line", "name"]).where((F.col("end").isNull()) | (F.col("at") <= F.col("end")))
+    bodies = (later.join(ends, ["file_id", "line", "name"]).where(F.col("end").isNull() | (F.col("at") < F.col("end")) | (F.col("at") == F.col("end")) & F.col("t").rlike(r"^\s*(?:\}|end\b|fi\b|done\b)"))
               .groupBy("file_id", "line", "name").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "t"))), lambda x: x["t"]), "\n").alias("rest")))
     return (found.join(bodies, ["file_id", "line", "name"], "left")
             .select("file_id", "line", "name", "signature", F.when(F.col("rest").isNull(), F.col("body")).otherwise(F.concat_ws("\n", F.element_at(F.split("body", "\n"), 1), "rest")).alias("body"), "description"))

@@ -197,7 +197,9 @@ def shared_spans(lines: DataFrame, files: DataFrame, block_lines: int = BLOCK_LI
     w = Window.partitionBy("file_id", "block").orderBy("at")
     # inside a stretch each cut point's window joins on to the one before; only at its ends single windows have to be looked at
     edge = marked.withColumn("inner", F.col("goes_on") & F.coalesce(F.lag("goes_on").over(w) & (F.col("at") - F.lag("at").over(w) <= RUN), F.lit(False)))
-    windows = _around(rows, edge.where("not inner").select("file_id", "block", "at"), block_lines)
+    # a window at an end needs all places of its digest, those inside other stretches as well
+    ends_of = flat.join(edge.where("not inner").select("k").distinct(), "k", "left_semi")
+    windows = _around(rows, ends_of.select("file_id", "block", "at"), block_lines)
     ends = windows.groupBy("w").agg(F.collect_set(F.struct("file_id", "block", "at")).alias("s")).where(F.exists("s", lambda x: x["file_id"] != F.col("s")[0]["file_id"])).select(F.explode("s").alias("x")).select("x.*")
     starts = marked.where("goes_on").select("file_id", "block", "at").unionByName(ends).distinct()
     own = rows.dropDuplicates(["file_id", "line"]).groupBy("file_id", F.floor((F.col("line") - 1) / block_lines).cast("int").alias("block")).agg(F.sum(F.length("text") + 1).alias("n"))
