@@ -153,7 +153,7 @@ def fold(text: str) -> str:
 
 
 def folded(text: str) -> str:
-    t = re.sub(r"(?<!\w)(?:(?=\w*\d)(?=\w*[a-z])\w{8,}|\d[\d.,]*)(?!\w)", "#", plain(re.sub(r"(?<=\bID )\w{8,12}\b", "0", text)))
+    t = re.sub(r"(?<!\w)(?:(?=(?:[a-z_]*\d){3})(?=\w*[a-z])\w{8,}|\d[\d.,]*)(?!\w)", "#", plain(re.sub(r"(?<=\bID )\w{8,12}\b", "0", text)))
     return re.sub(r"[^a-z#]+", "", fold(t))
 
 

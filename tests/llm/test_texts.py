@@ -148,7 +148,7 @@ def test_residue(spark):
 
 
 def test_folding_and_hashing():
-    assert residue.folded("JavaScript") == residue.folded("Jav0Scripf") == residue.folded("JavaScr1pt".replace("1", "i")) and residue.folded("rnaquette") == residue.folded("maquette")
+    assert residue.folded("JavaScript") == residue.folded("Jav0Scripf") and residue.folded("rnaquette") == residue.folded("maquette") and residue.folded("tea 17") == residue.folded("tea 4") != residue.folded("tea")
     assert residue.folded("Reference no. 9b9ac9ff12") == residue.folded("Reference no. 4")
     a, b, c = (residue.simhash(residue.folded(t)) for t in ("please enable javascript to view this page", "please enable javascript to view thi page", "the parish clerk opened a silver watch"))
     assert bin((a ^ b) & (2**64 - 1)).count("1") <= residue.HAMMING < bin((a ^ c) & (2**64 - 1)).count("1")
