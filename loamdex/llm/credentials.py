@@ -62,7 +62,7 @@ HEADER_NAMED = re.compile(r"(?i)\b((?:X-)?[A-Za-z\-]*(?:key|token|auth(?:orizati
 OPTION = re.compile(r"(?i)(?<![\w-])--?(?:pass(?:word|wd|phrase)?|pwd|token|secret|api-?key|auth|key)(?:=|\s+)(?:'([^']+)'|\"([^\"]+)\"|([^\s\"'`)]+))")
 SHORT_P = re.compile(r"(?<=\s-p)([^\s\"'`)]{6,})")
 USER_PASS = re.compile(r"(?<![\w-])(?:-u|--user)[ =][\w.\-]+:([^\s\"'`@]+)")
-PROSE = re.compile(rf"(?i)\b{WORD}\b[`'\"]?\s*(?:is|was|are|lautet|ist|war|es|era|est|était|=|:)\s*[`'\"]?([^\s`'\"]+)")
+PROSE = re.compile(rf"(?i)\b{WORD}\b[`'\"]?(?:\s+(?:for|of|to|on|at|from|für|von|pour|de|para)\s+[^\s:]+)?\s*(?:is|was|are|lautet|ist|war|es|era|est|était|=|:)\s*[`'\"]?([^\s`'\"]+)")
 USES = re.compile(r"(?i)(?:\b(?:uses|with|nutzt|utilise|usa)|(?<=\s)/)\s+[`'\"]?([^\s`'\"]+)")
 LOGIN = re.compile(r"(?i)\b(?:log ?in|remember|account|user|anmeld|zugang|connexion|acceso)")
 SQL = re.compile(r"(?i)\b(?:IDENTIFIED\s+(?:WITH\s+\w+\s+)?BY|PASSWORD)\s*=?\s*'([^']+)'|\bSET\s+[\w.]*(?:token|key|secret|password|pass)\w*\s+(?:TO|=)\s*'([^']+)'")
@@ -327,7 +327,7 @@ def _scan_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 #: What a line needs to hold a secret at all, cheap enough for every line: a word of the rules, an address with a user, or a long run
 #: of the characters of encoded data that isn't only letters.
 CANDIDATE = (r"(?i)passw|pass|pwd|pw\b|secret|token|key|auth|cred|bearer|kennwort|contrase|clave|identified|://[^/\s]*:[^/\s]*@|"
-             r"private key|\blog ?in\b|\buses\b|\bsig=|(?:^|\s)-u\s|\\x|%[0-9a-f]{2}")
+             r"private key|glpat-|[sr]k_live_|gh[pousr]_|xox[abeoprs]-|AKIA|ASIA|AIza|eyJ|\blog ?in\b|\buses\b|\bsig=|(?:^|\s)-u\s|\\x|%[0-9a-f]{2}")
 LONG = (r"(?<![A-Za-z0-9+/=_.\-])(?=[A-Za-z0-9+/=_.\-]{12})[A-Za-z0-9+/=_.\-]*?[0-9][A-Za-z+/]|"
         r"[\"'],? ?[\"'][^\"'\s]*[0-9][^\"'\s]*[\"']")
 
