@@ -385,6 +385,56 @@ def sql_passthrough_like(x: Index) -> DataFrame:
     return _sql(x, "select path, cast(floor(size / 1000) as bigint) as kilobytes from files where path like '%README%' or path glob '*.[pP][yY]'")
 
 
+def table(name: str, sql: str) -> Callable:
+    """Registers a query over one stored table, with its SQL."""
+
+    def add(f: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame], DataFrame]:
+        QUERIES[f.__name__] = lambda spark, d: f(spark.read.parquet(f"{d}/{name}.parquet"))
+        SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+@table("documents", "select doc_id, sha256(text) as content_hash from documents where text is not null")
+def content_hash(docs: DataFrame) -> DataFrame:
+    return docs.where("text is not null").select("doc_id", F.sha2("text", 256).alias("content_hash"))
+
+
+@table("documents", """with t as (select doc_id, string_split(regexp_replace(text, '\r\n?', chr(10), 'g'), chr(10)) as a from documents where text is not null)
+select doc_id, cast(case when a[-1] = '' then len(a) - 1 else len(a) end as integer) as n_lines, cast(len(list_filter(a, lambda x: trim(x, ' ' || chr(9)) = '')) - case when a[-1] = '' then 1 else 0 end as integer) as n_blank from t""")
+def lines_explode_count(docs: DataFrame) -> DataFrame:
+    """The lines of each text as the index splits them."""
+    lines = docs.where("text is not null").select("doc_id", T.split_lines(F.col("text")).alias("a"))
+    return lines.select("doc_id", F.size("a").alias("n_lines"), F.size(F.filter("a", lambda x: T.trim_space(x) == "")).alias("n_blank"))
+
+
+@table("build_runs", """with r as (select distinct * from build_runs) select date_trunc('hour', cast(replace(started_at, 'Z', '') as timestamp)) as window_start,
+date_trunc('hour', cast(replace(started_at, 'Z', '') as timestamp)) + interval 1 hour as window_end, root, status, count(*) as runs from r group by 1, 2, 3, 4""")
+def runs_per_hour(runs: DataFrame) -> DataFrame:
+    """The stream's windows over the whole log; late rows are there like others."""
+    from .streaming.feeds import run_rates
+
+    return run_rates(runs.dropDuplicates(["id"]))
+
+
+def schema_catalog(spark: SparkSession, d: str) -> DataFrame:
+    from .model import catalog_rows
+
+    return spark.createDataFrame(catalog_rows(), "table_name string, ordinal int, column_name string, type string, nullable boolean, key_place int")
+
+
+def _schema_sql() -> str:
+    from .model import catalog_rows
+
+    text = lambda v: "null" if v is None else (f"'{v}'" if isinstance(v, str) else str(v).lower())
+    return "select * from (values " + ", ".join("(" + ", ".join(text(v) for v in r) + ")" for r in catalog_rows()) + ") v(table_name, ordinal, column_name, type, nullable, key_place)"
+
+
+QUERIES["schema_catalog"] = schema_catalog
+SQL["schema_catalog"] = _schema_sql()
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
