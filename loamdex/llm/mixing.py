@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import small
 from .tokens import VOCABULARY, token_counts
 
 RANGES = 4096
@@ -32,7 +33,7 @@ def _weighed(documents: DataFrame, targets: DataFrame, vocabulary: str, seed: in
     u = (F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 52)) + F.lit(0.5)) / F.lit(float(1 << 52))
     key = -F.log(u) / F.col("quality")
     # e / (1 + e) rises with the key e and lies between 0 and 1
-    return counts.join(goal, "source").withColumn("key", key).withColumn("range", F.floor(F.col("key") / (F.col("key") + 1) * RANGES).cast("int"))
+    return counts.join(small(goal), "source").withColumn("key", key).withColumn("range", F.floor(F.col("key") / (F.col("key") + 1) * RANGES).cast("int"))
 
 
 def _goals(targets: DataFrame) -> DataFrame:

@@ -94,5 +94,20 @@ def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (p1_found, p1_redacted, p2_found, p2_kinds, p3_found, p3_pairs, p4_found, p4_spans, p4_share, p5_found, p5_files, p5_rates, p6_containers, p6_unused, p7_draw, p7_shares, p8_found, p8_clean)}
 
 
+#: All windows of 200 characters of all texts; exact, and too much for more than small tables.
+_WINDOWS = """with f as (select id, path, index_status from (select *, row_number() over (partition by id order by mtime desc, language desc) as rn from (select distinct * from files)) where rn = 1 and index_status = 'indexed'),
+t as (select file_id, string_agg(text, chr(10) order by line) as text from (select distinct file_id, line, text from file_lines) l where file_id in (select id from f) group by 1),
+v as (select file_id, i, hash(substr(text, i, 200)) as h from (select file_id, text, unnest(range(1, length(text) - 198)) as i from t where length(text) >= 200)),
+w as (select distinct file_id, h from v), z as (select distinct file_id, i from v where h in (select h from w group by 1 having count(*) > 1)),
+g as (select *, sum(fresh) over (partition by file_id order by i) as g from (select *, case when i - lag(i) over (partition by file_id order by i) <= 200 then 0 else 1 end as fresh from z)),
+s as (select file_id, min(i) - 1 as start, max(i) + 200 - min(i) as length from g group by file_id, g)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Only what SQL can say at all; the rest is tested against brute force, round trips and held-out cases in tests/llm."""
+    return {
+        "p4_found": _WINDOWS + "select distinct a.file_id as file_id_a, b.file_id as file_id_b from w a join w b on a.h = b.h and a.file_id < b.file_id",
+        "p4_spans": _WINDOWS + "select s.file_id, f.path, cast(s.start as bigint) as start, cast(s.length as bigint) as length from s join f on f.id = s.file_id",
+        "p4_share": _WINDOWS + "select f.id as file_id, f.path, cast(coalesce(length(t.text), 0) as bigint) as n_chars, cast(coalesce((select sum(s.length) from s where s.file_id = f.id), 0) as bigint) as shared_chars from f left join t on t.file_id = f.id",
+    }

@@ -284,16 +284,13 @@ def nodes_of(text: str) -> dict[str, bool]:
     if _PROGRAM_CHARS.search(text):
         for m in PROGRAM.finditer(text):
             out["program" + folded(m[0])] = True
-    # where a word is broken at a line's end, its parts are put together; the two texts keep the numbers of lines
+    # where a word is broken at a line's end, its parts are put together; whole words stay as they are
     t = fold(text)
-    places = {t.count("\n", 0, e) for e, _ in _stems().iter(t)}
-    if "-\n" in t:
-        u = t.replace("-\n", "")
-        ends = [len(x) for x in t.split("\n")]
-        for e, s in _stems().iter(u):
-            places |= set(_lines_of(ends, t, e - s + 1, e))
-    if not places:
+    found = [(e - s + 1, e) for e, s in _stems().iter(t.replace("-\n", ""))]
+    if not found:
         return out
+    ends = [len(x) for x in t.split("\n")]
+    places = {i for first, last in found for i in _lines_of(ends, t, first, last)}
     lines = text.split("\n")
     hits = {i for i in places if i < len(lines)}
     cells = [[c.strip() for c in CELL.split(line) if c.strip()] for line in lines]

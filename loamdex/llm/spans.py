@@ -187,9 +187,14 @@ def _around(rows: DataFrame, places: DataFrame, block_lines: int) -> DataFrame:
     return _neighbours(some, block_lines).join(wanted, ["file_id", "block"]).mapInPandas(_windows, "w bigint, file_id bigint, block int, at int")
 
 
+def _lengths(rows: DataFrame) -> DataFrame:
+    """file_id, line, n: the length of each line, once; no text moves for it."""
+    return rows.select("file_id", "line", F.length("text").alias("n")).groupBy("file_id", "line").agg(F.max("n").alias("n"))
+
+
 def shared_spans(lines: DataFrame, files: DataFrame, block_lines: int = BLOCK_LINES) -> DataFrame:
-    """file_id, path, start, length: the maximal stretches of each file (in code points from 0) of which every window of SPAN characters
-    also stands in another file."""
+    """file_id, path, start, length: the maximal stretches of each file (in code points from 0) whose every character lies in a window of SPAN characters
+    that also stands in another file."""
     rows, indexed = clean_lines(lines), current_files(files).select("file_id")
     flat = _shared(rows, block_lines).select("k", F.explode("s").alias("x")).select("k", "x.*").join(indexed, "file_id", "left_semi").persist()
     right = flat.where("h <> 0").groupBy("h").agg((F.min("file_id") != F.max("file_id")).alias("both")).where("both").select("h", F.lit(True).alias("goes_on"))
@@ -202,12 +207,11 @@ def shared_spans(lines: DataFrame, files: DataFrame, block_lines: int = BLOCK_LI
     windows = _around(rows, ends_of.select("file_id", "block", "at"), block_lines)
     ends = windows.groupBy("w").agg(F.collect_set(F.struct("file_id", "block", "at")).alias("s")).where(F.exists("s", lambda x: x["file_id"] != F.col("s")[0]["file_id"])).select(F.explode("s").alias("x")).select("x.*")
     starts = marked.where("goes_on").select("file_id", "block", "at").unionByName(ends).distinct()
-    own = rows.dropDuplicates(["file_id", "line"]).groupBy("file_id", F.floor((F.col("line") - 1) / block_lines).cast("int").alias("block")).agg(F.sum(F.length("text") + 1).alias("n"))
+    own = _lengths(rows).groupBy("file_id", F.floor((F.col("line") - 1) / block_lines).cast("int").alias("block")).agg(F.sum(F.col("n") + 1).alias("n"))
     offset = own.withColumn("offset", F.coalesce(F.sum("n").over(Window.partitionBy("file_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     at = starts.join(offset.select("file_id", "block", "offset"), ["file_id", "block"]).select("file_id", (F.col("offset") + F.col("at")).alias("start")).distinct()
     v = Window.partitionBy("file_id").orderBy("start")
-    # windows that join on to each other are one stretch; the gap allowed is the reach of an inner cut point's window
-    grouped = at.withColumn("new", F.coalesce((F.col("start") - F.lag("start").over(v) > RUN).cast("int"), F.lit(1))).withColumn("g", F.sum("new").over(v))
+    grouped = at.withColumn("new", F.coalesce((F.col("start") - F.lag("start").over(v) > SPAN).cast("int"), F.lit(1))).withColumn("g", F.sum("new").over(v))
     spans = grouped.groupBy("file_id", "g").agg(F.min("start").alias("start"), (F.max("start") + SPAN - F.min("start")).alias("length"))
     return spans.join(current_files(files).select("file_id", "path"), "file_id").select("file_id", "path", "start", "length")
 
@@ -215,12 +219,7 @@ def shared_spans(lines: DataFrame, files: DataFrame, block_lines: int = BLOCK_LI
 def shared_share(lines: DataFrame, files: DataFrame, block_lines: int = BLOCK_LINES) -> DataFrame:
     """file_id, path, n_chars, shared_chars: of each indexed file, how many of its characters also stand in another file."""
     rows = indexed_lines(lines, files)
-    n = rows.dropDuplicates(["file_id", "line"]).groupBy("file_id").agg((F.sum(F.length("text") + 1) - 1).alias("n_chars"))
-    # stretches with less than SPAN between their starts can lap over each other
-    v = Window.partitionBy("file_id").orderBy("start")
-    end = F.col("start") + F.col("length")
-    spans = shared_spans(lines, files, block_lines)
-    fresh = spans.withColumn("e", F.max(end).over(v.rowsBetween(Window.unboundedPreceding, -1))).withColumn("added", F.greatest(F.lit(0), end - F.greatest(F.col("start"), F.coalesce("e", F.lit(0)))))
-    total = fresh.groupBy("file_id").agg(F.sum("added").alias("shared_chars"))
+    n = _lengths(rows).groupBy("file_id").agg((F.sum(F.col("n") + 1) - 1).alias("n_chars"))
+    total = shared_spans(lines, files, block_lines).groupBy("file_id").agg(F.sum("length").alias("shared_chars"))
     return (current_files(files).select("file_id", "path").join(n, "file_id", "left").join(total, "file_id", "left")
             .select("file_id", "path", F.coalesce("n_chars", F.lit(0)).cast("bigint").alias("n_chars"), F.coalesce("shared_chars", F.lit(0)).cast("bigint").alias("shared_chars")))
