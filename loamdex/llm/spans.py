@@ -106,8 +106,8 @@ def _whole(before: str, own: str, after: str, more_before: bool, more_after: boo
 
 
 def _chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """K, H, file_id, block, at: of each cut point with a whole chunk and KEY characters after it. H is the digest of the next SPAN
-    characters, 0 if there are fewer."""
+    """K, H, file_id, block, at: of each cut point with a whole chunk and KEY characters after it. H is half the digest of the next SPAN
+    characters, 0 if there are fewer; it only tells places of one K apart, so the two have 96 bits together."""
     for pdf in batches:
         out: list[tuple[np.ndarray, ...]] = []
         for f, b, *row in zip(pdf["file_id"], pdf["block"], pdf["before"], pdf["own"], pdf["after"], pdf["more_before"], pdf["more_after"]):
@@ -125,7 +125,7 @@ def _chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             with np.errstate(over="ignore"):
                 key = _mix(t.digest(p, q) ^ (t.digest(p, p + KEY) * _ODD))
             h = np.where(p + SPAN <= t.n, t.digest(p, np.minimum(p + SPAN, t.n)), np.uint64(0))
-            out.append((key.view(np.int64), h.view(np.int64), np.full(len(p), f), np.full(len(p), b, dtype=np.int32), (p - start).astype(np.int32)))
+            out.append((key.view(np.int64), h.astype(np.uint32).view(np.int32), np.full(len(p), f), np.full(len(p), b, dtype=np.int32), (p - start).astype(np.int32)))
         if out:
             yield pd.DataFrame({c: np.concatenate([o[i] for o in out]) for i, c in enumerate(("k", "h", "file_id", "block", "at"))})
 
@@ -155,7 +155,7 @@ def _pairs_of_sets(sets: DataFrame) -> DataFrame:
 
 def _shared(lines: DataFrame, block_lines: int) -> DataFrame:
     """k, s: the digests that occur in more than one file, and where."""
-    keys = _neighbours(lines, block_lines).mapInPandas(_chunks, "k bigint, h bigint, file_id bigint, block int, at int")
+    keys = _neighbours(lines, block_lines).mapInPandas(_chunks, "k bigint, h int, file_id bigint, block int, at int")
     return (keys.groupBy("k").agg(F.collect_set(F.struct("h", "file_id", "block", "at")).alias("s"))
             .where((F.size("s") > 1) & F.exists("s", lambda x: x["file_id"] != F.col("s")[0]["file_id"])))
 
@@ -173,7 +173,7 @@ def shared_pairs(lines: DataFrame, files: DataFrame, block_lines: int = BLOCK_LI
     rows, indexed = clean_lines(lines), current_files(files).select("file_id")
     # few places are left here, so this is where files that don't count are cheap to leave out
     flat = _shared(rows, block_lines).select("k", F.explode("s").alias("x")).select("k", "x.*").join(indexed, "file_id", "left_semi").persist()
-    right = flat.where("h <> 0").groupBy("h").agg(_ids(F.col("file_id")).alias("ids")).where(F.size("ids") > 1)
+    right = flat.where("h <> 0").groupBy("k", "h").agg(_ids(F.col("file_id")).alias("ids")).where(F.size("ids") > 1)
     # digests whose places don't all go on alike to the right may do so to the left
     alike = flat.groupBy("k").agg(F.min("h").alias("a"), F.max("h").alias("b")).where((F.col("a") != F.col("b")) | (F.col("a") == 0) | (F.col("b") == 0))
     mixed = flat.join(alike.select("k"), "k", "left_semi")
@@ -197,8 +197,8 @@ def shared_spans(lines: DataFrame, files: DataFrame, block_lines: int = BLOCK_LI
     that also stands in another file."""
     rows, indexed = clean_lines(lines), current_files(files).select("file_id")
     flat = _shared(rows, block_lines).select("k", F.explode("s").alias("x")).select("k", "x.*").join(indexed, "file_id", "left_semi").persist()
-    right = flat.where("h <> 0").groupBy("h").agg((F.min("file_id") != F.max("file_id")).alias("both")).where("both").select("h", F.lit(True).alias("goes_on"))
-    marked = flat.join(right, "h", "left").withColumn("goes_on", F.coalesce("goes_on", F.lit(False)))
+    right = flat.where("h <> 0").groupBy("k", "h").agg((F.min("file_id") != F.max("file_id")).alias("both")).where("both").select("k", "h", F.lit(True).alias("goes_on"))
+    marked = flat.join(right, ["k", "h"], "left").withColumn("goes_on", F.coalesce("goes_on", F.lit(False)))
     w = Window.partitionBy("file_id", "block").orderBy("at")
     # inside a stretch each cut point's window joins on to the one before; only at its ends single windows have to be looked at
     edge = marked.withColumn("inner", F.col("goes_on") & F.coalesce(F.lag("goes_on").over(w) & (F.col("at") - F.lag("at").over(w) <= RUN), F.lit(False)))
