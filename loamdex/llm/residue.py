@@ -241,22 +241,21 @@ def _lines_of(ends: list[int], text: str, first: int, last: int) -> range:
     return range(out[0], out[-1] + 1) if out else range(0)
 
 
+_LOREM = {fold(x) for x in LOREM}
+
+
 def repeated(text: str) -> str | None:
     """A word or a pair of words that stands three times in a row."""
     ws = re.findall(r"[a-z]+", text.lower())
-    if not any(map(eq, ws, ws[1:])) and not any(map(eq, ws, ws[2:])) and "xxx" not in text:
-        return None
-    for a, b, c in zip(ws, ws[1:], ws[2:]):
-        if a == b == c and len(a) > 1 and a not in ("no", "ha", "oh", "la", "hear", "very", "ja", "tic", "bang", "hurrah"):
-            return fold(a)
-        if len(a) > 1 and {*a} | {*b} | {*c} == {"x"}:
-            return "x"
-    for i in range(len(ws) - 5):
-        if ws[i] == ws[i + 2] == ws[i + 4] and ws[i + 1] == ws[i + 3] == ws[i + 5]:
-            return fold(ws[i] + ws[i + 1])
-    return None
-
-_LOREM = {fold(x) for x in LOREM}
+    if "xxx" in text or any(map(eq, ws, ws[1:])):
+        for a, b, c in zip(ws, ws[1:], ws[2:]):
+            if a == b == c and len(a) > 1 and a not in ("no", "ha", "oh", "la", "hear", "very", "ja", "tic", "bang", "hurrah"):
+                return fold(a)
+            if len(a) > 1 and {*a} | {*b} | {*c} == {"x"}:
+                return "x"
+    # three pairs in a row: four words one after another equal the ones two places on
+    same = [i for i, equal in enumerate(map(eq, ws, ws[2:])) if equal]
+    return next((fold(ws[i] + ws[i + 1]) for i, j in zip(same, same[3:]) if j - i == 3), None)
 
 
 def join_cells(cells: list[str]) -> str:
@@ -342,15 +341,23 @@ def _hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pdf.assign(h=np.array([simhash(x) for x in pdf["node"]], dtype=np.int64))
 
 
+def grams(s: str) -> frozenset[str]:
+    return frozenset(s[i:i + GRAM] for i in range(max(1, len(s) - GRAM + 1)))
+
+
 def similar(a: str, b: str) -> float:
     """Dice coefficient of the sets of character grams."""
-    x, y = ({s[i:i + GRAM] for i in range(max(1, len(s) - GRAM + 1))} for s in (a, b))
+    return dice(grams(a), grams(b))
+
+
+def dice(x: frozenset[str], y: frozenset[str]) -> float:
     return 2 * len(x & y) / (len(x) + len(y))
 
 
 def _verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        score = [similar(r, n) if similar(k, n) >= SIMILARITY else 0.0 for k, r, n in zip(pdf["known"], pdf["root"], pdf["node"])]
+        of = {t: grams(t) for c in ("known", "root", "node") for t in pdf[c].unique()}
+        score = [dice(of[r], of[n]) if dice(of[k], of[n]) >= SIMILARITY else 0.0 for k, r, n in zip(pdf["known"], pdf["root"], pdf["node"])]
         yield pdf.assign(score=score).loc[[x >= ROOT_SIMILARITY for x in score], ["node", "root", "score"]]
 
 
