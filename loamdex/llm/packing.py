@@ -42,10 +42,14 @@ def complement(avail: np.ndarray, gap: int, sums: np.ndarray) -> list[int] | Non
         return [gap]
     if (p := _pair(avail, gap)) is not None:
         return list(p)
-    a = np.flatnonzero(avail[:gap] > 0)
-    a = a[(a > 0)]
-    a = a[sums[gap - a]][::-1]
-    for x in a.tolist():
+    a = np.flatnonzero(avail[:gap] > 0)[::-1]
+    tried = 0
+    for x in a[sums[gap - a]].tolist():
+        if tried and tried % 32 == 0:  # the index is out of date
+            sums[:] = _pair_sums(avail, len(sums) - 1)
+        tried += 1
+        if not sums[gap - x]:
+            continue
         avail[x] -= 1
         p = _pair(avail, gap - x)
         avail[x] += 1
@@ -78,9 +82,7 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[list[int], int]]:
     if avail[capacity]:
         use([capacity])
     sums, stale = _pair_sums(avail, capacity), 0
-    left = np.flatnonzero(avail)
-    rest: list[int] = []  # lengths for which no exact filling was found, set aside with their counts
-    aside = np.zeros_like(avail)
+    aside = np.zeros_like(avail)  # lengths for which no exact filling was found
     while len(left := np.flatnonzero(avail)):
         s = int(left[-1])
         avail[s] -= 1
@@ -134,7 +136,6 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[list[int], int]]:
                     _open(rooms, order, capacity - n * s, [s] * n, 1)
                     n = 0
     out += [(content, m) for room in rooms for content, m in rooms[room]]
-    del rest
     return out
 
 
