@@ -3,17 +3,23 @@
 Stretches of a page that could be residue are turned into nodes: single cells of its lines, several cells one after another as narrow columns break
 them, and the ends of cells as fused columns leave them. Text is folded so that letters a scanner takes for each other fall together. Nodes
 that are residue beyond doubt (placeholders, filler, the known wordings and their parts) are trusted. Near-duplicates of trusted nodes are found by
-SimHash in partitioned tables, verified by Hamming distance and text similarity, and take over the label; this goes on from the newly
+an exact search by their rarest shared grams, verified by text similarity, and take over the label; this goes on from the newly
 labelled ones until their connected components are exhausted. Pages with a labelled node are reported.
 
+The search loses no pair: two sets of a and b grams with a Dice coefficient of at least S share at least S / (2 - S) * a of them, so under any one order of all
+grams they meet within the first a - ceil(S / (2 - S) * a) + 1 of each.
+
 A page that prints or quotes such words has them inside a longer sentence or in quotation marks; those nodes are unlike the wordings.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
+from functools import cache
 from operator import eq
 
 import numpy as np
@@ -23,13 +29,9 @@ from pyspark.sql import functions as F
 
 from loamdex.session import checkpointed
 
-from .common import small
-
-HAMMING, SIMILARITY = 12, 0.8
+HAMMING, SIMILARITY = 12, 0.8  # the bound of differing bits is that of simhash() alone; the search doesn't use it
 ROOT_SIMILARITY = 0.65  # to the trusted node a label comes from; else a chain of near-duplicates could end in printed text
-BLOCKS = 8  # of 8 bits; two of them make the key of a table, so pairs that differ in up to 6 bits always meet
-TABLES = [(i, j) for i in range(BLOCKS) for j in range(i)]
-MOST_KEYS = 600_000  # of the newly labelled nodes, up to which their tables are broadcast: 12 bytes each
+MOST_KNOWN = 50_000  # newly labelled nodes in one block: some 10 MB
 WINDOW = 5  # cells that one wording may be broken into
 GRAM = 4
 
@@ -336,11 +338,6 @@ def _nodes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["doc_id", "node", "trusted"]).astype({"doc_id": "int64", "trusted": "bool"})
 
 
-def _hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        yield pdf.assign(h=np.array([simhash(x) for x in pdf["node"]], dtype=np.int64))
-
-
 def grams(s: str) -> frozenset[str]:
     return frozenset(s[i:i + GRAM] for i in range(max(1, len(s) - GRAM + 1)))
 
@@ -354,17 +351,89 @@ def dice(x: frozenset[str], y: frozenset[str]) -> float:
     return 2 * len(x & y) / (len(x) + len(y))
 
 
-def _verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        of = {t: grams(t) for c in ("known", "root", "node") for t in pdf[c].unique()}
-        score = [dice(of[r], of[n]) if dice(of[k], of[n]) >= SIMILARITY else 0.0 for k, r, n in zip(pdf["known"], pdf["root"], pdf["node"])]
-        yield pdf.assign(score=score).loc[[x >= ROOT_SIMILARITY for x in score], ["node", "root", "score"]]
+@cache
+def _frequency() -> Counter[str]:
+    return Counter(g for f in [*catalogue(), *sorted(_LOREM)] for g in grams(f))
+
 
+@cache
+def _rank(gram: str) -> tuple[int, int]:
+    """How common a gram of a folded text is in the known wordings and filler, and a number of its own below 28 ** GRAM."""
+    code = 0
+    for c in gram:
+        code = code * 28 + (27 if c == "#" else ord(c) - 96)
+    return _frequency()[gram], code
 
-def _keys(df: DataFrame) -> DataFrame:
-    block = lambda i: F.shiftrightunsigned("h", 8 * i).bitwiseAND(F.lit(255))
-    keys = [((F.lit(t) * 256 + block(i)) * 256 + block(j)).cast("int") for t, (i, j) in enumerate(TABLES)]
-    return df.withColumn("key", F.explode(F.array(*keys)))
+
+def ranks(text: str) -> list[int]:
+    """The numbers of the grams of a text, those that are rare in known wordings first, as misread letters make them."""
+    return [code for _, code in sorted(map(_rank, grams(text)))]
+
+
+def leading(n: int) -> int:
+    """How many of the first of n ranks any near-duplicate shares one of."""
+    return n - math.ceil(SIMILARITY / (2 - SIMILARITY) * n - 1e-9) + 1
+
+
+def _ranked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        yield pdf.assign(g=[ranks(x) for x in pdf["node"]])
+
+
+def _frontier_index(known: pd.DataFrame) -> tuple:
+    """The grams of each known node one after another and where each begins, its number of them, its root, and the postings of leading grams."""
+    size = np.array([len(g) for g in known["g"]], dtype=np.int64)
+    flat = np.concatenate([np.asarray(g, dtype=np.int32) for g in known["g"]])
+    at = np.cumsum(size) - size
+    lead = np.array([leading(n) for n in size], dtype=np.int64)
+    ids = np.repeat(np.arange(len(size), dtype=np.int32), lead)
+    keys = flat[np.repeat(at, lead) + np.arange(lead.sum()) - np.repeat(np.cumsum(lead) - lead, lead)]
+    order = np.argsort(keys, kind="stable")
+    return flat, at, size, list(known["root"]), keys[order], ids[order]
+
+
+def _near(batches: Iterator[pd.DataFrame], index) -> Iterator[pd.DataFrame]:
+    """The nodes with a near-duplicate in the index, each with the likest root of those."""
+    flat, at, size, roots, keys, ids = index.value
+    here = np.zeros(28 ** GRAM, dtype=np.int32)
+    of = cache(grams)
+    for pdf in batches:
+        rows = []
+        for node, g in zip(pdf["node"], pdf["g"]):
+            n = len(g)
+            first = np.asarray(g[:leading(n)], dtype=np.int32)
+            parts = [ids[i:j] for i, j in zip(np.searchsorted(keys, first, "left"), np.searchsorted(keys, first, "right")) if i < j]
+            if not parts:
+                continue
+            c = np.unique(np.concatenate(parts))
+            c = c[np.minimum(size[c], n) * (2 - SIMILARITY) >= np.maximum(size[c], n) * SIMILARITY - 1e-6]
+            if not len(c):
+                continue
+            many = size[c]
+            starts = np.cumsum(many) - many
+            here[g] = 1
+            shared = np.add.reduceat(here[flat[np.repeat(at[c] - starts, many) + np.arange(many.sum())]], starts)
+            here[g] = 0
+            best = max(((dice(of(r), of(node)), r) for r in {roots[i] for i in c[2 * shared / (n + many) >= SIMILARITY]}), default=(0.0, ""))
+            if best[0] >= ROOT_SIMILARITY:
+                rows.append((node, g, best[1], best[0]))
+        yield pd.DataFrame(rows, columns=["node", "g", "root", "score"]).astype({"score": "float64"})
+
+
+def _matches(rest: DataFrame, frontier: DataFrame, n: int) -> DataFrame:
+    """node, g, root of the nodes of rest with a near-duplicate in the frontier of n rows. Every node meets the whole frontier, in blocks that fit a
+    worker; nothing is shuffled for it."""
+    blocks = -(-n // MOST_KNOWN)
+    found = None
+    for b in range(blocks):
+        block = frontier.where(F.pmod(F.xxhash64("node"), F.lit(blocks)) == b).toPandas()
+        if len(block):
+            index = rest.sparkSession.sparkContext.broadcast(_frontier_index(block))
+            one = rest.mapInPandas(lambda batches, index=index: _near(batches, index), "node string, g array<int>, root string, score double")
+            found = one if found is None else found.unionByName(one)
+    if blocks > 1:
+        found = found.groupBy("node").agg(F.max_by(F.struct("g", "root"), F.struct("score", "root")).alias("r")).select("node", "r.*")
+    return found.select("node", "g", "root")
 
 
 def residue_nodes(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -374,24 +443,15 @@ def residue_nodes(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     nodes = pages.mapInPandas(_nodes, "doc_id bigint, node string, trusted boolean").persist()
     known = spark.createDataFrame([(f,) for f in sorted(catalogue())], "node string")
     distinct = nodes.groupBy("node").agg(F.max("trusted").alias("trusted"))
-    hashed = distinct.mapInPandas(_hashed, "node string, trusted boolean, h bigint").persist()
-    labelled = (hashed.where("trusted").select("node", "h").unionByName(known.mapInPandas(_hashed, "node string, h bigint")).distinct()
-                .select("node", "h", F.col("node").alias("root")))
-    frontier = labelled = checkpointed(labelled)
-    others = hashed.where("not trusted").select("node", "h")
-    keyed = _keys(others.select("h").distinct())
-    while True:
-        # digests alone meet in the tables; texts are joined to what is left after the Hamming distance
-        near = (keyed.join(small(_keys(frontier.select(F.col("h").alias("kh")).distinct().withColumnRenamed("kh", "h")).withColumnRenamed("h", "kh"), MOST_KEYS), "key")
-                .where(F.bit_count(F.col("h").bitwiseXOR(F.col("kh"))) <= HAMMING).select("kh", "h").distinct())
-        pairs = (near.join(frontier.select(F.col("node").alias("known"), F.col("h").alias("kh"), "root"), "kh").join(others, "h")
-                 .where(F.least(F.length("node"), F.length("known")) >= 0.7 * F.greatest(F.length("node"), F.length("known"))).select("known", "root", "node"))
-        found = pairs.mapInPandas(_verified, "node string, root string, score double").groupBy("node").agg(F.max_by("root", F.struct("score", "root")).alias("root"))
-        fresh = found.join(labelled.select("node"), "node", "left_anti").join(others, "node").select("node", "h", "root")
-        frontier = checkpointed(fresh)
-        if frontier.isEmpty():
-            return nodes, labelled.select("node")
-        labelled = labelled.unionByName(frontier)
+    ranked = distinct.mapInPandas(_ranked, "node string, trusted boolean, g array<int>").persist()
+    start = ranked.where("trusted").drop("trusted").unionByName(known.mapInPandas(_ranked, "node string, g array<int>")).dropDuplicates(["node"])
+    frontier = checkpointed(start.withColumn("root", F.col("node")))
+    labelled = frontier.select("node")
+    while n := frontier.count():
+        rest = ranked.where("not trusted").drop("trusted").join(labelled, "node", "left_anti")
+        frontier = checkpointed(_matches(rest, frontier, n))
+        labelled = labelled.unionByName(frontier.select("node"))
+    return nodes, labelled
 
 
 def residue_pages(documents: DataFrame) -> DataFrame:
