@@ -7,7 +7,7 @@ an exact search by their rarest shared grams, verified by text similarity, and t
 labelled ones until their connected components are exhausted. Pages with a labelled node are reported.
 
 The search loses no pair: two sets of a and b grams with a Dice coefficient of at least S share at least S / (2 - S) * a of them, so under any one order of all
-grams they meet within the first a - ceil(S / (2 - S) * a) + 1 of each.
+grams they share k within the first a - ceil(S / (2 - S) * a) + k of each, for any k up to that bound.
 
 A page that prints or quotes such words has them inside a longer sentence or in quotation marks; those nodes are unlike the wordings.
 """
@@ -17,9 +17,11 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from functools import cache
+from itertools import accumulate
 from operator import eq
 
 import numpy as np
@@ -32,6 +34,7 @@ from loamdex.session import checkpointed
 HAMMING, SIMILARITY = 12, 0.8  # the bound of differing bits is that of simhash() alone; the search doesn't use it
 ROOT_SIMILARITY = 0.65  # to the trusted node a label comes from; else a chain of near-duplicates could end in printed text
 MOST_KNOWN = 50_000  # newly labelled nodes in one block: some 10 MB
+MEETINGS = 3  # leading grams that a pair of four grams each or more has to share before all of them are compared
 WINDOW = 5  # cells that one wording may be broken into
 GRAM = 4
 
@@ -117,6 +120,7 @@ Su sesión ha caducado. Inicie sesión de nuevo.
 Este es un texto de relleno para la maqueta.
 Volver a la página de inicio
 """.strip().split("\n")
+MOST_WORDS = max(len(w.split()) for w in WORDINGS) + 4
 #: The words of the usual filler text.
 LOREM = set("""lorem ipsum dolor sit amet consectetur adipiscing elit sed eiusmod tempor incididunt ut labore et dolore magna aliqua enim minim veniam quis nostrud
 exercitation ullamco laboris nisi aliquip ex ea commodo consequat duis aute irure reprehenderit voluptate velit esse cillum fugiat nulla pariatur excepteur sint occaecat
@@ -128,9 +132,12 @@ PLACEHOLDER = re.compile(
     r"&lt;\w{2,40}&gt;|\{\d{1,2}\}|\[(?:[A-Z][A-Z0-9]{2,20})(?: [A-Z0-9]{2,20}){0,3}\]|\[[IlL1]n[sfr]\w{1,3}[trf]\b[^\[\]\n]{3,60}\n?[^\[\]\n]{0,40}\]|\b[A-Z0-9][A-Z0-9 ]{2,30} [GC]OE[S5] HERE\b|"
     r"\bY[o0]ur [a-z][a-z ]{2,30} te[xz][tfrl] h[ecora]r[ecora]\b|\{\{[\w| ]{2,40}\}?(?=\s|$)")
 _PLACEHOLDER_CHARS = re.compile(r"[{}%$\[@#&<]|__| HERE|[o0]ur [a-z ]+ te[xz]")
-_PROGRAM_CHARS = re.compile(r"[/]\w|::|rror|ception|ORA-|SQLST|HTTP|back \(m|on line")
-#: What programs write when they fail.
-PROGRAM = re.compile(r"\bTrace[bh]ack \(m|\bFatal error: \w|/[a-z5]{2,6}/\w+/\w+\.(?:py|php|js|rb|java|go|p[hb]p)\b|\b(?:[A-Z][a-z]+){1,3}(?:Error|Exception):|\b\w+::\w+\(\)|\bSQLSTATE\b|\bORA-\d{3,}|\bHTTP/\d|\bnginx?z?[/ ]?\d|\berrno\b|\bon line \d+$")
+#: What programs write when they fail, by a text that every match holds.
+_PROGRAMS = {
+    "ack (m": r"\bTrace[bh]ack \(m", "Fatal": r"\bFatal error: \w", "/": r"/[a-z5]{2,6}/\w+/\w+\.(?:py|php|js|rb|java|go|p[hb]p)\b", "Error:": r"\b(?:[A-Z][a-z]+){1,3}Error:", "Exception:": r"\b(?:[A-Z][a-z]+){1,3}Exception:",
+    "::": r"\b\w+::\w+\(\)", "SQLSTATE": r"\bSQLSTATE\b", "ORA-": r"\bORA-\d{3,}", "HTTP/": r"\bHTTP/\d", "ngin": r"\bnginx?z?[/ ]?\d", "errno": r"\berrno\b", "on line": r"\bon line \d+$",
+}
+PROGRAM = re.compile("|".join(_PROGRAMS.values()))
 QUOTED = re.compile(r"[\"'“”„‘’«»‚](?=\w)|(?<=\w)[\"”“»«’‘']|[«»„“”]")
 CELL = re.compile(r" {2,}\|? *| \| ?|\t+")
 
@@ -273,6 +280,22 @@ def is_filler(text: str) -> bool:
     return len(ws) >= 4 and not QUOTED.search(text) and sum(w in _LOREM for w in ws) >= 0.7 * len(ws)
 
 
+def _inner(ws: list[str]) -> Iterator[list[str]]:
+    """The windows of at least four words inside a cell, as long as a wording with some broken words, that hold the beginning of a stem."""
+    if len(ws) < 6:
+        return
+    spans = [(e - s + 1, e) for e, s in _stems().iter(fold(" ".join(ws)))]
+    if not spans:
+        return
+    # folding makes a text shorter by pairs; a stem's word is looked up in the folded words
+    at = [0, *accumulate(len(fold(w)) + 1 for w in ws)]
+    hit = {bisect_right(at, first) - 1 for first, _ in spans}
+    for i in range(1, len(ws) - 4):
+        for j in range(i + 4, min(len(ws), i + MOST_WORDS + 1)):
+            if any(i <= h < j for h in hit):
+                yield ws[i:j]
+
+
 def nodes_of(text: str) -> dict[str, bool]:
     """The nodes of a page: folded text, and whether it is trusted."""
     out: dict[str, bool] = {}
@@ -282,7 +305,7 @@ def nodes_of(text: str) -> dict[str, bool]:
                 out["placeholder" + folded(m[0])] = True
     if r := repeated(text):
         out["repeated" + r] = True
-    if _PROGRAM_CHARS.search(text):
+    if any(needle in text for needle in _PROGRAMS):
         for m in PROGRAM.finditer(text):
             out["program" + folded(m[0])] = True
     # where a word is broken at a line's end, its parts are put together; whole words stay as they are
@@ -314,14 +337,12 @@ def nodes_of(text: str) -> dict[str, bool]:
                     if b < i:
                         continue
                     joined = join_cells(run)
-                    if len(joined) > 96:
-                        break
                     bare = re.sub(r"^(?:By|Photo:|Dear)\s+|[,\-–\s]+$", "", joined)
                     if is_filler(bare):
                         out["filler" + folded(bare)] = True
                     elif not QUOTED.search(re.sub(r"(?<=\w)['’](?=\w)", "", bare)) and 5 <= len(f := folded(bare)):
                         out.setdefault(f, False)
-            # the ends of a cell in which two columns have run together
+            # stretches of a cell in which columns have run together; those without a stem are unlike every wording
             if not QUOTED.search(re.sub(r"(?<=\w)['’](?=\w)", "", cell)):
                 ws = _words(cell)
                 if len(ws) > 4:
@@ -329,6 +350,9 @@ def nodes_of(text: str) -> dict[str, bool]:
                         for part in (ws[:k], ws[-k:]):
                             if len(f := folded(" ".join(part))) >= 18:
                                 out.setdefault(f, False)
+                    for part in _inner(ws):
+                        if len(f := folded(" ".join(part))) >= 18:
+                            out.setdefault(f, False)
     return out
 
 
@@ -371,8 +395,8 @@ def ranks(text: str) -> list[int]:
 
 
 def leading(n: int) -> int:
-    """How many of the first of n ranks any near-duplicate shares one of."""
-    return n - math.ceil(SIMILARITY / (2 - SIMILARITY) * n - 1e-9) + 1
+    """How many of the first of n ranks any near-duplicate shares MEETINGS of, or all it has to share."""
+    return min(n, n - math.ceil(SIMILARITY / (2 - SIMILARITY) * n - 1e-9) + MEETINGS)
 
 
 def _ranked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -395,6 +419,7 @@ def _frontier_index(known: pd.DataFrame) -> tuple:
 def _near(batches: Iterator[pd.DataFrame], index) -> Iterator[pd.DataFrame]:
     """The nodes with a near-duplicate in the index, each with the likest root of those."""
     flat, at, size, roots, keys, ids = index.value
+    least = np.where(size > MEETINGS, MEETINGS, 1)
     here = np.zeros(28 ** GRAM, dtype=np.int32)
     of = cache(grams)
     for pdf in batches:
@@ -405,7 +430,8 @@ def _near(batches: Iterator[pd.DataFrame], index) -> Iterator[pd.DataFrame]:
             parts = [ids[i:j] for i, j in zip(np.searchsorted(keys, first, "left"), np.searchsorted(keys, first, "right")) if i < j]
             if not parts:
                 continue
-            c = np.unique(np.concatenate(parts))
+            times = np.bincount(np.concatenate(parts), minlength=len(size))
+            c = np.flatnonzero(times >= least) if n > MEETINGS else np.flatnonzero(times)
             c = c[np.minimum(size[c], n) * (2 - SIMILARITY) >= np.maximum(size[c], n) * SIMILARITY - 1e-6]
             if not len(c):
                 continue

@@ -187,3 +187,10 @@ def test_search_finds_every_near_duplicate(spark):
     assert got == _brute_force(set(made) | known, known | {n for n, t in made.items() if t})
     far = [(n, k) for n in got - known for k in known if residue.similar(n, k) >= residue.SIMILARITY and bin((residue.simhash(n) ^ residue.simhash(k)) & (2**64 - 1)).count("1") > residue.HAMMING]
     assert far
+
+
+def test_long_cells_are_looked_at_whole(spark):
+    long = "lorem ipsum dolor sit amet consectetur adipiscing elit sed eiusmod tempor incididunt ut labore et dolore magna aliqua"
+    fused = "the harbour board praised several broken windows Please enable JavaScript to view this page wheat and barley were sold by the quarter at noon"
+    rows = [(1, long, "s"), (2, fused, "s"), (3, "Trachack Tracehack (most recent call last)", "s"), (4, "errno 13 was printed", "s"), (5, "served by nginx 1", "s"), (6, NEWS.replace("\n", " ") * 3, "s")]
+    assert sorted(r["doc_id"] for r in residue.residue_pages(docs(spark, rows)).collect()) == [1, 2, 3, 4, 5]
