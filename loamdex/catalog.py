@@ -294,13 +294,38 @@ def _arrays(x: Index, only: DataFrame) -> DataFrame:
             .select("file_id", F.transform("a", lambda r: r["text"]).alias("lines")))
 
 
+def _metrics(x: Index, of: DataFrame) -> DataFrame:
+    return line_metrics.with_block_metrics(of.select("file_id", "language"), x.lines).select("file_id", "line_count", "blank_lines", "comment_lines", "code_lines")
+
+
 @query("select file_id, line_count, blank_lines, comment_lines, code_lines from m")
 def metrics_recomputed(x: Index) -> DataFrame:
-    """The classification of lines, from the lines themselves; the SQL reads what the index was made with."""
-    of = x.metrics.select("file_id", "language")
-    lines = _arrays(x, of.select("file_id"))
-    rows = of.join(lines, "file_id", "left").withColumn("lines", F.coalesce("lines", F.array().cast("array<string>")))
-    return line_metrics.with_metrics(rows).select("file_id", "line_count", "blank_lines", "comment_lines", "code_lines")
+    """The classification of lines, from the lines themselves, of the files that its SQL, which reads what the index was made with, has rows for;
+    metrics_indexed has every indexed file."""
+    return _metrics(x, x.metrics)
+
+
+def _in(delimiters: dict, which: int | None = None) -> str:
+    """A case of the language: the delimiter, or whether the trimmed line t starts with one of its prefixes."""
+    if which is None:
+        return " or ".join(f"(starts_with(t, '{p}') and language in ({', '.join(map(repr, ls))}))" for p, ls in delimiters.items())
+    return "case " + " ".join(f"when language in ({', '.join(map(repr, ls))}) then '{p[which]}'" for p, ls in delimiters.items()) + " end"
+
+
+#: Each line sets the state (in a block comment or not), keeps it or turns it over: f0 is what follows outside of a comment, f1 inside.
+@query(f""", e as (select id as file_id, language from f where index_status = 'indexed'),
+t as (select file_id, line, language, regexp_replace(text, '^{T.SPACE}+|{T.SPACE}+$', '', 'g') as t, {_in(line_metrics.BLOCK_COMMENTS, 0)} as o, {_in(line_metrics.BLOCK_COMMENTS, 1)} as c from l join e using (file_id)),
+u as (select *, t = '' as blank, coalesce({_in(line_metrics.LINE_COMMENTS)}, false) as hash, coalesce(starts_with(t, o), false) as opens, coalesce(strpos(t, o) > 0 and not contains(substr(t, strpos(t, o) + length(o)), c), false) as unclosed from t),
+v as (select *, case when blank then 0 when opens then unclosed::int when hash then 0 else unclosed::int end as f0, case when blank then 1 when c is null then 1 else (not contains(t, c))::int end as f1 from u),
+y as (select *, coalesce(max(case when f0 = f1 then f0 end) over (partition by file_id, h), 0) as base from (select *, sum((f0 = f1)::int) over (partition by file_id order by line) as h from v)),
+z as (select file_id, line, blank, opens, hash, (f0 = 1 and f1 = 0)::int as swap, h, base from y),
+s2 as (select *, (base + coalesce(sum(swap) over (partition by file_id, h order by line), 0)) % 2 as after from z),
+k as (select *, coalesce(lag(after) over (partition by file_id order by line), 0) as inside from s2)
+select e.file_id, count(k.line)::int as line_count, (count(*) filter (k.blank))::int as blank_lines, (count(*) filter (not k.blank and (k.inside = 1 or k.opens or k.hash)))::int as comment_lines,
+(count(*) filter (not k.blank and not (k.inside = 1 or k.opens or k.hash)))::int as code_lines from e left join k using (file_id) group by 1""")
+def metrics_indexed(x: Index) -> DataFrame:
+    """The same of every indexed file, whether the index has stored a row for it or not."""
+    return _metrics(x, x.files.where("index_status = 'indexed'").select(F.col("id").alias("file_id"), "language"))
 
 
 SYMBOLS = 'select file_id, path, language, kind, name, line, end_line, "column", signature, context from s where language {}'

@@ -33,8 +33,8 @@ def _delimiter(language: Column, which: int) -> Column:
     return out.otherwise(F.lit(""))
 
 
-def classify(lines: Column, language: Column) -> Column:
-    """STRUCT<in_block, blank, comment, code> after all lines.
+def classify(lines: Column, language: Column, inside: bool = False) -> Column:
+    """STRUCT<inside, blank, comment, code> after all lines; inside tells whether the first stands in a block comment.
 
     Blank lines are blank within a block comment as well. A line in one is a comment, and the one with its end closes it. A line that starts with the
     opener is a comment and opens a block unless it closes on the same line. Any other line is code; it opens a block if its first opener isn't closed on it.
@@ -58,7 +58,7 @@ def classify(lines: Column, language: Column) -> Column:
                   .when(_starts_line_comment(language, t), F.lit(False)).otherwise(unclosed))
         return add(state, F.coalesce(inside, F.lit(False)), blank, comment)
 
-    zero = F.struct(F.lit(False).alias("inside"), F.lit(0).alias("blank"), F.lit(0).alias("comment"), F.lit(0).alias("code"))
+    zero = F.struct(F.lit(inside).alias("inside"), F.lit(0).alias("blank"), F.lit(0).alias("comment"), F.lit(0).alias("code"))
     return F.aggregate(lines, zero, step)
 
 
@@ -67,3 +67,27 @@ def with_metrics(files: DataFrame) -> DataFrame:
     m = classify(F.col("lines"), F.coalesce(F.col("language"), F.lit("")))
     return (files.withColumn("m", m).withColumn("line_count", F.size("lines")).withColumn("blank_lines", F.col("m.blank")).withColumn("comment_lines", F.col("m.comment"))
             .withColumn("code_lines", F.col("m.code")).drop("m"))
+
+
+def with_block_metrics(files: DataFrame, lines: DataFrame, block_lines: int = 2000) -> DataFrame:
+    """Adds line_count, blank_lines, comment_lines, code_lines to files (file_id, language, ...) from lines (file_id, line, text).
+
+    A file is folded in blocks of lines, each for both states that it can start in; the blocks' results are put together in order, so that no row holds a
+    whole file. A file without lines has zeros.
+    """
+    language = F.coalesce(F.col("language"), F.lit(""))
+    blocks = (lines.groupBy("file_id", F.floor((F.col("line") - 1) / block_lines).alias("block")).agg(F.array_sort(F.collect_list(F.struct("line", "text"))).alias("a"))
+              .withColumn("first", F.col("block") <= 0).join(files.select("file_id", "language"), "file_id").withColumn("lines", F.transform("a", lambda r: r["text"])))
+    outside = classify(F.col("lines"), language)
+    # the first block starts outside of any comment
+    sides = blocks.select("file_id", F.struct("block", F.size("lines").cast("bigint").alias("n"), outside.alias("o"), F.when(~F.col("first"), classify(F.col("lines"), language, True)).alias("i")).alias("b"))
+
+    def add(state: Column, b: Column) -> Column:
+        m = F.when(state["inside"], F.coalesce(b["i"], b["o"])).otherwise(b["o"])
+        return F.struct(m["inside"].alias("inside"), (state["n"] + b["n"]).alias("n"), *((state[c] + m[c]).alias(c) for c in ("blank", "comment", "code")))
+
+    zero = F.struct(F.lit(False).alias("inside"), F.lit(0).cast("bigint").alias("n"), *(F.lit(0).alias(c) for c in ("blank", "comment", "code")))
+    of = sides.groupBy("file_id").agg(F.array_sort(F.collect_list("b")).alias("bs")).select("file_id", F.aggregate("bs", zero, add).alias("m"))
+    count = lambda c: F.coalesce(F.col(f"m.{c}"), F.lit(0)).cast("int")
+    return (files.join(of, "file_id", "left").withColumn("line_count", count("n")).withColumn("blank_lines", count("blank")).withColumn("comment_lines", count("comment"))
+            .withColumn("code_lines", count("code")).drop("m"))

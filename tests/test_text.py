@@ -76,3 +76,21 @@ def classify(spark, language, lines):
     (None, ["# a", "", "b"], (3, 1, 0, 2)), ("python", [], (0, 0, 0, 0)), ("go", ['s := "/*"', "x"], (2, 0, 1, 1)), ("php", ["# a", "// b", "c"], (3, 0, 2, 1))])
 def test_classification(spark, language, lines, want):
     assert classify(spark, language, lines) == want
+
+
+@pytest.mark.parametrize("block", [1, 2, 3, 100])
+def test_blocks_carry_the_comment_state(spark, block):
+    text = {1: ("go", ["a", "/* b", "c", "", "d */ /* e", "f", "g */", "// h", "i"]), 2: ("python", ["# a", "", "b"]), 3: ("go", []), 4: ("css", ["x /*", "y", "z", "*/ a {}", "b {}"])}
+    files = spark.createDataFrame([(i, g) for i, (g, _) in text.items()], "file_id bigint, language string")
+    lines = spark.createDataFrame([(i, n, s) for i, (_, a) in text.items() for n, s in enumerate(a, 1)], "file_id bigint, line int, text string")
+    got = {r["file_id"]: tuple(r)[2:] for r in metrics.with_block_metrics(files, lines, block).collect()}
+    assert got == {i: classify(spark, g, a) for i, (g, a) in text.items()}
+
+
+def test_every_indexed_file_has_metrics(spark):
+    from loamdex import catalog
+
+    d = "/root/testdata/sf0.001"
+    got = {r["file_id"] for r in catalog.queries()["metrics_indexed"](spark, d).collect()}
+    newest = {r["id"]: r["index_status"] for r in spark.read.parquet(f"{d}/files.parquet").orderBy("mtime").collect()}
+    assert got == {i for i, status in newest.items() if status == "indexed"}
