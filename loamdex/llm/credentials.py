@@ -71,7 +71,7 @@ USER = re.compile(r"(?i)(?:(?:svc|srv|app|db|sys)[_.\-]?\w+|\w*(?:user|admin|ope
                   r"backup|guest|service|monitor|postgres|oracle|sa|maintainer|robot|runner|worker|owner|editor|viewer|tester)")
 PIECES = re.compile(r"""(["'])((?:\\.|(?!\1).)*)\1(?:\s*(?:\+|\.|&|\|\|)?\s*(["'])((?:\\.|(?!\3).)*)\3)+""")
 PIECE = re.compile(r"""(["'])((?:\\.|(?!\1).)*)\1""")
-B64 = re.compile(r"(?<![A-Za-z0-9+/=_\-])[A-Za-z0-9+/_\-]{16,}={0,2}(?![A-Za-z0-9+/=])")
+B64 = re.compile(r"(?<![A-Za-z0-9+/_\-])[A-Za-z0-9+/_\-]{16,}={0,2}(?![A-Za-z0-9+/=])")
 HEX = re.compile(r"(?<![0-9A-Za-z])(?:[0-9a-fA-F]{2}){12,}(?![0-9A-Za-z])")
 PERCENT = re.compile(r"(?:[\w.\-~!*]*%[0-9A-Fa-f]{2}[\w.\-~!*]*)+")
 ESCAPED = re.compile(r"(?:[\w./:@\-+=]|\\x[0-9a-fA-F]{2}|\\u[0-9a-fA-F]{4}|\\[0-7]{3}){6,}")
@@ -325,11 +325,11 @@ def _scan_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 #: What a line needs to hold a secret at all, cheap enough for every line: a word of the rules, an address with a user, or a long run
-#: of the characters of encoded data that isn't only letters.
+#: of the characters of encoded data that isn't only letters, or an escape.
 CANDIDATE = (r"(?i)passw|pass|pwd|pw\b|secret|token|key|auth|cred|bearer|kennwort|contrase|clave|identified|://[^/\s]*:[^/\s]*@|"
              r"private key|glpat-|[sr]k_live_|gh[pousr]_|xox[abeoprs]-|AKIA|ASIA|AIza|eyJ|\blog ?in\b|\buses\b|\bsig=|(?:^|\s)-u\s|\\x|%[0-9a-f]{2}")
 LONG = (r"(?<![A-Za-z0-9+/=_.\-])(?=[A-Za-z0-9+/=_.\-]{12})[A-Za-z0-9+/=_.\-]*?[0-9][A-Za-z+/]|"
-        r"[\"'],? ?[\"'][^\"'\s]*[0-9][^\"'\s]*[\"']")
+        r"[\"'],? ?[\"'][^\"'\s]*[0-9][^\"'\s]*[\"']|\\u[0-9a-fA-F]{4}|\\[0-7]{3}")
 
 WORDED = re.compile(CANDIDATE + r"|\blog ?in\b|remember|account|user|accès|zugang")
 XML_NAME = re.compile(r"(?<=[\s<])(?:key|name|id)\s*=\s*\"[^\"]*\"")

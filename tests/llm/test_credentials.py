@@ -64,3 +64,11 @@ def test_tables(spark, tables):
     assert set(got) == {(1, 2), (2, 1), (3, 2), (3, 3), (3, 4), (3, 5), (4, 1), (4, 2), (4, 3)}
     assert got[1, 2]["masked"] == 'password = "********"' and got[3, 2]["masked"] == "-----BEGIN RSA PRIVATE KEY-----" and got[3, 3]["masked"] == "********" and got[4, 2]["masked"].count("*") == 8
     assert c.find_credentials(lines.limit(0), files).count() == 0 and c.find_credentials(lines, files.limit(0)).count() == 0
+
+
+def test_layers_behind_an_equals_sign_and_in_escapes_reach_the_scanner(spark, tables):
+    b64 = base64.b64encode(TOKEN.encode()).decode()
+    text = [f"BLOB={b64}", f"u = https://x/y?x={b64}", "v = '" + "".join(f"\\u{b:04x}" for b in TOKEN.encode()) + "'", "v = '" + "".join(f"\\{b:03o}" for b in TOKEN.encode()) + "'", "a = b == c"]
+    lines, files = tables({1: ("r/a.env", None, "\n".join(text))}, dirt=False)
+    got = {r["line"]: r["masked"] for r in c.find_credentials(lines, files).collect()}
+    assert got == {1: "BLOB=********", 2: "u = https://x/y?x=********", 3: "v = '********'", 4: "v = '********'"}
