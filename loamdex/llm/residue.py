@@ -1,27 +1,26 @@
 """Template residue, filler, error messages and notices that scripts are needed, in scanned pages.
 
-Stretches of a page that could be residue are turned into nodes: single cells of its lines, several cells one after another as narrow columns break
-them, and the ends of cells as fused columns leave them. Text is folded so that letters a scanner takes for each other fall together. Nodes
-that are residue beyond doubt (placeholders, filler, the known wordings and their parts) are trusted. Near-duplicates of trusted nodes are found by
-an exact search by their rarest shared grams, verified by text similarity, and take over the label; this goes on from the newly
-labelled ones until their connected components are exhausted. Pages with a labelled node are reported.
+Every cell of a page's lines, every run of neighbouring cells of one column, and every stretch of words inside a cell is a node if it begins and ends like a
+sentence (cells and stretches of four words or more: if it does either; cells: also if they begin with a capital); none is left out for its words. Text is folded so that letters a scanner takes for each other fall together. Near-duplicates of
+trusted wordings are found in partitioned SimHash tables, verified by Hamming distance and text similarity, and take over the label; this goes on
+from the newly labelled ones until their connected components are exhausted. Marks that are residue beyond doubt (placeholders, filler, what programs
+write, a word three times in a row) are trusted where they stand. Pages with a labelled node are reported.
 
-The search loses no pair: two sets of a and b grams with a Dice coefficient of at least S share at least S / (2 - S) * a of them, so under any one order of all
-grams they share k within the first a - ceil(S / (2 - S) * a) + k of each, for any k up to that bound.
+A SimHash has 128 bits: the sign of each sum of a random sign per trigram. The signs of all windows of a page come from one running sum. It is cut into 8
+keys of 16 bits, one for each table; a labelled node looks under its own key and the 16 with one other bit. So every pair of up to 15 differing bits
+meets, and beyond it nearly all that are alike enough (the recall is in the README). What the labelled nodes look for is a bitmap of 8 x 65,536
+bits whatever the data, against which a node is held where it stands; only nodes that hit it move.
 
 A page that prints or quotes such words has them inside a longer sentence or in quotation marks; those nodes are unlike the wordings.
+Pages with a null or empty text or a null doc_id hold no residue; repeated rows and repeated pages get equal answers; further columns are ignored.
 """
 
 from __future__ import annotations
 
-import math
 import re
 import unicodedata
-from bisect import bisect_right
-from collections import Counter
 from collections.abc import Iterator
 from functools import cache
-from itertools import accumulate
 from operator import eq
 
 import numpy as np
@@ -31,12 +30,13 @@ from pyspark.sql import functions as F
 
 from loamdex.session import checkpointed
 
-HAMMING, SIMILARITY = 12, 0.8  # the bound of differing bits is that of simhash() alone; the search doesn't use it
+BITS, TABLES, KEY_BITS = 128, 8, 16
+HAMMING, SIMILARITY = 30, 0.8  # both are asked of a near-duplicate
 ROOT_SIMILARITY = 0.65  # to the trusted node a label comes from; else a chain of near-duplicates could end in printed text
-MOST_KNOWN = 50_000  # newly labelled nodes in one block: some 10 MB
-MEETINGS = 3  # leading grams that a pair of four grams each or more has to share before all of them are compared
 WINDOW = 5  # cells that one wording may be broken into
-GRAM = 4
+LEAST, LEAST_INNER = 5, 18  # folded letters of a node, and of one inside a cell
+LEAST_WORDS = 4  # words of a node that doesn't both begin and end like a sentence, and of a part of a wording
+GRAM, TRIGRAM = 4, 3
 
 # Wordings of unfilled templates, servers, viewers and browsers, in the languages of the pages.
 WORDINGS = """
@@ -119,8 +119,39 @@ Acceso denegado.
 Su sesión ha caducado. Inicie sesión de nuevo.
 Este es un texto de relleno para la maqueta.
 Volver a la página de inicio
+Oops! Something went wrong.
+Your text goes here
+Click here to edit this text.
+Ad blocker detected. Please disable your ad blocker.
+Segmentation fault (core dumped)
+Command not found
+No such file or directory
+This page isn't working right now.
+This site can't be reached.
+Checking your browser before you continue.
+Please verify that you are a human.
+Please wait while the page is loading.
+Sorry, the page you are looking for does not exist.
+An unexpected error has occurred. Please try again later.
+An error occurred while processing your request.
+The connection was reset.
+Unable to connect to the database.
+Error establishing a database connection
+This content is not available in your country.
+You must be logged in to view this page.
+This website uses cookies to improve your experience.
+Accept all cookies
+Page under construction. Check back soon.
+Coming soon
+Type your text here
+Enter your headline here
+Sample text for the column.
+Object moved permanently
+Bad request. Your browser sent a request that this server could not understand.
+Es ist ein Fehler aufgetreten. Bitte versuchen Sie es später erneut.
+Une erreur est survenue. Veuillez réessayer plus tard.
+Se ha producido un error. Inténtelo de nuevo más tarde.
 """.strip().split("\n")
-MOST_WORDS = max(len(w.split()) for w in WORDINGS) + 4
 #: The words of the usual filler text.
 LOREM = set("""lorem ipsum dolor sit amet consectetur adipiscing elit sed eiusmod tempor incididunt ut labore et dolore magna aliqua enim minim veniam quis nostrud
 exercitation ullamco laboris nisi aliquip ex ea commodo consequat duis aute irure reprehenderit voluptate velit esse cillum fugiat nulla pariatur excepteur sint occaecat
@@ -128,9 +159,9 @@ cupidatat non proident sunt culpa qui officia deserunt mollit anim laborum vesti
 praesent vitae tortor quam risus mauris integer cras donec morbi viverra egestas""".split())
 #: Marks of an unfilled template. Names of people in braces and numbers in brackets, as printed in reports of sales, are none.
 PLACEHOLDER = re.compile(
-    r"\{\{[^{}\n]{1,40}\}\}|\{%[^%\n]{1,40}%\}|<%=?[^%\n]{1,40}%>|\$\{\w{1,40}\}|\[\[[^\[\]\n]{1,40}\]\]|@@[\w ]{2,40}@@|%[A-Z][A-Z0-9_]{2,40}%|#[A-Z][A-Z0-9_]{3,40}#|__[A-Z][A-Z0-9_]{2,40}__|"
-    r"&lt;\w{2,40}&gt;|\{\d{1,2}\}|\[(?:[A-Z][A-Z0-9]{2,20})(?: [A-Z0-9]{2,20}){0,3}\]|\[[IlL1]n[sfr]\w{1,3}[trf]\b[^\[\]\n]{3,60}\n?[^\[\]\n]{0,40}\]|\b[A-Z0-9][A-Z0-9 ]{2,30} [GC]OE[S5] HERE\b|"
-    r"\bY[o0]ur [a-z][a-z ]{2,30} te[xz][tfrl] h[ecora]r[ecora]\b|\{\{[\w| ]{2,40}\}?(?=\s|$)")
+    r"\{\{[^{}\n]+\}\}|\{%[^%\n]+%\}|<%=?[^%\n]+%>|\$\{\w+\}|\[\[[^\[\]\n]+\]\]|@@[\w ]{2,}@@|%[A-Z][A-Z0-9_]{2,}%|#[A-Z][A-Z0-9_]{3,}#|__[A-Z][A-Z0-9_]{2,}__|"
+    r"&lt;\w{2,}&gt;|\{\d{1,2}\}|\[(?:[A-Z][A-Z0-9]{2,20})(?: [A-Z0-9]{2,20}){0,3}\]|\[[IlL1]n[sfr]\w{1,3}[trf]\b[^\[\]\n]{3,}\n?[^\[\]\n]*\]|\b[A-Z0-9][A-Z0-9 ]{2,30} [GC]OE[S5] HERE\b|"
+    r"\bY[o0]ur [a-z][a-z ]{2,30} te[xz][tfrl] h[ecora]r[ecora]\b|\{\{[\w| ]{2,}\}?(?=\s|$)")
 _PLACEHOLDER_CHARS = re.compile(r"[{}%$\[@#&<]|__| HERE|[o0]ur [a-z ]+ te[xz]")
 #: What programs write when they fail, by a text that every match holds.
 _PROGRAMS = {
@@ -139,10 +170,17 @@ _PROGRAMS = {
 }
 PROGRAM = re.compile("|".join(_PROGRAMS.values()))
 QUOTED = re.compile(r"[\"'“”„‘’«»‚](?=\w)|(?<=\w)[\"”“»«’‘']|[«»„“”]")
+_MARKED, _NO_MARKS = re.compile(r"[\x01-\x05\r]"), str.maketrans("\r", "\n", "\x01\x02\x03\x04\x05")
+_MARKS_OF_QUOTES = re.compile(r"[\"'“”„‘’«»‚]")
+_INNER_APOSTROPHE = re.compile(r"(?<=\w)['’](?=\w)")
 CELL = re.compile(r" {2,}\|? *| \| ?|\t+")
+# where something may begin: a word that isn't written small; where it may end
+_BEGIN = re.compile(r"(?<![^ \n\x01])(?=[^\sa-zß-ÿ\x01,.;:!?)-])")
+_END = re.compile(r"(?<=[.!?:…])(?=[ \n\x01]|$)")
 
 _FOLD = str.maketrans({**{c: "o" for c in "aeco0"}, **{c: "l" for c in "ilj1!tf"}, **{c: "n" for c in "nur"}, **{c: "b" for c in "h6b"}, **{c: "s" for c in "s5"},
                        **{c: "g" for c in "gq9"}, **{c: "v" for c in "vy"}, **{c: "x" for c in "xzk"}})
+_NO_LETTERS = str.maketrans("", "", "".join(map(chr, range(128))).translate(str.maketrans("", "", "abcdefghijklmnopqrstuvwxyz# \n\x01\x02\x03\x04")))
 _PAIRS = [("rn", "m"), ("ni", "m"), ("in", "m"), ("vv", "w"), ("cl", "d"), ("li", "h"), ("ii", "u"), ("ri", "n")]
 
 
@@ -161,36 +199,48 @@ def fold(text: str) -> str:
     return t.translate(_FOLD)
 
 
-def folded(text: str) -> str:
-    t = re.sub(r"(?<!\w)(?:(?=(?:[a-z_]*\d){3})(?=\w*[a-z])\w{8,}|\d[\d.,]*)(?!\w)", "#", plain(re.sub(r"(?<=\bID )\w{8,12}\b", "0", text)))
-    return re.sub(r"[^a-z#]+", "", fold(t))
-
-
-def _hash(grams: list[str]) -> np.ndarray:
-    out = np.empty(len(grams), dtype=np.uint64)
-    for i, g in enumerate(grams):
-        h = 1469598103934665603
-        for c in g:
-            h = ((h ^ ord(c)) * 1099511628211) & 0xFFFFFFFFFFFFFFFF
-        h = ((h ^ (h >> 33)) * 0xFF51AFD7ED558CCD) & 0xFFFFFFFFFFFFFFFF
-        out[i] = h ^ (h >> 33)
-    return out
+_ID = re.compile(r"(?<=\bID )\w{8,12}\b")
+_NUMBER = re.compile(r"(?<!\w)(?:(?=(?:[a-z_]*\d){3})(?=\w*[a-z])\w{8,}|\d[\d.,]*)(?!\w)")
+_DROPPED = re.compile(r"[^a-z# \n\x01-\x04]+")
 
 
-_GRAMS: dict[str, int] = {}
+def _letters(text: str) -> str:
+    t = fold(_NUMBER.sub("#", plain(_ID.sub("0", text) if "ID " in text else text))).translate(_NO_LETTERS)
+    return t if t.isascii() else _DROPPED.sub("", t)
 
 
-def simhash(text: str) -> int:
-    grams = {text[i:i + GRAM] for i in range(max(1, len(text) - GRAM + 1))}
-    new = [g for g in grams if g not in _GRAMS]
-    if new:
-        if len(_GRAMS) > 500_000:
-            _GRAMS.clear()
-            new = list(grams)
-        _GRAMS.update(zip(new, _hash(new).tolist()))
-    h = np.array([_GRAMS[g] for g in grams], dtype=np.uint64)
-    bits = np.unpackbits(h.view(np.uint8).reshape(len(h), 8), axis=1)
-    return int.from_bytes(np.packbits(bits.sum(axis=0, dtype=np.int32) * 2 > len(h)).tobytes(), "big", signed=True)
+def folded(text: str) -> str:
+    """The letters of a text as they are compared, with # for a number."""
+    return _letters(_INNER_APOSTROPHE.sub("", text).replace("\n", " ")).replace(" ", "")
+
+
+def prepared(text: str) -> str:
+    """A page, folded, its words parted by spaces, with marks: \\x01 between cells of a line, \\x02 where something may begin, \\x03 where something may
+    end, \\x04 for a quotation mark."""
+    text = text.translate(_NO_MARKS) if _MARKED.search(text) else text
+    if _MARKS_OF_QUOTES.search(text):
+        text = QUOTED.sub("\x04", _INNER_APOSTROPHE.sub("", text))
+    return _letters(_END.sub("\x03", _BEGIN.sub("\x02", CELL.sub("\x01", text))))
+
+
+def columns(page: str) -> Iterator[str]:
+    """The cells of each column one after another, parted by line ends. A line of one cell is in every column of the lines around; an empty line, or one
+    without the column, ends it."""
+    for block in re.split(r"\n\s*\n", page):
+        if "\x01" not in block:
+            yield block
+            continue
+        rows = [r for r in ([c for c in line.split("\x01") if c.strip(" \x02\x03\x04")] for line in block.split("\n")) if r]
+        for col in range(max(map(len, rows), default=0)):
+            run: list[str] = []
+            for r in rows:
+                if len(r) == 1 or col < len(r):
+                    run.append(r[0] if len(r) == 1 else r[col])
+                elif run:
+                    yield "\n".join(run)
+                    run = []
+            if run:
+                yield "\n".join(run)
 
 
 def _words(text: str) -> list[str]:
@@ -205,52 +255,27 @@ def wording_parts(wording: str) -> set[str]:
         if len(_words(sentence)) >= 2 and len(folded(sentence)) >= 14:
             out.add(folded(sentence))
     for i in range(len(ws)):
-        for j in range(i + 4, len(ws) + 1):
-            if (i == 0 or j == len(ws)) and len(f := folded(" ".join(ws[i:j]))) >= 18:
+        for j in range(i + LEAST_WORDS, len(ws) + 1):
+            if (i == 0 or j == len(ws)) and len(f := folded(" ".join(ws[i:j]))) >= LEAST_INNER:
                 out.add(f)
-    return {f for f in out if len(f) >= 5}
-
-
-def catalogue() -> set[str]:
-    return {f for w in WORDINGS for f in wording_parts(w)}
-
-
-# Words of the wordings that mark a line as worth a closer look.
-_COMMON = set("nothing happens before please number printing address article reading continue support letter required after later again update ihre bitte diese keine nicht konnte werden seite without refuse inicie erreur request verweigert erneut charge server temporarily unavailable inicio".split())
-STEMS = sorted({s for w in WORDINGS for s in (fold(x) for x in re.findall(r"[^\W\d_]{6,}", plain(w)) if x not in _COMMON) if len(s) >= 5} |
-               {fold(x) for x in ("not found", "bad gate", "foo bar", "dummy copy", "admite", "access denied", "acceso denegado", "acces refuse", "zugriff ver", "no se pudo", "start page", "startseite", "d'accueil", "de inicio", "too many req", "sample art", "filler", "forbidden")} |
-               {fold(x) for x in LOREM if len(x) >= 5 and x not in ("tempor", "tortor", "nulla", "vitae", "ornare", "velit", "magna", "minim", "culpa", "veniam", "dolor", "dolore", "integer", "donec", "risus", "fugiat", "cillum", "irure", "nostrud")} | {fold("server error"), fold("this server"), fold("du serveur")})
-_AUTOMATON: list = []
+    return {f for f in out if len(f) >= LEAST}
 
 
-def _stems():
-    if not _AUTOMATON:
-        import ahocorasick
-
-        a = ahocorasick.Automaton()
-        for s in STEMS:
-            a.add_word(s, len(s))
-        a.make_automaton()
-        _AUTOMATON.append(a)
-    return _AUTOMATON[0]
+@cache
+def catalogue() -> frozenset[str]:
+    """The trusted nodes that every search starts from."""
+    return frozenset(f for w in WORDINGS for f in wording_parts(w))
 
 
-def _lines_of(ends: list[int], text: str, first: int, last: int) -> range:
-    """The lines of a text that hold the characters first to last of the same text without its hyphens at line ends."""
-    at, i, out = 0, 0, []
-    for i, n in enumerate(ends):
-        joined = text[at:at + n].endswith("-")
-        at += n + 1
-        own = n - 1 if joined else n + 1
-        if first < own:
-            out.append(i)
-        first, last = first - own, last - own
-        if last < 0:
-            break
-    return range(out[0], out[-1] + 1) if out else range(0)
+@cache
+def most_words() -> int:
+    """More words than any wording has, broken ones counted as two."""
+    return max(len(w.split()) for w in WORDINGS) + 5
 
 
 _LOREM = {fold(x) for x in LOREM}
+_LONG_LOREM = {x for x in _LOREM if len(x) >= 5}
+_NO_SIGNS = str.maketrans("", "", "#\x01\x02\x03\x04")
 
 
 def repeated(text: str) -> str | None:
@@ -267,223 +292,298 @@ def repeated(text: str) -> str | None:
     return next((fold(ws[i] + ws[i + 1]) for i, j in zip(same, same[3:]) if j - i == 3), None)
 
 
-def join_cells(cells: list[str]) -> str:
-    out = cells[0]
-    for c in cells[1:]:
-        out = out[:-1] + c if out.endswith("-") and len(out) > 1 and out[-2].isalpha() else out + " " + c
+def fillers(page: str) -> set[str]:
+    """The cells of a prepared page, and runs of them, of four or more words, most of them of the usual filler text and none in quotation marks."""
+    if sum(map(_LONG_LOREM.__contains__, page.translate(_NO_SIGNS).split())) < 2:
+        return set()
+    out = set()
+    for cells in (column.split("\n") for column in columns(page)):
+        words = [c.translate(_NO_SIGNS).split() for c in cells]
+        for i in range(len(cells)):
+            for j in range(i + 1, min(len(cells), i + WINDOW) + 1):
+                ws = [w for c in words[i:j] for w in c if len(w) > 1]
+                if len(ws) >= 4 and sum(map(_LOREM.__contains__, ws)) >= 0.7 * len(ws) and not any("\x04" in c for c in cells[i:j]):
+                    out.add("filler" + "".join(ws))
     return out
 
 
-def is_filler(text: str) -> bool:
-    """Four or more words, most of them of the usual filler text, and not in quotation marks."""
-    ws = re.findall(r"[^\W\d_]{2,}", fold(text))
-    return len(ws) >= 4 and not QUOTED.search(text) and sum(w in _LOREM for w in ws) >= 0.7 * len(ws)
-
-
-def _inner(ws: list[str]) -> Iterator[list[str]]:
-    """The windows of at least four words inside a cell, as long as a wording with some broken words, that hold the beginning of a stem."""
-    if len(ws) < 6:
-        return
-    spans = [(e - s + 1, e) for e, s in _stems().iter(fold(" ".join(ws)))]
-    if not spans:
-        return
-    # folding makes a text shorter by pairs; a stem's word is looked up in the folded words
-    at = [0, *accumulate(len(fold(w)) + 1 for w in ws)]
-    hit = {bisect_right(at, first) - 1 for first, _ in spans}
-    for i in range(1, len(ws) - 4):
-        for j in range(i + 4, min(len(ws), i + MOST_WORDS + 1)):
-            if any(i <= h < j for h in hit):
-                yield ws[i:j]
-
-
-def nodes_of(text: str) -> dict[str, bool]:
-    """The nodes of a page: folded text, and whether it is trusted."""
-    out: dict[str, bool] = {}
+def trusted_marks(text: str) -> set[str]:
+    """What on a page is residue beyond doubt, each with its sort in front."""
+    out: set[str] = set()
     if _PLACEHOLDER_CHARS.search(text):
-        for m in PLACEHOLDER.finditer(text):
-            if not re.fullmatch(r"\{[A-Z][a-z]+\}|\[\d+\]", m[0]):
-                out["placeholder" + folded(m[0])] = True
+        out |= {"placeholder" + folded(m[0]) for m in PLACEHOLDER.finditer(text) if not re.fullmatch(r"\{[A-Z][a-z]+\}|\[\d+\]", m[0])}
     if r := repeated(text):
-        out["repeated" + r] = True
+        out.add("repeated" + r)
     if any(needle in text for needle in _PROGRAMS):
-        for m in PROGRAM.finditer(text):
-            out["program" + folded(m[0])] = True
-    # where a word is broken at a line's end, its parts are put together; whole words stay as they are
-    t = fold(text)
-    found = [(e - s + 1, e) for e, s in _stems().iter(t.replace("-\n", ""))]
-    if not found:
-        return out
-    ends = [len(x) for x in t.split("\n")]
-    places = {i for first, last in found for i in _lines_of(ends, t, first, last)}
-    lines = text.split("\n")
-    hits = {i for i in places if i < len(lines)}
-    cells = [[c.strip() for c in CELL.split(line) if c.strip()] for line in lines]
-    for i in hits:
-        here = cells[i]
-        for col, cell in enumerate(here):
-            # the same column of the lines around, as far as they have it; a line of one cell is in every column
-            def at(k: int) -> str | None:
-                if not 0 <= k < len(lines) or not cells[k]:
-                    return None
-                return cells[k][0] if len(cells[k]) == 1 or len(here) == 1 else (cells[k][col] if col < len(cells[k]) else None)
-
-            for a in range(max(0, i - WINDOW + 1), i + 1):
-                run: list[str] = []
-                for b in range(a, min(len(lines), a + WINDOW)):
-                    c = at(b)
-                    if c is None:
-                        break
-                    run.append(c)
-                    if b < i:
-                        continue
-                    joined = join_cells(run)
-                    bare = re.sub(r"^(?:By|Photo:|Dear)\s+|[,\-–\s]+$", "", joined)
-                    if is_filler(bare):
-                        out["filler" + folded(bare)] = True
-                    elif not QUOTED.search(re.sub(r"(?<=\w)['’](?=\w)", "", bare)) and 5 <= len(f := folded(bare)):
-                        out.setdefault(f, False)
-            # stretches of a cell in which columns have run together; those without a stem are unlike every wording
-            if not QUOTED.search(re.sub(r"(?<=\w)['’](?=\w)", "", cell)):
-                ws = _words(cell)
-                if len(ws) > 4:
-                    for k in range(4, min(len(ws), 12)):
-                        for part in (ws[:k], ws[-k:]):
-                            if len(f := folded(" ".join(part))) >= 18:
-                                out.setdefault(f, False)
-                    for part in _inner(ws):
-                        if len(f := folded(" ".join(part))) >= 18:
-                            out.setdefault(f, False)
+        out |= {"program" + folded(m[0]) for m in PROGRAM.finditer(text)}
     return out
 
 
-def _nodes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        rows = [(d, f, trusted) for d, t in zip(pdf["doc_id"], pdf["text"]) if t for f, trusted in nodes_of(t).items()]
-        yield pd.DataFrame(rows, columns=["doc_id", "node", "trusted"]).astype({"doc_id": "int64", "trusted": "bool"})
+def grams(s: str) -> frozenset[str]:
+    """The character grams of a text as a bag: the second and further ones of a sort have their number behind them."""
+    seen: dict[str, int] = {}
+    out = []
+    for i in range(max(1, len(s) - GRAM + 1)):
+        g = s[i:i + GRAM]
+        n = seen[g] = seen.get(g, 0) + 1
+        out.append(g if n == 1 else f"{g}{n}")
+    return frozenset(out)
 
 
-def grams(s: str) -> frozenset[str]:
-    return frozenset(s[i:i + GRAM] for i in range(max(1, len(s) - GRAM + 1)))
+def dice(x: frozenset[str], y: frozenset[str]) -> float:
+    return 2 * len(x & y) / (len(x) + len(y))
 
 
 def similar(a: str, b: str) -> float:
-    """Dice coefficient of the sets of character grams."""
+    """Dice coefficient of the bags of character grams."""
     return dice(grams(a), grams(b))
 
 
-def dice(x: frozenset[str], y: frozenset[str]) -> float:
-    return 2 * len(x & y) / (len(x) + len(y))
+# ------------------------------------------------------------------------------------------------------------- hashes
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """Unsigned numbers of 64 bits, mixed."""
+    x = x + np.uint64(0x9E3779B97F4A7C15)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    return x ^ (x >> np.uint64(31))
 
 
 @cache
-def _frequency() -> Counter[str]:
-    return Counter(g for f in [*catalogue(), *sorted(_LOREM)] for g in grams(f))
+def _signs() -> np.ndarray:
+    """Of each trigram of 28 letters, its 128 bits as bytes of 0 and 1, in 16 numbers: sums of up to 255 of them stay apart."""
+    bits = np.unpackbits(_mixed(np.arange(2 * 28 ** TRIGRAM, dtype=np.uint64)).view(np.uint8).reshape(-1, BITS // 8), axis=1)
+    return bits.view(np.uint64)
+
+
+def _numbers(text: str) -> np.ndarray:
+    b = np.frombuffer(text.encode("ascii"), dtype=np.uint8).astype(np.int64)
+    return np.where(b == 35, 27, b - 96)
+
+
+def simhashes(texts: list[str]) -> np.ndarray:
+    """Two numbers of 64 bits for each folded text of 3 to 257 letters."""
+    if not texts:
+        return np.zeros((0, 2), dtype=np.int64)
+    size = np.array([len(t) for t in texts], dtype=np.int64)
+    at = np.cumsum(size) - size
+    c = _numbers("".join(texts))
+    many = size - TRIGRAM + 1
+    starts = np.cumsum(many) - many
+    place = np.repeat(at - starts, many) + np.arange(many.sum())
+    sums = np.add.reduceat(_signs()[(c[place] * 28 + c[place + 1]) * 28 + c[place + 2]], starts, axis=0).view(np.uint8)
+    return np.packbits(2 * sums.astype(np.int16) > many[:, None], axis=1).view(np.int64)
+
+
+def keys(hashes: np.ndarray) -> np.ndarray:
+    """The key of each hash in each table, with the table's number in front: table * 65536 + key."""
+    return hashes.view(np.uint16).astype(np.int32) + (np.arange(TABLES, dtype=np.int32) << KEY_BITS)
+
+
+_FLIPS = np.array([0, *(1 << k for k in range(KEY_BITS))], dtype=np.int32)
+
+
+# -------------------------------------------------------------------------------------------------------------- nodes
+
+
+GROUPS = 64
 
 
 @cache
-def _rank(gram: str) -> tuple[int, int]:
-    """How common a gram of a folded text is in the known wordings and filler, and a number of its own below 28 ** GRAM."""
-    code = 0
-    for c in gram:
-        code = code * 28 + (27 if c == "#" else ord(c) - 96)
-    return _frequency()[gram], code
+def _bounds() -> tuple[np.ndarray, int]:
+    """Of each gram, which of 64 groups of trusted wordings have it, as 64 bytes of 0 and 1 in 8 numbers; and the most letters of a node that can be at
+    ROOT_SIMILARITY to one of them: below 255, so that sums of those bytes stay apart."""
+    known = np.zeros((28 ** GRAM, GROUPS), dtype=np.uint8)
+    for i, w in enumerate(WORDINGS):
+        for t in wording_parts(w):
+            known[_gram_numbers(_numbers(t)), i % GROUPS] = 1
+    longest = max(map(len, catalogue())) - GRAM + 1
+    most = int(longest * (2 - ROOT_SIMILARITY) / ROOT_SIMILARITY) + GRAM - 1
+    if most > 255:
+        raise ValueError("a trusted wording is too long to be counted in bytes")
+    return known.view(np.uint64), most
+
+
+def _gram_numbers(c: np.ndarray) -> np.ndarray:
+    return ((c[:-3] * 28 + c[1:-2]) * 28 + c[2:-1]) * 28 + c[3:]
+
+
+def spans_of(columns_of_pages: list[str]) -> tuple[str, np.ndarray, np.ndarray, np.ndarray]:
+    """All letters one after another, and each node's first letter, end and column.
+
+    A node of a grams at ROOT_SIMILARITY to a trusted wording of b shares at least ROOT_SIMILARITY * (a + b) / 2 of them, so at least ROOT_SIMILARITY / (2 -
+    ROOT_SIMILARITY) of its own are grams of one wording. Nodes with fewer in common with each group of wordings can take no label over, whatever
+    chain leads to them, and aren't kept; nor are longer ones than any that could.
+    """
+    known, most = _bounds()
+    b = np.frombuffer(("\x05".join(columns_of_pages) + "\x05").encode("ascii"), dtype=np.uint8)
+    letter = b > 32
+    text = b[letter].tobytes().decode("ascii")
+    so_far = np.cumsum(letter)
+    sep = np.flatnonzero(b < 32)
+    kind, at = b[sep], so_far[sep]
+    ends = np.flatnonzero((kind == 10) | (kind == 5))
+    last, first = at[ends], np.concatenate([[0], at[ends][:-1]])
+    column = np.cumsum(kind[ends] == 5) - (kind[ends] == 5)
+    cell = np.searchsorted(ends, np.arange(len(sep)))
+    has = lambda mark, where: np.bincount(cell[(kind == mark) & where], minlength=len(ends)) > 0
+    opens, closes, quoted = has(2, at == first[cell]), has(3, at == last[cell]), has(4, True)
+    full = last > first
+    first, last, column, opens, closes, quoted = (x[full] for x in (first, last, column, opens, closes, quoted))
+    n = len(first)
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def take(s: np.ndarray, e: np.ndarray, own: np.ndarray) -> None:
+        found.append((s, e, own))
+
+    if n:
+        new = np.concatenate([[True], column[1:] != column[:-1]])
+        begins = new | opens | np.concatenate([[True], closes[:-1]])
+        finishes = np.concatenate([new[1:], [True]]) | closes | np.concatenate([opens[1:], [True]])
+        word = so_far[np.flatnonzero(letter & ~np.concatenate([[False], letter[:-1]]))] - 1
+        of = np.searchsorted(last, word, side="right")
+        words = np.bincount(of, minlength=n)
+        quotes = np.concatenate([[0], np.cumsum(quoted)])
+        for w in range(min(WINDOW, n)):
+            s, e = first[:n - w], last[w:]
+            ok = (column[:n - w] == column[w:]) & (quotes[w + 1:] == quotes[:n - w]) & (e - s >= LEAST) & (e - s <= most)
+            ok &= begins[:n - w] & finishes[w:] if w else opens | (begins & finishes) | ((begins | finishes) & (words >= LEAST_WORDS))
+            take(s[ok], e[ok], column[:n - w][ok])
+        # stretches of words inside a cell, with one end at least where something may begin or end; columns that have run together leave no more
+        mark = np.zeros(len(text) + 1, dtype=bool)
+        mark[at[(kind == 2) | (kind == 3)]] = mark[first[begins]] = mark[last[finishes]] = True
+        stop = np.concatenate([word[1:], [len(text)]])
+        marked, stops = mark[word] & (begins[of] | (word > first[of])), mark[stop] & (finishes[of] | (stop < last[of]))
+        plain_cell = ~quoted[of]
+        for k in range(1, min(most_words(), len(word)) + 1):
+            either = marked[:len(word) - k + 1] | stops[k - 1:] if k >= LEAST_WORDS else marked[:len(word) - k + 1] & stops[k - 1:]
+            i = np.flatnonzero(either & plain_cell[:len(word) - k + 1] & (of[:len(word) - k + 1] == of[k - 1:]))
+            s, e = word[i], stop[i + k - 1]
+            ok = (e - s >= LEAST_INNER) & (e - s <= most) & ((s > first[of[i]]) | (e < last[of[i]]))
+            take(s[ok], e[ok], column[of[i[ok]]])
+    if not found:
+        nothing = np.zeros(0, dtype=np.int64)
+        return text, nothing, nothing, nothing
+    s, e, own = (np.concatenate(x) for x in zip(*found))
+    # sums of 8 numbers of 8 bytes at once; differences of running sums are right though those run over
+    at_gram = _gram_numbers(_numbers(text))
+    ours = np.zeros((known.shape[1], len(at_gram) + 1), dtype=np.uint64)
+    for lane, sums in enumerate(ours):
+        np.cumsum(known[:, lane][at_gram], out=sums[1:])
+    shared = np.ascontiguousarray((ours[:, e - GRAM + 1] - ours[:, s]).T).view(np.uint8).max(axis=1)
+    ok = shared >= ROOT_SIMILARITY / (2 - ROOT_SIMILARITY) * (e - s - GRAM + 1) - 1e-9
+    return text, s[ok], e[ok], own[ok]
 
 
-def ranks(text: str) -> list[int]:
-    """The numbers of the grams of a text, those that are rare in known wordings first, as misread letters make them."""
-    return [code for _, code in sorted(map(_rank, grams(text)))]
+NODE = "node string, docs array<bigint>, h1 bigint, h2 bigint, trusted boolean"
 
 
-def leading(n: int) -> int:
-    """How many of the first of n ranks any near-duplicate shares MEETINGS of, or all it has to share."""
-    return min(n, n - math.ceil(SIMILARITY / (2 - SIMILARITY) * n - 1e-9) + MEETINGS)
+def _nodes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The nodes of the pages of a batch, each once, with the pages that have it."""
+    for pdf in batches:
+        docs: dict[str, set[int]] = {}
+        marks: dict[str, set[int]] = {}
+        streams, owner = [], []
+        for d, t in zip(pdf["doc_id"], pdf["text"]):
+            if not t:
+                continue
+            page = prepared(t)
+            for m in trusted_marks(t) | fillers(page):
+                marks.setdefault(m, set()).add(d)
+            for c in columns(page):
+                streams.append(c)
+                owner.append(d)
+        if streams:
+            text, s, e, own = spans_of(streams)
+            for a, b, c in zip(s.tolist(), e.tolist(), own.tolist()):
+                docs.setdefault(text[a:b], set()).add(owner[c])
+        h = np.concatenate([simhashes(list(docs)), np.zeros((len(marks), 2), dtype=np.int64)])
+        yield pd.DataFrame({"node": [*docs, *marks], "docs": [sorted(x) for x in [*docs.values(), *marks.values()]], "h1": h[:, 0], "h2": h[:, 1], "trusted": [False] * len(docs) + [True] * len(marks)})
+
 
+# ---------------------------------------------------------------------------------------------------------- near-duplicates
 
-def _ranked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def _hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        yield pdf.assign(g=[ranks(x) for x in pdf["node"]])
+        h = simhashes(list(pdf["node"]))
+        yield pd.DataFrame({"node": pdf["node"], "root": pdf["node"], "h1": h[:, 0], "h2": h[:, 1]})
 
 
-def _frontier_index(known: pd.DataFrame) -> tuple:
-    """The grams of each known node one after another and where each begins, its number of them, its root, and the postings of leading grams."""
-    size = np.array([len(g) for g in known["g"]], dtype=np.int64)
-    flat = np.concatenate([np.asarray(g, dtype=np.int32) for g in known["g"]])
-    at = np.cumsum(size) - size
-    lead = np.array([leading(n) for n in size], dtype=np.int64)
-    ids = np.repeat(np.arange(len(size), dtype=np.int32), lead)
-    keys = flat[np.repeat(at, lead) + np.arange(lead.sum()) - np.repeat(np.cumsum(lead) - lead, lead)]
-    order = np.argsort(keys, kind="stable")
-    return flat, at, size, list(known["root"]), keys[order], ids[order]
-
-
-def _near(batches: Iterator[pd.DataFrame], index) -> Iterator[pd.DataFrame]:
-    """The nodes with a near-duplicate in the index, each with the likest root of those."""
-    flat, at, size, roots, keys, ids = index.value
-    least = np.where(size > MEETINGS, MEETINGS, 1)
-    here = np.zeros(28 ** GRAM, dtype=np.int32)
-    of = cache(grams)
+def _probes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Where a labelled node looks: in each table under its key, and under those with one other bit."""
+    for pdf in batches:
+        own = keys(np.ascontiguousarray(pdf[["h1", "h2"]].to_numpy(dtype=np.int64)))
+        at = (own[:, :, None] ^ _FLIPS).reshape(len(pdf), -1)
+        n = at.shape[1]
+        yield pd.DataFrame({"at": at.ravel(), "label": np.repeat(pdf["node"].to_numpy(), n), "root": np.repeat(pdf["root"].to_numpy(), n), "g1": np.repeat(pdf["h1"].to_numpy(), n), "g2": np.repeat(pdf["h2"].to_numpy(), n)})
+
+
+def _sought(batches: Iterator[pd.DataFrame], bitmap) -> Iterator[pd.DataFrame]:
+    """The nodes that stand under a key that is looked for, once for each."""
+    wanted = np.unpackbits(np.frombuffer(bitmap.value, dtype=np.uint8)).astype(bool)
     for pdf in batches:
+        own = keys(np.ascontiguousarray(pdf[["h1", "h2"]].to_numpy(dtype=np.int64)))
+        row, _ = hit = np.nonzero(wanted[own])
+        out = pdf.iloc[row].reset_index(drop=True)
+        out.insert(0, "at", own[hit])
+        yield out
+
+
+def _verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The nodes that are alike enough to the labelled node and to its root, with the similarity to the latter."""
+    for pdf in batches:
+        of = cache(grams)
         rows = []
-        for node, g in zip(pdf["node"], pdf["g"]):
-            n = len(g)
-            first = np.asarray(g[:leading(n)], dtype=np.int32)
-            parts = [ids[i:j] for i, j in zip(np.searchsorted(keys, first, "left"), np.searchsorted(keys, first, "right")) if i < j]
-            if not parts:
-                continue
-            times = np.bincount(np.concatenate(parts), minlength=len(size))
-            c = np.flatnonzero(times >= least) if n > MEETINGS else np.flatnonzero(times)
-            c = c[np.minimum(size[c], n) * (2 - SIMILARITY) >= np.maximum(size[c], n) * SIMILARITY - 1e-6]
-            if not len(c):
-                continue
-            many = size[c]
-            starts = np.cumsum(many) - many
-            here[g] = 1
-            shared = np.add.reduceat(here[flat[np.repeat(at[c] - starts, many) + np.arange(many.sum())]], starts)
-            here[g] = 0
-            best = max(((dice(of(r), of(node)), r) for r in {roots[i] for i in c[2 * shared / (n + many) >= SIMILARITY]}), default=(0.0, ""))
-            if best[0] >= ROOT_SIMILARITY:
-                rows.append((node, g, best[1], best[0]))
-        yield pd.DataFrame(rows, columns=["node", "g", "root", "score"]).astype({"score": "float64"})
-
-
-def _matches(rest: DataFrame, frontier: DataFrame, n: int) -> DataFrame:
-    """node, g, root of the nodes of rest with a near-duplicate in the frontier of n rows. Every node meets the whole frontier, in blocks that fit a
-    worker; nothing is shuffled for it."""
-    blocks = -(-n // MOST_KNOWN)
-    found = None
-    for b in range(blocks):
-        block = frontier.where(F.pmod(F.xxhash64("node"), F.lit(blocks)) == b).toPandas()
-        if len(block):
-            index = rest.sparkSession.sparkContext.broadcast(_frontier_index(block))
-            one = rest.mapInPandas(lambda batches, index=index: _near(batches, index), "node string, g array<int>, root string, score double")
-            found = one if found is None else found.unionByName(one)
-    if blocks > 1:
-        found = found.groupBy("node").agg(F.max_by(F.struct("g", "root"), F.struct("score", "root")).alias("r")).select("node", "r.*")
-    return found.select("node", "g", "root")
+        for node, label, root in set(zip(pdf["node"], pdf["label"], pdf["root"])):
+            if dice(of(node), of(label)) >= SIMILARITY and (score := dice(of(node), of(root))) >= ROOT_SIMILARITY:
+                rows.append((node, root, score))
+        yield pd.DataFrame(rows, columns=["node", "root", "score"]).astype({"score": "float64"})
+
+
+def _met(nodes: DataFrame, frontier: DataFrame) -> DataFrame:
+    """node, root, h1, h2 of the nodes with a near-duplicate in the frontier, each once."""
+    probes = frontier.mapInPandas(_probes, "at int, label string, root string, g1 bigint, g2 bigint")
+    # at most TABLES * 65,536 numbers, however many nodes there are
+    looked_for = np.array([r["at"] for r in probes.select("at").distinct().toLocalIterator()], dtype=np.int64)
+    bits = np.zeros(TABLES << KEY_BITS, dtype=np.uint8)
+    bits[looked_for] = 1
+    bitmap = nodes.sparkSession.sparkContext.broadcast(np.packbits(bits).tobytes())
+    sought = nodes.select("node", "h1", "h2").mapInPandas(lambda batches: _sought(batches, bitmap), "at int, node string, h1 bigint, h2 bigint")
+    differ = F.bit_count(F.col("h1").bitwiseXOR(F.col("g1"))) + F.bit_count(F.col("h2").bitwiseXOR(F.col("g2")))
+    longer, shorter = F.greatest(F.length("node"), F.length("label")) - (GRAM - 1), F.least(F.length("node"), F.length("label")) - (GRAM - 1)
+    pairs = sought.join(probes, "at").where((differ <= HAMMING) & (longer * SIMILARITY <= shorter * (2 - SIMILARITY) + 1e-6)).select("node", "label", "root")
+    fits = pairs.mapInPandas(_verified, "node string, root string, score double")
+    return fits.groupBy("node").agg(F.max_by("root", F.struct("score", "root")).alias("root")).mapInPandas(_again, "node string, root string, h1 bigint, h2 bigint")
+
+
+def _again(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        h = simhashes(list(pdf["node"]))
+        yield pdf.assign(h1=h[:, 0], h2=h[:, 1])
 
 
 def residue_nodes(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, node) of all nodes, and the labelled nodes."""
+    """All nodes with the pages that have them, and the labelled ones that aren't trusted by themselves."""
     spark = documents.sparkSession
-    pages = documents.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text")
-    nodes = pages.mapInPandas(_nodes, "doc_id bigint, node string, trusted boolean").persist()
-    known = spark.createDataFrame([(f,) for f in sorted(catalogue())], "node string")
-    distinct = nodes.groupBy("node").agg(F.max("trusted").alias("trusted"))
-    ranked = distinct.mapInPandas(_ranked, "node string, trusted boolean, g array<int>").persist()
-    start = ranked.where("trusted").drop("trusted").unionByName(known.mapInPandas(_ranked, "node string, g array<int>")).dropDuplicates(["node"])
-    frontier = checkpointed(start.withColumn("root", F.col("node")))
-    labelled = frontier.select("node")
-    while n := frontier.count():
-        rest = ranked.where("not trusted").drop("trusted").join(labelled, "node", "left_anti")
-        frontier = checkpointed(_matches(rest, frontier, n))
+    pages = documents.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    nodes = pages.mapInPandas(_nodes, NODE).persist()
+    untrusted = nodes.where("not trusted")
+    start = spark.createDataFrame([(f,) for f in sorted(catalogue())], "node string").mapInPandas(_hashed, "node string, root string, h1 bigint, h2 bigint")
+    frontier, labelled = start, start.select("node").limit(0)
+    while True:
+        frontier = checkpointed(_met(untrusted, frontier).join(labelled, "node", "left_anti"))
+        if frontier.isEmpty():
+            return nodes, labelled
         labelled = labelled.unionByName(frontier.select("node"))
-    return nodes, labelled
 
 
 def residue_pages(documents: DataFrame) -> DataFrame:
-    """doc_id of each page that holds residue, once. Pages with a null or empty text hold none; equal pages get equal answers."""
+    """doc_id of each page that holds residue, once."""
     nodes, labelled = residue_nodes(documents)
-    return nodes.join(labelled, "node", "left_semi").select("doc_id").distinct()
+    return (nodes.where("trusted").select("docs").unionByName(nodes.where("not trusted").join(labelled, "node", "left_semi").select("docs"))
+            .select(F.explode("docs").alias("doc_id")).distinct())
 
 
 def clean_pages(documents: DataFrame) -> DataFrame:

@@ -150,11 +150,38 @@ def test_residue(spark):
 def test_folding_and_hashing():
     assert residue.folded("JavaScript") == residue.folded("Jav0Scripf") and residue.folded("rnaquette") == residue.folded("maquette") and residue.folded("tea 17") == residue.folded("tea 4") != residue.folded("tea")
     assert residue.folded("Reference no. 9b9ac9ff12") == residue.folded("Reference no. 4")
-    a, b, c = (residue.simhash(residue.folded(t)) for t in ("please enable javascript to view this page", "please enable javascript to view thi page", "the parish clerk opened a silver watch"))
-    assert bin((a ^ b) & (2**64 - 1)).count("1") <= residue.HAMMING < bin((a ^ c) & (2**64 - 1)).count("1")
+    h = residue.simhashes([residue.folded(t) for t in ("please enable javascript to view this page", "please enable javascript to view thi page", "the parish clerk opened a silver watch")])
+    assert _bits(h[0], h[1]) <= residue.HAMMING < _bits(h[0], h[2]) and len(residue.simhashes([])) == 0
+    # one by one, by the definition: the sign of each sum over all trigrams
+    t = residue.folded("this viewer does not work without scripts")
+    c = residue._numbers(t)
+    signs = residue._signs().view("uint8").astype(int) * 2 - 1
+    sums = sum(signs[(c[i] * 28 + c[i + 1]) * 28 + c[i + 2]] for i in range(len(c) - 2))
+    assert [int(b) for x in residue.simhashes([t]).view("uint8")[0] for b in f"{x:08b}"] == [int(x > 0) for x in sums]
     assert residue.repeated("no no no") is None and residue.repeated("blah blah, blah") and residue.repeated("xxxx xx xxx") and residue.repeated("the tar and the tar") is None
 
 
+def test_nodes_that_are_left_out_can_take_no_label():
+    """The count of shared grams keeps every node that is as alike to a trusted wording as a label asks for."""
+    rng = random.Random(3)
+    texts = []
+    for _ in range(400):
+        w = list(rng.choice(residue.WORDINGS))
+        for _ in range(rng.randint(0, 9)):
+            w[rng.randrange(len(w))] = rng.choice("abdgkmpvwz")
+        texts.append("".join(w))
+    known = [residue.grams(t) for t in residue.catalogue()]
+    for t in texts + NEWS.split("\n"):
+        f = residue.folded(t)
+        text, s, e, _ = residue.spans_of([residue.prepared(t)])
+        if len(f) >= residue.LEAST and "\x04" not in residue.prepared(t) and max(residue.dice(residue.grams(f), k) for k in known) >= residue.ROOT_SIMILARITY:
+            assert f in {text[a:b] for a, b in zip(s, e)}, t
+
+
+def _bits(a, b):
+    return sum(bin((int(x) ^ int(y)) & (2**64 - 1)).count("1") for x, y in zip(a, b))
+
+
 def _brute_force(nodes, trusted):
     """The labelled nodes by comparing every pair."""
     of = {n: residue.grams(n) for n in nodes}
@@ -171,8 +198,27 @@ def _brute_force(nodes, trusted):
     return set(roots)
 
 
-def test_search_finds_every_near_duplicate(spark):
-    """Pairs down to Dice 0.8 are found however many bits of their SimHash differ; one to four misread letters, as all pairs compared give."""
+def test_tables_find_near_duplicates(spark):
+    """Of the pairs at Dice 0.8 or more, at least nine in ten meet in the tables and are within the Hamming distance; of those within 15 bits, all."""
+    rng = random.Random(9)
+    pairs = []
+    while len(pairs) < 1500:
+        a = rng.choice(sorted(residue.catalogue()))
+        b = list(a)
+        for _ in range(rng.randint(1, 3)):
+            k = rng.randrange(len(b))
+            b[k:k + 1] = rng.choice([[rng.choice("abdglmnopsvwx")], [rng.choice("abdglmnopsvwx")], [], [b[k], rng.choice("abdglmnopsvwx")]])
+        if len(b) >= residue.LEAST and a != (b := "".join(b)) and residue.similar(a, b) >= residue.SIMILARITY:
+            pairs.append((a, b))
+    x, y = (residue.simhashes([p[i] for p in pairs]) for i in (0, 1))
+    met = [bool(set((k[:, None] ^ residue._FLIPS).ravel().tolist()) & set(m.tolist())) for k, m in zip(residue.keys(x), residue.keys(y))]
+    bits = [_bits(p, q) for p, q in zip(x, y)]
+    assert all(m for m, n in zip(met, bits) if n <= 15)
+    assert sum(m and n <= residue.HAMMING for m, n in zip(met, bits)) >= 0.9 * len(pairs)
+
+
+def test_labels_pass_through_components(spark):
+    """Of the nodes that comparing all pairs labels, at least nine in ten get their label, and no other node does."""
     rng = random.Random(9)
     rows = []
     for i in range(240):
@@ -181,12 +227,11 @@ def test_search_finds_every_near_duplicate(spark):
             w[rng.randrange(len(w))] = rng.choice("abdgkmpvwz")
         rows.append((i, "".join(w), "s"))
     nodes, labelled = residue.residue_nodes(docs(spark, rows))
-    made = {r["node"]: r["trusted"] for r in nodes.collect()}
-    known = residue.catalogue()
+    made = {r["node"] for r in nodes.where("not trusted").collect()}
     got = {r["node"] for r in labelled.collect()}
-    assert got == _brute_force(set(made) | known, known | {n for n, t in made.items() if t})
-    far = [(n, k) for n in got - known for k in known if residue.similar(n, k) >= residue.SIMILARITY and bin((residue.simhash(n) ^ residue.simhash(k)) & (2**64 - 1)).count("1") > residue.HAMMING]
-    assert far
+    known = set(residue.catalogue())
+    every = _brute_force(made | known, known) & made
+    assert got <= every and len(got) >= 0.9 * len(every) and got - known
 
 
 def test_long_cells_are_looked_at_whole(spark):
