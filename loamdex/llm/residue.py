@@ -402,7 +402,7 @@ def _bounds() -> tuple[np.ndarray, int]:
     most = int(longest * (2 - ROOT_SIMILARITY) / ROOT_SIMILARITY) + GRAM - 1
     if most > 255:
         raise ValueError("a trusted wording is too long to be counted in bytes")
-    return known.view(np.uint64), most
+    return np.ascontiguousarray(known.view(np.uint64).T), most
 
 
 def _gram_numbers(c: np.ndarray) -> np.ndarray:
@@ -468,10 +468,12 @@ def spans_of(columns_of_pages: list[str]) -> tuple[str, np.ndarray, np.ndarray,
     s, e, own = (np.concatenate(x) for x in zip(*found))
     # sums of 8 numbers of 8 bytes at once; differences of running sums are right though those run over
     at_gram = _gram_numbers(_numbers(text))
-    ours = np.zeros((known.shape[1], len(at_gram) + 1), dtype=np.uint64)
-    for lane, sums in enumerate(ours):
-        np.cumsum(known[:, lane][at_gram], out=sums[1:])
-    shared = np.ascontiguousarray((ours[:, e - GRAM + 1] - ours[:, s]).T).view(np.uint8).max(axis=1)
+    shared = np.zeros((len(s), 8), dtype=np.uint8)
+    sums = np.zeros(len(at_gram) + 1, dtype=np.uint64)
+    for lane in known:
+        np.cumsum(lane[at_gram], out=sums[1:])
+        np.maximum(shared, (sums[e - GRAM + 1] - sums[s]).view(np.uint8).reshape(-1, 8), out=shared)
+    shared = shared.max(axis=1, initial=0)
     ok = shared >= ROOT_SIMILARITY / (2 - ROOT_SIMILARITY) * (e - s - GRAM + 1) - 1e-9
     return text, s[ok], e[ok], own[ok]
 
@@ -480,11 +482,19 @@ NODE = "node string, docs array<bigint>, h1 bigint, h2 bigint, trusted boolean"
 
 
 def _nodes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The nodes of the pages of a batch, each once, with the pages that have it."""
+    """The nodes of the pages of a batch, each once, with the pages that have it. Pages are taken in small groups, whose running sums stay in the cache."""
     for pdf in batches:
         docs: dict[str, set[int]] = {}
         marks: dict[str, set[int]] = {}
-        streams, owner = [], []
+        streams, owner, many = [], [], 0
+
+        def flush() -> None:
+            text, s, e, own = spans_of(streams)
+            for a, b, c in zip(s.tolist(), e.tolist(), own.tolist()):
+                docs.setdefault(text[a:b], set()).add(owner[c])
+            streams.clear()
+            owner.clear()
+
         for d, t in zip(pdf["doc_id"], pdf["text"]):
             if not t:
                 continue
@@ -494,10 +504,12 @@ def _nodes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for c in columns(page):
                 streams.append(c)
                 owner.append(d)
+            many += len(page)
+            if many > 60_000:
+                flush()
+                many = 0
         if streams:
-            text, s, e, own = spans_of(streams)
-            for a, b, c in zip(s.tolist(), e.tolist(), own.tolist()):
-                docs.setdefault(text[a:b], set()).add(owner[c])
+            flush()
         h = np.concatenate([simhashes(list(docs)), np.zeros((len(marks), 2), dtype=np.int64)])
         yield pd.DataFrame({"node": [*docs, *marks], "docs": [sorted(x) for x in [*docs.values(), *marks.values()]], "h1": h[:, 0], "h2": h[:, 1], "trusted": [False] * len(docs) + [True] * len(marks)})
 
