@@ -29,7 +29,8 @@ TRAIN_ROWS = 12_000  # labelled rows the forest is fitted on, chosen by a hash o
 TREES, DEPTH, SEED = 20, 8, 7
 SURE = 0.1  # a first forest's probability below which an unlabelled file is an example of what people wrote
 DATA_SHARE, DATA_LINES = 0.6, 8  # share of characters in literals, and lines, of a sure example of data
-HEAD, FOOT = 10, 4  # lines of the head and the foot in which a notice may stand
+HEAD, FOOT = 10, 4  # lines other than comments and empty ones that end the head and the foot, in whose comments a notice may stand
+SAID = ("made", "taken", "small")
 
 # How notices are worded in the languages they come in.
 MADE = re.compile(r"(?i)auto-?\s?generated|automatically (?:generated|created|produced)|machine[- ]generated|code generated|(?<!originally )\bgenerated (?:by|from|with|using|on|at|code|file)\b|@generated|"
@@ -55,24 +56,39 @@ DIGITS = re.compile(r"\d+")
 SUMS = ["n_chars", "n_blank", "z", "n_tokens", "h_tokens", "n_names", "l_names", "n_short", "n_digits", "n_comment", "c_comment", "c_literal", "n_long", "n_shapes", "n_shown", "c_space", "n_defs"]
 
 
-def notices(lines: list[str]) -> tuple[set[int], bool, bool, bool]:
-    """The lines that hold a notice, and whether it says generated, taken over, minified."""
-    at, made, taken, small = set(), False, False, False
-    n = len(lines)
-    for i in {*range(min(HEAD, n)), *range(max(0, n - FOOT), n)}:
-        t = lines[i][:400]
-        if not COMMENT.match(t):
-            continue
-        if KEPT.search(t):
-            at.add(i)
-            continue
-        m, k, s = MADE.search(t), TAKEN.search(t), SMALL.match(t)
-        if m or k or s:
-            at.add(i)
-            made, taken, small = made or bool(m), taken or bool(k), small or bool(s)
-        elif re.search(r"(?i)copyright|\blicen[cs]e|spdx", t):
-            at.add(i)
-    return at, made, taken, small
+def _ends(numbered: list[tuple[int, str]], most: int) -> Iterator[int]:
+    """From one end on, the lines of comments before ``most`` other lines; comments of any length don't count, so a licence hides no notice below it."""
+    for i, t in numbered:
+        if COMMENT.match(t):
+            yield i
+        elif t.strip():
+            most -= 1
+            if not most:
+                return
+
+
+def notices(lines: list[str], first: bool = True) -> tuple[set[int], tuple[bool, bool, bool], tuple[bool, bool, bool]]:
+    """The lines that hold a notice, and whether one in the head, or in the foot, says generated, taken over, minified. Only a file's first block has a head."""
+    numbered = list(enumerate(lines))
+    at: set[int] = set()
+    said = []
+    for places in (set(_ends(numbered, HEAD)) if first else set(), set(_ends(numbered[::-1], FOOT))):
+        made = taken = small = False
+        for i in places:
+            t = lines[i]
+            if t.lstrip().startswith("/*"):
+                t = t[:t.find("*/", t.find("/*") + 2) + 2 or None] if "*/" in t else t
+            if KEPT.search(t):
+                at.add(i)
+                continue
+            m, k, s = MADE.search(t), TAKEN.search(t), SMALL.match(t)
+            if m or k or s:
+                at.add(i)
+                made, taken, small = made or bool(m), taken or bool(k), small or bool(s)
+            elif re.search(r"(?i)copyright|\blicen[cs]e|spdx", t):
+                at.add(i)
+        said.append((made, taken, small))
+    return at, said[0], said[1]
 
 
 def measure(lines: list[str]) -> list[float]:
@@ -96,10 +112,10 @@ def _measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = []
         for f, b, head, text in zip(pdf["file_id"], pdf["block"], pdf["head"], pdf["text"]):
             lines = text.split("\n") if text else []
-            at, made, taken, small = notices(lines)
+            at, top, foot = notices(lines, b == 0)
             left = [t for i, t in enumerate(lines) if i not in at] if at else lines
-            rows.append((f, head, *measure(left), len(left), made, taken, small))
-        yield pd.DataFrame(rows, columns=["file_id", "head", *SUMS, "longest", "n_lines", "made", "taken", "small"]).astype({"file_id": "int64"} | {c: "float64" for c in [*SUMS, "longest", "n_lines"]})
+            rows.append((f, b, head, *measure(left), len(left), *top, *foot))
+        yield pd.DataFrame(rows, columns=["file_id", "block", "head", *SUMS, "longest", "n_lines", *SAID, *(f"foot_{c}" for c in SAID)]).astype({"file_id": "int64"} | {c: "float64" for c in [*SUMS, "longest", "n_lines"]})
 
 
 def features(lines: DataFrame, files: DataFrame, block_lines: int = BLOCK_LINES) -> DataFrame:
@@ -108,8 +124,8 @@ def features(lines: DataFrame, files: DataFrame, block_lines: int = BLOCK_LINES)
     heads = known.select("file_id", F.to_json(F.struct("path", "language", "size")).alias("head"))
     blocks = text_blocks(lines, heads, block_lines).select("file_id", "block", "head", "text")
     types = ", ".join(f"{c} double" for c in [*SUMS, "longest", "n_lines"])
-    parts = blocks.mapInPandas(_measure, f"file_id bigint, head string, {types}, made boolean, taken boolean, small boolean")
-    whole = parts.groupBy("file_id").agg(F.max("head").alias("head"), *(F.sum(c).alias(c) for c in [*SUMS, "n_lines"]), F.max("longest").alias("longest"), *(F.max(c).alias(c) for c in ("made", "taken", "small")))
+    parts = blocks.mapInPandas(_measure, f"file_id bigint, block int, head string, {types}, " + ", ".join(f"{c} boolean" for c in [*SAID, *(f"foot_{c}" for c in SAID)]))
+    whole = parts.groupBy("file_id").agg(F.max("head").alias("head"), *(F.sum(c).alias(c) for c in [*SUMS, "n_lines"]), F.max("longest").alias("longest"), *((F.max(c) | F.max_by(f"foot_{c}", "block")).alias(c) for c in SAID))
     meta = F.from_json("head", "path string, language string, size bigint")
     per = lambda a, b: (F.col(a) / F.greatest(F.col(b), F.lit(1.0))).alias(f"{a}_per_{b}")
     rows = whole.where(F.col("head").isNotNull() & (F.col("n_shown") > 0)).withColumn("m", meta).select(
@@ -123,25 +139,24 @@ def features(lines: DataFrame, files: DataFrame, block_lines: int = BLOCK_LINES)
     return rows
 
 
-NOT_FEATURES = {"file_id", "path", "language", "made", "taken", "small", "p_taken", "p_made", "p_small"}
+NOT_FEATURES = {"file_id", "path", "language", "made", "taken", "small"}
 
 
 def _forest() -> RandomForestClassifier:
-    return RandomForestClassifier(featuresCol="v", labelCol="label", numTrees=TREES, maxDepth=DEPTH, seed=SEED, minInstancesPerNode=3, maxBins=32, subsamplingRate=0.8)
+    return RandomForestClassifier(featuresCol="v", labelCol="label", numTrees=TREES, maxDepth=DEPTH, seed=SEED, featureSubsetStrategy="onethird", minInstancesPerNode=3, maxBins=32, subsamplingRate=0.8)
 
 
 def classified(lines: DataFrame, files: DataFrame, train_rows: int = TRAIN_ROWS, block_lines: int = BLOCK_LINES) -> DataFrame:
     """file_id, path, language, kind, probability: each indexed file with a language and a text; kind is null for what people wrote.
 
     Null texts are empty lines, repeated rows count once, empty files and files without a language are left out. Without examples of both sorts
-    only notices and paths decide.
+    only notices decide.
     """
     rows = features(lines, files, block_lines).persist()
-    stated = F.col("made") | F.col("small") | (F.col("p_made") + F.col("p_small") > 0)
+    noticed, named = F.col("made") | F.col("small") | F.col("taken"), F.col("p_made") + F.col("p_small") + F.col("p_taken") > 0
     data = (F.col("c_literal_per_n_chars") >= DATA_SHARE) & (F.col("n_lines") >= math.log1p(DATA_LINES))
-    # what was taken over is written by people all the same; it says nothing about form, so it is no example of either sort
-    labelled = (rows.where(stated | data | ~F.col("taken") & (F.col("p_taken") == 0)).withColumn("label", (stated | data).cast("double"))
-                .orderBy(F.xxhash64("file_id"), "file_id").limit(train_rows))
+    # a path that says what a file is counts as a feature; such a file without a notice is an example of neither sort
+    labelled = rows.where(noticed | data | ~named).withColumn("label", (noticed | data).cast("double")).orderBy(F.xxhash64("file_id"), "file_id").limit(train_rows)
     names = [c for c in rows.columns if c not in NOT_FEATURES]
     vectors = VectorAssembler(inputCols=names, outputCol="v", handleInvalid="keep")
     train = vectors.transform(labelled).select("v", "label").persist()
@@ -156,11 +171,12 @@ def classified(lines: DataFrame, files: DataFrame, train_rows: int = TRAIN_ROWS,
         scored = model.transform(vectors.transform(rows)).withColumn("probability", vector_to_array("probability")[1]).drop("v", "rawPrediction", "prediction")
         sure.unpersist()
     train.unpersist()
-    kind = (F.when(F.col("made") | (F.col("p_made") > 0), "generated").when(F.col("small") | (F.col("p_small") > 0), "minified").when(F.col("taken") | (F.col("p_taken") > 0), "third party")
-            .when(F.col("probability") >= 0.5, F.when(F.col("longest") > math.log1p(600), "minified").when(F.col("c_literal_per_n_chars") > 0.6, "data").otherwise("generated")))
-    return scored.select("file_id", "path", "language", kind.alias("kind"), F.round("probability", 6).alias("probability"), *[c for c in names if c not in ("file_id",)])
+    found = F.col("probability") >= 0.5
+    kind = (F.when((F.col("made") | found & (F.col("p_made") > 0)), "generated").when(F.col("small") | found & (F.col("p_small") > 0), "minified").when(F.col("taken") | found & (F.col("p_taken") > 0), "third party")
+            .when(found, F.when(F.col("longest") > math.log1p(600), "minified").when(F.col("c_literal_per_n_chars") > 0.6, "data").otherwise("generated")))
+    return scored.select("file_id", "path", "language", kind.alias("kind"), F.when(found, "forest").when(kind.isNotNull(), "notice").alias("by"), F.round("probability", 6).alias("probability"), *[c for c in names if c not in ("file_id",)])
 
 
 def not_written(lines: DataFrame, files: DataFrame, train_rows: int = TRAIN_ROWS, block_lines: int = BLOCK_LINES) -> DataFrame:
     """file_id, kind: the files that people did not write here."""
-    return classified(lines, files, train_rows, block_lines).where(F.col("kind").isNotNull()).select("file_id", "kind", "probability")
+    return classified(lines, files, train_rows, block_lines).where(F.col("kind").isNotNull()).select("file_id", "kind", "by", "probability")

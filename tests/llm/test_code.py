@@ -204,7 +204,11 @@ def test_long_files_in_pieces(spark, tables, language):
 
 
 def test_notices():
-    look = lambda *t: handwritten.notices(list(t))[1:]
+    look = lambda *t, first=True: tuple(a or b for a, b in zip(*handwritten.notices(list(t), first)[1:]))
+    licence = [f"// line {i} of the licence" for i in range(60)]
+    assert look(*licence, "// Code generated by x. DO NOT EDIT.", "package a") == (True, False, False)
+    assert look(*(f"a = {i}" for i in range(20)), "// Code generated by x. DO NOT EDIT.", *(f"a = {i}" for i in range(20))) == (False, False, False)
+    assert look("// Code generated by x. DO NOT EDIT.", *(f"a = {i}" for i in range(20)), first=False) == (False, False, False) and look("/* " + "x" * 900 + " generated by y */ a = 1")[0]
     assert look("// Code generated by tool 1.2. DO NOT EDIT.", "x") == (True, False, False)
     assert look("# Diese Datei wurde von x erzeugt, nicht bearbeiten") == (True, False, False)
     assert look("// Imported unchanged from lib 2.0.7 upstream") == (False, True, False)
@@ -222,10 +226,16 @@ def test_forest_finds_what_no_notice_says(spark, tables):
     texts = {i: (f"r/src/h{i}.py", "python", hand(i)) for i in range(1, 161)}
     texts |= {i: (f"r/src/m{i}.py", "python", "\n".join(made(i, i % 2))) for i in range(200, 240)}
     texts |= {i: (f"r/src/d{i}.py", "python", "\n".join(data(i))) for i in range(300, 312)}
-    texts |= {400: ("r/third_party/lib/a.py", "python", hand(0)), 401: ("r/vendors/a.py", "python", hand(0)), 402: ("r/a.min.js", "javascript", "x"), 403: ("r/e.py", "python", ""), 404: ("r/n.py", "python", None), 405: ("r/nolang", None, "\n".join(made(1, True)))}
+    texts |= {i: (f"r/{('vendor/lib', 'third_party/x')[i % 2]}/v{i}.py", "python", f"# Imported unchanged from lib {i}.0.1 upstream\n" + hand(i)) for i in range(500, 530)}
+    texts |= {i: (f"r/w{i}.min.js", "javascript", f"/*! w{i} v1.2 | (c) w authors */\n" + "".join(f"var {chr(97 + k % 26)}={rng.randint(1, 9)};" for k in range(200))) for i in range(600, 620)}
+    texts |= {406: ("r/w406.min.js", "javascript", "".join(f"var {chr(97 + k % 26)}={rng.randint(1, 9)};" for k in range(200))), 407: ("r/src/t.py", "python", "# Imported unchanged from lib 2.0.7 upstream\n" + hand(1))}
+    texts |= {400: ("r/third_party/lib/a.py", "python", hand(0)), 401: ("r/vendors/a.py", "python", hand(0)), 403: ("r/e.py", "python", ""), 404: ("r/n.py", "python", None), 405: ("r/nolang", None, "\n".join(made(1, True)))}
     lines, files = tables(texts)
-    got = {r["file_id"]: r["kind"] for r in handwritten.not_written(lines, files).collect()}
-    assert set(got) == set(range(200, 240)) | set(range(300, 312)) | {400, 402}
-    assert got[400] == "third party" and got[402] == "minified" and got[300] == "data" and got[200] == "generated"
+    rows = handwritten.not_written(lines, files).collect()
+    got, by = {r["file_id"]: r["kind"] for r in rows}, {r["file_id"]: r["by"] for r in rows}
+    assert set(got) == set(range(200, 240)) | set(range(300, 312)) | set(range(500, 530)) | set(range(600, 620)) | {400, 406, 407}
+    assert got[400] == "third party" and got[406] == "minified" and got[300] == "data" and got[200] == "generated"
+    # the forest decides on all but the file whose notice is all that tells it from the others
+    assert {i for i in by if by[i] != "forest"} == {407}
     assert handwritten.not_written(lines.limit(0), files).count() == 0
     assert handwritten.not_written(*tables({1: ("r/a.py", "python", "x = 1")})).count() == 0
