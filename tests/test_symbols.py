@@ -52,7 +52,7 @@ def test_patterns_stay_fast_on_long_lines(spark):
     long = "public static final " * 4000 + "x"
     for language in ("java", "csharp", "cpp", "c", "kotlin", "swift", "php"):
         found(spark, language, [" " * 200 + "a" * 200, long[:3000]])
-    assert sum(len(v) for v in SPECS.values()) == 51 and all(pattern(k, i) for k in SPECS for i in range(len(SPECS[k])))
+    assert sum(map(len, SPECS.values())) == 51 and all(pattern(f) for forms in SPECS.values() for f in forms)
 
 
 def test_lines_in_blocks_give_the_same(spark):
