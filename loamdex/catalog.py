@@ -134,9 +134,20 @@ def show_context(x: Index) -> DataFrame:
     return navigate.show(x, "ame.js", 5)
 
 
-@query("select path, line, kind, name, language, signature from s where name = 'harbor' or false")
+DEFINED = "name = (select name from s group by 1 order by count(*) desc, name limit 1)"
+
+
+@query(f"select path, line, kind, name, language, signature from s where {DEFINED}")
 def refs_definitions(x: Index) -> DataFrame:
-    return navigate.refs_definitions(x, "harbor")
+    """The definitions of the name that has most of them."""
+    most = x.symbols.groupBy("name").count().orderBy(F.desc("count"), "name").first()
+    return navigate.refs_definitions(x, most["name"] if most else "none")
+
+
+@query("select path, line, kind, name, language, signature from s where lower(name) = (select lower(name) from s where kind = 'class' and language = 'python' group by 1 order by count(*) desc, 1 limit 1) and kind in ('class', 'method')")
+def refs_definitions_kinds(x: Index) -> DataFrame:
+    most = x.symbols.where("kind = 'class' and language = 'python'").groupBy(F.lower("name").alias("n")).count().orderBy(F.desc("count"), "n").first()
+    return navigate.refs_definitions(x, most["n"].upper() if most else "none", kinds=["method", "class"], ignore_case=True)
 
 
 ID = r"(^|[^_$\pL\p{{Nd}}]){}($|[^_$\pL\p{{Nd}}])"
@@ -198,9 +209,15 @@ def logs_newest(x: Index) -> DataFrame:
     return navigate.logs(x)
 
 
-@query("select * from r order by id desc limit 1000")
+@query("select * from r order by id desc limit 15")
 def logs_retention(x: Index) -> DataFrame:
-    return navigate.retained_runs(x.runs)
+    """Fewer runs than the smallest table has, so that some have to go."""
+    return navigate.retained_runs(x.runs, keep=15)
+
+
+@query("select id, operation, status from r where id not in (select id from r order by id desc limit 15)")
+def logs_dropped(x: Index) -> DataFrame:
+    return x.runs.join(navigate.retained_runs(x.runs, keep=15), "id", "left_anti").select("id", "operation", "status")
 
 
 @query("select root, status, count(*) as runs, min(started_at) as first_start, max(finished_at) as last_finish from r group by 1, 2")
@@ -278,6 +295,12 @@ def language_detect_map(x: Index) -> DataFrame:
     return x.files.select("id", T.detect_language(F.col("path")).alias("language"), T.extension(F.col("path")).alias("extension"))
 
 
+@query("select id, language from f where language is not null")
+def language_detect_stored(x: Index) -> DataFrame:
+    """The languages that the index has stored, made anew from the paths."""
+    return x.files.where("language is not null").select("id", T.detect_language(F.col("path")).alias("language"))
+
+
 @query("select id, path, language from f where index_status = 'indexed' and not exists (select 1 from s where s.file_id = f.id)")
 def doc_not_exists_pattern(x: Index) -> DataFrame:
     return navigate.without_symbols(x)
@@ -389,6 +412,40 @@ def fts_column(x: Index) -> DataFrame:
     return _fts(x, "name:harbor")
 
 
+def _all_fields(x: Index, text: str) -> DataFrame:
+    return fulltext.match(fulltext.symbol_postings(x.symbols), "key", text).withColumnRenamed("key", "id")
+
+
+def _any(test: str) -> str:
+    return " or ".join("(" + test.format(TOKENS.format(f'"{c}"' if c == "column" else f"coalesce({c}, '')")) + ")" for c in fulltext.SYMBOL_FIELDS)
+
+
+@query("select id from s where (" + _any("list_contains({}, 'harbor')") + ") and not (" + _any("list_contains({}, 'python')") + ")")
+def fts_symbols_all(x: Index) -> DataFrame:
+    """Over all six fields of symbols, so that a language and a word of the context count."""
+    return _all_fields(x, "harbor NOT python")
+
+
+CONTENT = f""", d as (select file_id, {TOKENS.format("string_agg(text, chr(10) order by line)")} as ts from l where file_id in (select id from f where index_status = 'indexed') group by 1)
+"""
+
+
+def _content(x: Index, text: str) -> DataFrame:
+    return fulltext.match(fulltext.file_postings(x.files, x.lines), "key", text).withColumnRenamed("key", "id")
+
+
+@query(CONTENT + "select file_id as id from d where list_contains(ts, 'harbor') and not list_contains(ts, 'ledger') and list_contains(ts, 'return')")
+def fts_content_term(x: Index) -> DataFrame:
+    """Over the contents of files."""
+    return _content(x, "content:harbor content:return NOT content:ledger")
+
+
+@query(CONTENT + "select file_id as id from d where contains(' ' || array_to_string(ts, ' ') || ' ', ' end end def ')")
+def fts_content_phrase(x: Index) -> DataFrame:
+    """A phrase goes on from line to line."""
+    return _content(x, 'content:"end end def"')
+
+
 def _sql(x: Index, text: str) -> DataFrame:
     x.views()
     return sqlgate.run(x.files.sparkSession, text)
@@ -404,10 +461,44 @@ def sql_passthrough_window(x: Index) -> DataFrame:
     return _sql(x, 'with w as (select path, line_count, rank() over (partition by language order by line_count desc, path) as rank_in_language from file_metrics) select path, "line_count", rank_in_language from w where rank_in_language <= 3')
 
 
-@query(f"select path, cast(size // 1000 as bigint) as kilobytes from f where {fold('path')} like '%readme%' or {fold('path')} like '%.py'")
+@query(f"select path, size // 1000 as kilobytes from f where {fold('path')} like '%readme%' or {fold('path')} like '%.py'")
 def sql_passthrough_like(x: Index) -> DataFrame:
-    """LIKE folds ASCII case, a GLOB is a pattern, and the dialect's functions are taken over."""
-    return _sql(x, "select path, cast(floor(size / 1000) as bigint) as kilobytes from files where path like '%README%' or path glob '*.[pP][yY]'")
+    """LIKE folds ASCII case, a GLOB is a pattern, and integers divide to integers."""
+    return _sql(x, "select path, size / 1000 as kilobytes from files where path like '%README%' or path glob '*.[pP][yY]'")
+
+
+@query(f"select path, size // 7 // 3 as n, (size + mtime) // 1000 as m from f where {fold('path')} like '%.py' and not {fold('language')} like 'j%' and {fold('extension')} = '.py'")
+def sql_passthrough_expressions(x: Index) -> DataFrame:
+    """LIKE over an expression, NOT LIKE, a comparison without case, and divisions of columns and expressions."""
+    return _sql(x, "select path, size / 7 / 3 as n, (size + mtime) / 1000 as m from files where path like '%' || '.PY' and language not like 'J' || '%' and extension = '.Py' collate nocase")
+
+
+@query("select language from f where language is not null except select language from s where kind = 'class' union select 'none' as language")
+def sql_passthrough_sets(x: Index) -> DataFrame:
+    return _sql(x, "select language from files where language is not null except select language from symbols where kind = 'class' union select 'none' as language")
+
+
+@query("select language from f where index_status = 'skipped' intersect select language from s")
+def sql_passthrough_intersect(x: Index) -> DataFrame:
+    return _sql(x, "select language from files where index_status = 'skipped' intersect select language from symbols")
+
+
+@query("select language, string_agg(kind, '|' order by kind) as kinds from (select distinct language, kind from s) group by 1")
+def sql_passthrough_concat(x: Index) -> DataFrame:
+    """The order within a list is the query's, so each list is sorted outside."""
+    lists = _sql(x, "select language, group_concat(distinct kind, '|') as kinds from symbols group by language")
+    return lists.select("language", F.array_join(F.array_sort(F.split("kinds", r"\|")), "|").alias("kinds"))
+
+
+@query("select f.path, count(*) as n, max(length(l.text)) as longest from f join l on l.file_id = f.id left join m on m.file_id = f.id where m.file_id is null or m.code_lines > 50 group by 1")
+def sql_passthrough_join(x: Index) -> DataFrame:
+    return _sql(x, "select f.path, count(*) as n, max(length(l.text)) as longest from files f join lines l on l.file_id = f.id left join file_metrics m on m.file_id = f.id where m.file_id is null or m.code_lines > 50 group by f.path")
+
+
+@query(r"select id, coalesce(try_cast(regexp_extract(path, '/[a-z]*0*([0-9]+)/', 1) as bigint), 0) as n from f")
+def sql_passthrough_cast(x: Index) -> DataFrame:
+    """A cast takes the number that a text begins with."""
+    return _sql(x, "select id, cast(regexp_extract(path, '/[a-z]*0*([0-9]+/)', 1) as integer) as n from files")
 
 
 def table(name: str, sql: str) -> Callable:

@@ -60,6 +60,7 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("query", nargs="?")
     c = sub.add_parser("match")
     c.add_argument("query")
+    c.add_argument("--content", action="store_true", help="search paths, languages and contents of files instead of symbols")
     c = sub.add_parser("logs")
     c.add_argument("--limit", type=int, default=20)
     return p
@@ -140,8 +141,10 @@ def run(argv: list[str], spark: SparkSession) -> str:
         defined = [r.asDict() for r in navigate.refs_definitions(x, a.name, a.kind, a.language, a.ignore_case).collect()]
         return as_json({"name": a.name, "kinds": sorted(set(a.kind)), "definitions": defined, "candidates": found}) if a.format == "json" else refs_text(a.name, defined, found)
     if a.command == "match":
-        docs = x.symbols.select("id", "name", "kind", "language", "path", "signature", "context")
-        hits = fulltext.match(fulltext.postings(docs, "id", ["name", "kind", "language", "path", "signature", "context"]), "id", a.query)
+        if a.content:
+            hits = fulltext.match(x.files_postings, "key", a.query).withColumnRenamed("key", "id")
+            return show(x.files.join(hits, "id", "left_semi").orderBy("path", "id").select(*navigate.FILE_LIST_COLUMNS))
+        hits = fulltext.match(x.symbols_postings, "key", a.query).withColumnRenamed("key", "id")
         return show(x.symbols.join(hits, "id", "left_semi").orderBy("path", "line", "column", "name").select(*navigate.SYMBOL_COLUMNS))
     x.views()
     df = sqlgate.run(spark, a.query if a.query is not None else sys.stdin.read())

@@ -114,10 +114,6 @@ def normalized_path(path: str) -> str:
     return "" if p == "." else p
 
 
-def is_ascii(s: str) -> bool:
-    return s.isascii()
-
-
 def like_regex(pattern: str) -> str:
     """The regular expression that matches like LIKE does; for tests."""
     return "^" + "".join({"%": ".*", "_": "."}.get(ch, re.escape(ch)) for ch in pattern) + "$"

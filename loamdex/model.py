@@ -28,13 +28,22 @@ SCHEMAS: dict[str, StructType] = {
     "symbols_fts": _table(("name", _S, True), ("kind", _S, True), ("language", _S, True), ("path", _S, True), ("signature", _S, True), ("context", _S, True)),
     "build_runs": _table(("id", _L, False), ("operation", _S, False), ("status", _S, False), ("root", _S, False), ("db", _S, False), ("started_at", _S, False), ("finished_at", _S, False), ("error_message", _S, True)),
 }
+#: A posting of the full-text index: what is found, its field, the token's place in the field, and the token.
+POSTING = _table(("key", _L, False), ("column", _S, False), ("position", _L, False), ("token", _S, False))
+POSTINGS = ["symbols_postings", "files_postings"]
+
+
+def schema_of(name: str) -> StructType:
+    return POSTING if name in POSTINGS else SCHEMAS[name]
+
+
 KEYS: dict[str, list[str]] = {"meta": ["key"], "components": ["name"], "files": ["id"], "symbols": ["id"], "lines": ["file_id", "line"], "file_metrics": ["file_id"], "files_fts": [], "symbols_fts": [], "build_runs": ["id"]}
 STATUSES = {"components.status": ("ready", "disabled", "unavailable"), "files.index_status": ("indexed", "skipped"), "files.encoding_source": ("utf8", "bom", "declaration", "fallback"),
             "build_runs.status": ("succeeded", "failed", "skipped")}
 
 
 def empty(spark: SparkSession, name: str) -> DataFrame:
-    return spark.createDataFrame([], SCHEMAS[name])
+    return spark.createDataFrame([], schema_of(name))
 
 
 def catalog_rows(names: list[str] | None = None) -> list[tuple[str, int, str, str, bool, int | None]]:
@@ -53,7 +62,7 @@ def checked(df: DataFrame, name: str) -> DataFrame:
     """df in the table's columns and types; an unknown value of an enumerated column fails the write."""
     from pyspark.sql import functions as F
 
-    out = df.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in SCHEMAS[name].fields))
+    out = df.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in schema_of(name).fields))
     for column, allowed in STATUSES.items():
         t, c = column.split(".")
         if t == name:

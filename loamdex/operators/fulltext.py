@@ -5,9 +5,14 @@ from __future__ import annotations
 import re
 import unicodedata
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..model import SCHEMAS
+
+SYMBOL_FIELDS = [f.name for f in SCHEMAS["symbols_fts"].fields]
+FILE_FIELDS = ["path", "language"]  # besides the content, which is the file's lines
+
 
 def fold_text(s: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFD", s.lower()) if not unicodedata.combining(c))
@@ -32,6 +37,24 @@ def postings(docs: DataFrame, key: str, columns: list[str]) -> DataFrame:
     return each
 
 
+def symbol_postings(symbols: DataFrame) -> DataFrame:
+    """The postings of symbols by their ids."""
+    return postings(symbols, "id", SYMBOL_FIELDS).withColumnRenamed("id", "key")
+
+
+def file_postings(files: DataFrame, lines: DataFrame, block_lines: int = 1000) -> DataFrame:
+    """The postings of indexed files by their ids: path, language, and content, in which positions go on from line to line. A long file's lines are counted
+    in blocks, and only the blocks' sums are added up in one place."""
+    kept = files.where("index_status = 'indexed'").select("id", *FILE_FIELDS)
+    own = lines.join(kept.select(F.col("id").alias("file_id")), "file_id", "left_semi").select("file_id", "line", F.floor(F.col("line") / block_lines).alias("block"), tokens(F.col("text")).alias("ts"))
+    sums = own.groupBy("file_id", "block").agg(F.sum(F.size("ts")).alias("n"))
+    earlier = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    before = sums.select("file_id", "block", earlier(Window.partitionBy("file_id").orderBy("block")).alias("before"))
+    within = own.withColumn("n", F.size("ts")).withColumn("within", earlier(Window.partitionBy("file_id", "block").orderBy("line"))).join(before, ["file_id", "block"])
+    content = within.select(F.col("file_id").alias("key"), F.lit("content").alias("column"), (F.col("before") + F.col("within")).alias("start"), F.posexplode("ts").alias("p", "token"))
+    return postings(kept, "id", FILE_FIELDS).withColumnRenamed("id", "key").withColumn("position", F.col("position").cast("bigint")).unionByName(content.select("key", "column", (F.col("start") + F.col("p")).alias("position"), "token"))
+
+
 _QUERY = re.compile(r'\s*(?:(NOT|AND|OR)\b|([\w]+)\s*:\s*|"([^"]*)"|([^\s"():]+)|([()]))', re.U)
 
 

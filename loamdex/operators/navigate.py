@@ -6,7 +6,7 @@ negative limit means none.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import contains_nocase, equals_nocase, identifier, like_nocase, normalized_path
@@ -118,8 +118,8 @@ def refs(index: Index, name: str, language: str | None = None, ignore_case: bool
     """The candidates with the scopes around each, outermost first: symbols of several lines whose lines contain the candidate's."""
     found = refs_candidates(index, name, language, ignore_case, limit)
     scopes = index.symbols.where(F.col("kind").isin(*SCOPE_KINDS) & (F.col("end_line") > F.col("line"))).select("path", F.col("line").alias("l"), "end_line", "column", "name", "kind")
-    # at most ``limit`` candidates are left, so they are the small side
-    inside = scopes.join(F.broadcast(found), "path").where(F.col("line").between(F.col("l"), F.col("end_line"))) if limit <= 100_000 else scopes.join(found, "path").where(F.col("line").between(F.col("l"), F.col("end_line")))
+    # only where the candidates stand moves, not their text
+    inside = scopes.join(found.select("path", "line").distinct(), "path").where(F.col("line").between(F.col("l"), F.col("end_line")))
     of = inside.groupBy("path", "line").agg(F.array_sort(F.collect_set(F.struct(F.col("l"), (-F.col("end_line")).alias("e"), "column", "name", "kind"))).alias("s"))
     scope = F.transform("s", lambda x: F.struct(x["kind"].alias("kind"), x["name"].alias("name"), x["l"].alias("line")))
     empty = F.array().cast("array<struct<kind:string,name:string,line:int>>")
@@ -179,6 +179,3 @@ def large_with_few_symbols(index: Index, least_lines: int, most_symbols: int, li
     hit = index.metrics.where((F.col("line_count") >= least_lines) & (F.col("symbol_count") <= most_symbols))
     return limited(hit.orderBy(F.desc("line_count"), "path"), limit).select("path", "language", "line_count", "symbol_count")
 
-
-def path_column() -> Column:
-    return F.col("path")

@@ -11,26 +11,29 @@ from pyspark.sql import functions as F
 
 from ..functions.metrics import with_metrics
 from ..functions.text import split_lines
-from ..model import SCHEMA_VERSION, SCHEMAS, empty
+from ..model import POSTINGS, SCHEMA_VERSION, SCHEMAS, empty
+from ..operators.fulltext import file_postings, symbol_postings
 from ..operators.incremental import next_rows, reconcile, update_counts, with_ids
 from ..operators.scanners import scanned_symbols
 from ..operators.symbols import pattern_symbols
 from ..sources import git
 from ..sources.config import Config
 from ..sources.snapshot import Store, now
+from ..sources.tables import Index
 
 FILE_SOURCE, HASH = "git-tracked", "sha256"
+#: What of an index keeps it from being brought up to date, in words.
 BLOCKERS = {
-    "schema_version": "index schema is incompatible", "file_source": "index file source is incompatible", "hash_algorithm": "index hash algorithm is incompatible", "fts5": "index full-text setting is incompatible",
-    "config_max_bytes": "index max bytes setting is incompatible", "config_ignore_dirs": "index ignore dirs setting is incompatible", "config_encoding_fallbacks": "index encoding fallbacks setting is incompatible",
-    "different_checkout": "index belongs to a different checkout", "unknown_git_history": "index belongs to an unknown Git history",
+    "schema_version": "its tables have another layout", "file_source": "its files were found in another way", "hash_algorithm": "its contents were hashed in another way", "fts5": "it was made with another full-text setting",
+    "config_max_bytes": "it was made with another limit of file sizes", "config_ignore_dirs": "it was made with other ignored folders", "config_encoding_fallbacks": "it was made with other fallback encodings",
+    "different_checkout": "it is of another checkout", "unknown_git_history": "its revision isn't in this repository",
 }
 ADOPTABLE = {"different_checkout", "unknown_git_history"}
 
 
 class Incompatible(ValueError):
     def __init__(self, blocker: str):
-        super().__init__(f"{BLOCKERS[blocker]}; run rebuild" + (", or update with adopt" if blocker in ADOPTABLE else ""))
+        super().__init__(f"the index can't be updated: {BLOCKERS[blocker]}; rebuild it" + (" or adopt it with update" if blocker in ADOPTABLE else ""))
         self.blocker = blocker
 
 
@@ -61,6 +64,21 @@ def derive(scanned: DataFrame) -> dict[str, DataFrame]:
     return {"files": scanned.select(*(f.name for f in SCHEMAS["files"].fields)), "lines": lines, "symbols": symbols, "file_metrics": metrics.select(*(f.name for f in SCHEMAS["file_metrics"].fields))}
 
 
+def with_postings(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """The tables and their full-text index."""
+    return tables | {"symbols_postings": symbol_postings(tables["symbols"]), "files_postings": file_postings(tables["files"], tables["lines"])}
+
+
+def next_tables(x: Index, fresh: dict[str, DataFrame], outcomes: DataFrame) -> dict[str, DataFrame]:
+    """The tables of the next snapshot: the rows of untouched files, and the fresh ones."""
+    stale = x.files.join(outcomes.where("outcome <> 'unchanged' or removed").select("path"), "path", "left_semi").select(F.col("id").alias("file_id"))
+    gone = x.symbols.join(stale, "file_id", "left_semi").select(F.col("id").alias("key"))
+    added = with_postings(fresh)
+    return {"files": next_rows(x.files, fresh["files"], outcomes), "symbols": next_rows(x.symbols, fresh["symbols"], outcomes), "file_metrics": next_rows(x.metrics, fresh["file_metrics"], outcomes),
+            "lines": x.lines.join(stale, "file_id", "left_anti").unionByName(fresh["lines"]), "symbols_postings": x.symbols_postings.join(gone, "key", "left_anti").unionByName(added["symbols_postings"]),
+            "files_postings": x.files_postings.join(stale.withColumnRenamed("file_id", "key"), "key", "left_anti").unionByName(added["files_postings"])}
+
+
 def metadata(spark: SparkSession, old: dict[str, str], operation: str, root: Path, config: Config) -> DataFrame:
     """Metadata after an operation. Values that aren't known now leave the stored ones."""
     fresh = settings(config) | {"root": str(root), "updated_at": now(), "last_operation": operation} | git.state(root)
@@ -86,7 +104,7 @@ def init(spark: SparkSession, store: Store, root: Path, config: Config) -> Resul
     if not store.lock("init", str(root)):
         raise BlockingIOError("the index is locked")
     try:
-        tables = {n: empty(spark, n) for n in ("files", "lines", "symbols", "file_metrics")}
+        tables = {n: empty(spark, n) for n in ("files", "lines", "symbols", "file_metrics", *POSTINGS)}
         store.publish(tables | {"meta": metadata(spark, {}, "init", root, config), "components": parts(spark)})
     finally:
         store.unlock()
@@ -98,7 +116,7 @@ def rebuild(spark: SparkSession, store: Store, root: Path, config: Config) -> Re
         scanned = with_ids(git.scan(spark, root, config), ["path"]).persist()
         t = derive(scanned)
         t["symbols"] = with_ids(t["symbols"], ["path", "line", "column", "kind", "name"])
-        store.publish(t | {"meta": metadata(spark, {}, "rebuild", root, config), "components": parts(spark)})
+        store.publish(with_postings(t) | {"meta": metadata(spark, {}, "rebuild", root, config), "components": parts(spark)})
         x = store.read(spark)
         m = x.metrics.agg(F.count(F.lit(1)).alias("n"), *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("line_count", "code_lines", "comment_lines", "blank_lines", "symbol_count"))).first()
         f = x.files.agg(F.count_if(F.col("index_status") == "skipped").alias("skipped"), F.coalesce(F.sum("transcoded"), F.lit(0)).alias("transcoded")).first()
@@ -132,10 +150,7 @@ def update(spark: SparkSession, store: Store, root: Path, config: Config, adopt:
         first = x.symbols.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
         fresh["symbols"] = with_ids(fresh["symbols"], ["path", "line", "column", "kind", "name"], start=first)
         counts["symbols"] = fresh["symbols"].count()
-        stale = x.files.join(outcomes.where("outcome <> 'unchanged' or removed").select("path"), "path", "left_semi").select(F.col("id").alias("file_id"))
-        tables = {"files": next_rows(x.files, fresh["files"], outcomes), "symbols": next_rows(x.symbols, fresh["symbols"], outcomes), "file_metrics": next_rows(x.metrics, fresh["file_metrics"], outcomes),
-                  "lines": x.lines.join(stale, "file_id", "left_anti").unionByName(fresh["lines"])}
-        store.publish(tables | {"meta": metadata(spark, meta, "update", root, config), "components": parts(spark)})
+        store.publish(next_tables(x, fresh, outcomes) | {"meta": metadata(spark, meta, "update", root, config), "components": parts(spark)})
         scanned.unpersist()
         return Result("update", counts)
 

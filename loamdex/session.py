@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import os
+import re
 import tempfile
 import zipfile
 from pathlib import Path
@@ -33,9 +34,12 @@ def ship(spark: SparkSession) -> SparkSession:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Writes df to the folder of ``spark.checkpoint.dir`` and reads it from there, so that an executor's loss costs no lineage. The folder is
-    the session's; only where none is set, as in tests, a local one is taken."""
+    """Writes df to the folder of ``spark.checkpoint.dir`` and reads it from there, so that an executor's loss costs no lineage. The folder is the
+    session's; where none is set a folder of this machine is taken in local mode, as in tests, and a cluster is refused."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="loamdex-checkpoints-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="loamdex-checkpoints-"))
     return df.checkpoint()

@@ -82,12 +82,17 @@ def scan(spark: SparkSession, root: Path, config: Config, candidates: set[str] |
     return df.select("path", detect_language(F.col("path")).alias("language"), extension(F.col("path")).alias("extension")).mapInPandas(read, SCAN)
 
 
+def differing(root: Path, *between: str) -> list[str] | None:
+    """Paths below the root that differ between revisions, index and work tree. A renamed file counts under both names."""
+    return listed(git(root, "diff", "--name-only", "--no-renames", "--relative", "-z", *between, "--", "."))
+
+
 def changed(root: Path, since: str | None, was_dirty: bool) -> set[str] | None:
     """Paths that can differ from the index: committed since, unstaged and staged. Null for all, whenever that can't be told."""
     head = (git(root, "rev-parse", "HEAD") or "").strip()
     if not since or was_dirty or not head:
         return None
-    parts = [listed(git(root, "diff", "--name-only", "-z", since, head)), listed(git(root, "diff", "--name-only", "-z")), listed(git(root, "diff", "--name-only", "-z", "--cached"))]
+    parts = [differing(root, since, head), differing(root), differing(root, "--cached")]
     return None if any(p is None for p in parts) else {p for part in parts for p in part or []}
 
 
@@ -113,7 +118,7 @@ def dirty_hash(root: Path, config: Config | None = None) -> str:
     import hashlib
 
     c = config or Config()
-    paths = sorted({p for a in ((), ("--cached",)) for p in listed(git(root, "diff", "--name-only", "-z", *a)) or [] if keep(p, c)})
+    paths = sorted({p for a in ((), ("--cached",)) for p in differing(root, *a) or [] if keep(p, c)})
     entries = []
     for p in paths:
         f = root / p

@@ -12,11 +12,11 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..model import SCHEMAS, checked, empty
+from ..model import POSTINGS, SCHEMAS, checked, empty, schema_of
 from ..operators.navigate import retained_runs
 from .tables import Index
 
-TABLES = ["files", "lines", "symbols", "file_metrics", "meta", "components"]
+TABLES = ["files", "lines", "symbols", "file_metrics", "meta", "components", *POSTINGS]
 KEPT = 2  # snapshots that stay, so that a reader of the last one can finish
 
 
@@ -44,6 +44,10 @@ class Store:
         shutil.rmtree(new, ignore_errors=True)
         for name in TABLES:
             df = checked(tables[name], name)
+            if name in POSTINGS:
+                # a search reads the row groups of its tokens alone
+                df.repartitionByRange("token").sortWithinPartitions("token", "key").write.mode("overwrite").parquet(str(new / f"{name}.parquet"))
+                continue
             order = {"files": ["path"], "symbols": ["name"], "lines": ["file_id", "line"], "file_metrics": ["path"]}.get(name)
             (df.sortWithinPartitions(*order) if order else df.coalesce(1)).write.mode("overwrite").parquet(str(new / f"{name}.parquet"))
         tmp = self.folder / "CURRENT.tmp"
@@ -58,8 +62,8 @@ class Store:
         at = self.current()
         if at is None:
             raise FileNotFoundError(f"no index at {self.folder}")
-        t = {n: spark.read.schema(SCHEMAS[n]).parquet(str(at / f"{n}.parquet")) for n in TABLES}
-        return Index(t["files"], t["lines"], t["symbols"], t["file_metrics"], self.runs(spark), t["meta"], t["components"])
+        t = {n: spark.read.schema(schema_of(n)).parquet(str(at / f"{n}.parquet")) for n in TABLES}
+        return Index(t["files"], t["lines"], t["symbols"], t["file_metrics"], self.runs(spark), t["meta"], t["components"], *(t[n] for n in POSTINGS))
 
     def meta(self, spark: SparkSession) -> dict[str, str]:
         return {r["key"]: r["value"] for r in self.read(spark).meta.collect()}
@@ -132,7 +136,3 @@ class Store:
             self.record(spark, operation, status, root, started, error)
         except Exception as e:  # a lost log line is no failure of the run
             print(f"warning: the run could not be recorded: {e}")
-
-
-def stamp() -> str:
-    return time.strftime("%Y%m%d%H%M%S")

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.incremental import next_rows, reconcile, with_ids
-from ..plans.build import derive
+from ..operators.incremental import reconcile, with_ids
+from ..plans.build import derive, next_tables
 from ..sources.snapshot import Store
 
 #: What a change carries: a scanned row of a file, or a deletion (a null content_hash).
@@ -32,9 +32,7 @@ def apply_changes(store: Store) -> Callable[[DataFrame, int], None]:
         top, first = (d.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0] for d in (x.files, x.symbols))
         fresh = derive(with_ids(changed, ["path"], start=top))
         fresh["symbols"] = with_ids(fresh["symbols"], ["path", "line", "column", "kind", "name"], start=first)
-        stale = x.files.join(outcomes.where("outcome <> 'unchanged' or removed").select("path"), "path", "left_semi").select(F.col("id").alias("file_id"))
-        store.publish({"files": next_rows(x.files, fresh["files"], outcomes), "symbols": next_rows(x.symbols, fresh["symbols"], outcomes), "file_metrics": next_rows(x.metrics, fresh["file_metrics"], outcomes),
-                       "lines": x.lines.join(stale, "file_id", "left_anti").unionByName(fresh["lines"]), "meta": x.meta, "components": x.components})
+        store.publish(next_tables(x, fresh, outcomes) | {"meta": x.meta, "components": x.components})
         newest.unpersist()
 
     return run

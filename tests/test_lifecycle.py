@@ -132,6 +132,8 @@ def test_queries_on_a_checkout(spark, checkout, tmp_path):
     u = ask("update")
     assert (u["added"], u["updated"], u["deleted"], u["symbols"]) == (2, 1, 1, 3)
     assert ask("status")["freshness"] == "fresh"
+    assert [m["name"] for m in ask("match", "class NOT go")] == ["N"] and [m["path"] for m in ask("match", "--content", '"taskrunnerx" OR "good now"')] == ["bad.txt"]
+    assert [m["path"] for m in ask("match", "--content", "content:more")] == ["main.go"] and ask("match", "--content", "return") == []
     (root / "main.go").write_text(GO)
     assert ask("status")["freshness"] == "stale"
     assert sorted(f["path"] for f in ask("files", "--list")) == ["bad.txt", "main.go", "new.py"]
@@ -163,3 +165,46 @@ def test_gate_and_locks(spark, checkout, tmp_path):
         store.record(spark, "update", "succeeded", str(i), "2022", keep=3)
     assert store.runs(spark).count() == 3
     assert len(list(store.folder.glob("v=*"))) <= 2 and os.path.exists(store.folder / "CURRENT")
+
+
+@git
+def test_renamed_files_move(spark, checkout, tmp_path):
+    root, run = checkout
+    (root / "a.py").write_text("def f(x):\n    pass\n")
+    (root / "c.py").write_text("def g(x):\n    pass\n")
+    run("add", "-A")
+    run("commit", "-qm", "x")
+    store, c = Store(tmp_path / "db"), C.Config()
+    build.rebuild(spark, store, root, c)
+    run("mv", "a.py", "b.py")
+    run("commit", "-qm", "y")
+    counts = build.update(spark, store, root, c).counts
+    assert (counts["added"], counts["deleted"], counts["updated"]) == (1, 1, 0)
+    assert sorted(r["path"] for r in store.read(spark).files.collect()) == ["b.py", "c.py"]
+    run("mv", "c.py", "d.py")  # staged alone
+    counts = build.update(spark, store, root, c).counts
+    assert (counts["added"], counts["deleted"]) == (1, 1)
+    x = store.read(spark)
+    assert sorted(r["path"] for r in x.files.collect()) == ["b.py", "d.py"] and {r["key"] for r in x.files_postings.collect()} == {r["id"] for r in x.files.collect()}
+    assert {r["key"] for r in x.symbols_postings.collect()} == {r["id"] for r in x.symbols.collect()}
+
+
+@git
+def test_changes_are_applied_from_a_stream(spark, checkout, tmp_path):
+    from loamdex.streaming.feeds import CHANGE, apply_changes
+
+    root, run = checkout
+    (root / "a.py").write_text("def f(x):\n    pass\n")
+    (root / "c.py").write_text("def g(x):\n    pass\n")
+    run("add", "-A")
+    run("commit", "-qm", "x")
+    store = Store(tmp_path / "db")
+    build.rebuild(spark, store, root, C.Config())
+    row = lambda path, mtime, text: (path, "python", ".py", len(text or ""), mtime, text and f"h{text}", "indexed" if text else None, "UTF-8", "utf8", 0, None, text)
+    src = tmp_path / "changes"
+    spark.createDataFrame([row("a.py", 5, None), row("n.py", 4, "def old(x):\n"), row("n.py", 9, "def newer(x):\n")], CHANGE).write.parquet(str(src))
+    q = spark.readStream.schema(CHANGE).parquet(str(src)).writeStream.foreachBatch(apply_changes(store)).option("checkpointLocation", str(tmp_path / "cp")).start()
+    q.processAllAvailable()
+    q.stop()
+    x = store.read(spark)
+    assert sorted(r["path"] for r in x.files.collect()) == ["c.py", "n.py"] and sorted(r["name"] for r in x.symbols.collect()) == ["g", "newer"]

@@ -101,6 +101,12 @@ def test_dialect(spark, index):
     assert one("select path from files where path like 'XMAIN%' collate nocase limit -1;")[0][0] == "xmain.go"
     assert one('select "path" from files where path = \'B.PY\' collate nocase')[0][0] == "b.py"
     assert one("select count(*) from files where path glob '*.go'")[0][0] == 2
+    assert one("select size / 2, size / 2.0, (size + 1) / 2 / 3 from files where path = 'b.py'")[0][0] == one("select size from files where path = 'b.py'")[0][0] // 2
+    assert one("select count(*) from files where path like '%' || 'GO'")[0][0] == 2 == one("select count(*) from files where (path || '') not like 'b%' and path not glob '*.p' || 'y' and path glob '*go'")[0][0]
+    assert one("select 7 / 2 union select 7 / 2.0 - 0.5 union all select 1 except select 2")[0][0] is not None
+    assert one("select count(*) from files where path like 'b_py' escape '~'")[0][0] == 1 == one("select count(*) from files where path in (select path from files where path like 'B%')")[0][0]
+    assert one("select cast('3.5x' as real), cast(null as integer), 'it''s', 'a\\b'")[0][:] == (3.5, None, "it's", "a\\b")
+    assert one("select group_concat(line, '-'), group_concat(distinct file_id) from lines where file_id = 3")[0][:] == ("1-2", "3")
     assert one("select 7/2")[0][0] == 3 and one("select cast('12x' as integer), cast('abc' as integer)")[0][:] == (12, 0)
     assert one("select group_concat(line) from lines where file_id = 3")[0][0] == "1,2"
     assert [r["name"] for r in one("pragma table_info(lines)")] == ["file_id", "line", "text"]
