@@ -15,18 +15,21 @@ import re
 import sys
 import warnings
 
+from . import ebnf, jsx
+from .automata import Grammar
+
 BAD = -1
 
 _WS = r"[ \t\r\f\v\u00a0\ufeff\u200b]+"
 _STR = r'"(?:\\.|[^"\\\n])*"|\'(?:\\.|[^\'\\\n])*\''
 _NUM = r"(?:0[xXbBoO][0-9a-fA-F_]+(?:\.[0-9a-fA-F_]*)?(?:[pP][+-]?\d+)?|(?:\d[\d_]*\.?[\d_]*|\.\d[\d_]*)(?:[eE][+-]?\d+)?)[a-zA-Z_]*"
-_ID = r"[^\W\d][\w$]*|\$[\w$]*|#[^\W\d][\w$]*"
+_ID = r"[^\W\d][\w$]*|\$[\w$]*|\#[^\W\d][\w$]*"
 
 LEXERS = {
     "javascript": re.compile(rf"""(?xs)
         ((?:(?<=[=(,:;!&|?{{}}\[\n+~^%<>*-])|(?<=return)|(?<=typeof)|(?<=case)|(?<![\s\S]))[ \t]*/(?![*/])(?:\\[^\n]|\[(?:\\[^\n]|[^\]\\\n])*\]|[^/\\\n\[])+/[a-z]*
         | \n | {_STR} | `(?:\\.|\$\{{(?:[^{{}}`]|\{{[^{{}}`]*\}}|`[^`]*`)*\}}|[^`\\])*` | {_NUM} | (?<![\s\S])\#![^\n]* | {_ID}
-        | >>>=|\.\.\.|===|!==|\*\*=|<<=|>>>|&&=|\|\|=|\?\?=|=>|==|!=|<=|\+\+|--|&&|\|\||\?\?|\?\.(?!\d)|\+=|-=|\*=|/=|%=|&=|\|=|\^=|<<|\*\* | (?!//|/\*)[^\s\u200b\ufeff])
+        | \.\.\.|===|!==|\*\*=|<<=|&&=|\|\|=|\?\?=|=>|==|!=|<=|\+\+|--|&&|\|\||\?\?|\?\.(?!\d)|\+=|-=|\*=|/=|%=|&=|\|=|\^=|<<|\*\* | (?!//|/\*)[^\s\u200b\ufeff])
         | {_WS} | //[^\n]* | /\*.*?\*/ | (?:/\*)"""),
     "java": re.compile(rf"""(?xs) {_WS} | //[^\n]* | /\*.*?\*/ |
         (\n | \"\"\".*?\"\"\" | {_STR} | {_NUM} | @(?!interface\b)[^\W\d][\w.]* | {_ID}
@@ -157,673 +160,145 @@ KNOWN["\n"] = "\n"
 PAIR = {")": "(", "]": "["}
 
 
-class Script(Machine):
-    """JavaScript. want: s statement, d statement demanded, e operand, k operand or closing bracket, r operand or end, a arrow body, o operator, n operator
-    or, as a line has ended, a new statement, x operand or operator, c a bracket of a control header, q after a question mark, X after export."""
+_CHARACTER = re.compile(r"'(?:\\[^\n]+?|[^\\'\n])'")
+_MACRO = re.compile(r"(?:[A-Z][A-Z0-9_]*[a-z]{0,2}\d*|__\w+)")
 
-    language = "javascript"
-    typed = False
 
-    def step(self, state: tuple, c: str) -> tuple | None:
-        stack, want, head, last = state
-        frame = stack[-1][0] if stack else "B"
-        body = frame in ("B", "F", "C", "I")
-        if c == "\n":
-            if want == "o" and body or want == "x" and body and last in (">", "void"):
-                return stack, "n", head, last
-            if want == "r":
-                return stack, "s", "", c
-            if frame == "O" and self.typed and want == "o":
-                return stack, "n", head, last
-            return state
-        if want == "n":
-            if c in ("I", "N", "S", "{", "}", "@") or (c in self.words and c not in ("in", "instanceof", "of", "as", "satisfies", "extends", "implements", "is", "from")) or c in ("++", "--", "!", "~"):
-                if frame == "O":
-                    want = "k"
-                elif not (c == "{" and head in ("fn", "fx", "class", "m", "ctl")):
-                    want, head = "s", ""
-                else:
-                    want = "o"
-            else:
-                want = "o"
-        go = lambda w, h=None: (stack, w, head if h is None else h, c)
-        operand = want in ("s", "d", "e", "k", "r", "a", "x", "q", "X")
-        starts = want in ("s", "d", "X")
-        if c in ("N", "S"):
-            if not operand:
-                return go("o") if c == "S" and last in ("I", ")", "]") and want == "o" and False else None
-            return go("o")
-        if c == "I":
-            if operand:
-                return go("o")
-            if want == "o" and last in ("get", "set", "async", "static", "of", "type", "declare", "abstract", "module", "namespace", "interface", "readonly"):
-                return go("o")
-            return None
-        if c in ("(", "["):
-            if want == "c":
-                if c != "(":
-                    return None
-                return stack + (("(f" if head == "for" else "(c", head),), "k", "", c
-            if want == "a":
-                pass
-            if c == "(" and want == "o" and head == "" and frame in ("C", "O", "I"):
-                head = "m"
-            keep = (("(" if c == "(" else "[", head if want != "s" or head else head),)
-            return stack + keep, "k", "", c
-        if c == "{":
-            if want in ("s", "d", "X"):
-                return (stack + (("B", "do" if head == "do" else "s"),), "s", "", c) if frame != "C" or last == "static" else None
-            if want == "a":
-                return stack + (("F", head),), "s", "", c
-            if head in ("fn", "fx", "m", "ctl") and want in ("o", "x") and (last in (")", "}", "]", ">", "void") or last == "I" or last == "S" or last in ("N",) and False):
-                return stack + (("B" if head in ("fn", "ctl") else "F", "s" if head in ("fn", "ctl") else ("m" if head == "m" else head)),), "s", "", c
-            if head in ("class", "classx", "body") and want in ("o", "x", "e", "k"):
-                return stack + (("C", "s" if head != "classx" else "x"),), "s", "", c
-            if head == "type" and want in ("o", "x"):
-                return stack + (("O", head),), "k", "", c
-            if want in ("e", "k", "r", "x", "q"):
-                return stack + (("O", head),), "k", "", c
-            if want == "o" and head in ("try", "catch", "finally"):
-                return stack + (("B", "s"),), "s", "", c
-            return None
-        if c in (")", "]", "}"):
-            if not stack:
-                return None
-            top, saved = stack[-1]
-            rest = stack[:-1]
-            if c == "}":
-                if top in ("B", "F", "C", "I"):
-                    if want not in ("s", "o", "r", "x"):
-                        return None
-                    if top == "B":
-                        return rest, "s", "dw" if saved == "do" else "", c
-                    if top == "C":
-                        return (rest, "s", "", c) if saved == "s" else (rest, "o", "", c)
-                    outer = rest[-1][0] if rest else "B"
-                    if saved == "m":
-                        return (rest, "s", "", c) if outer in ("C", "I") else (rest, "o", "", c)
-                    return rest, "o", "" if saved == "fx" else saved, c
-                if top == "O":
-                    return (rest, "o", saved, c) if want in ("o", "k", "x") else None
-                return None
-            if top[0] != PAIR[c] or want not in ("o", "k", "x", "q") or (want == "k" and last == "," and top in ("(c", "(f")):
-                return None
-            if want == "k" and top == "(c":
-                return None
-            if top in ("(c", "(f"):
-                return rest, "s" if saved == "dw" else "d", "", c
-            return rest, "o", saved, c
-        if c == ",":
-            if want in ("o", "x", "q"):
-                return go("k" if not body else "e")
-            return go("k") if frame == "[" and want == "k" else None
-        if c == ";":
-            if frame == "(f":
-                return go("k")
-            if body or (frame == "O" and self.typed):
-                return (stack, "s" if body else "k", "", c) if want in ("s", "d", "o", "r", "x") or frame == "O" and want == "k" else None
-            return None
-        if c == ":":
-            if want in ("o", "x"):
-                if frame in ("B", "F") and last in ("S", "N") and head not in ("case", "tern"):
-                    return None  # a label has to be a name
-                if frame in ("B", "F") and last == "I" and head == "":
-                    return stack, "s", "", c
-                return (stack, "s", "", c) if head == "case" and body else go("e")
-            return go("e") if want == "q" else None
-        if c == "?":
-            return go("q", "tern" if head in ("", "type", "decl") else None) if want in ("o", "x") else None
-        if c == "=>":
-            return go("a") if want in ("o", "x") else None
-        if c == "...":
-            return go("e") if operand and not starts else None
-        if c == "@":
-            return go("e") if want in ("s", "k", "e", "X") and last != "@" else None
-        if c == "*":
-            if want in ("k", "X") or last in ("function", "yield", "async", "static") or frame == "C" and want == "s":
-                return go("s" if frame == "C" and want == "s" else ("o" if want in ("k", "X") and last in ("import", "export", "type") else "e"))
-            return go("e") if want in ("o", "x") else None
-        if c in ("++", "--"):
-            return go("o") if want in ("o",) else (go("e") if operand else None)
-        if c == "!" and self.typed and want in ("o", "x"):
-            return go("x")
-        if c in ("!", "~"):
-            return go("e") if operand else None
-        if c in ("+", "-"):
-            return go("e")  if operand or want in ("o", "x") else None
-        if c == "<" and self.typed and operand and not starts:
-            return go("e")
-        if c in ("|", "&") and self.typed and want in ("e", "k"):
-            return go("e")
-        if c in (">",) and want in ("o", "x", "e") and not (want == "e" and last != "<" and not self.typed):
-            return go("x") if self.typed or want == "x" else go("e")
-        if c in BINARY:
-            return go("e") if want in ("o", "x") else None
-        return self.word(state, want, head, operand, starts, frame, body, c)
-
-    def word(self, state: tuple, want: str, head: str, operand: bool, starts: bool, frame: str, body: bool, c: str) -> tuple | None:
-        stack, _, _, last = state
-        go = lambda w, h=None: (stack, w, head if h is None else h, c)
-        if last in (".", "?.") and want == "e" or frame == "O" and want == "k" and c not in ("async", "get", "set", "new", "typeof", "await", "function", "readonly") or frame == "C" and want == "s" and c in ("get", "set", "static", "async", "default", "delete", "return", "new", "import", "export", "catch", "finally", "of", "from", "as", "type", "in", "is", "for", "if", "with", "case", "do", "else", "continue", "break", "throw", "try", "typeof", "while", "void", "yield", "switch", "await"):
-            if frame == "C" and want == "s" and c in ("get", "set", "static", "async"):
-                return go("s")
-            return go("o")
-        if frame == "O" and want == "o" and last in ("get", "set", "async"):
-            return go("o")
-        if c in ("if", "while", "for", "switch", "with"):
-            return (stack, "c", "dw" if head == "dw" and c == "while" else c, c) if starts else None
-        if c == "else":
-            return (stack, "d", "", c) if want in ("s",) else None
-        if c in ("do", "try", "finally"):
-            return (stack, "d" if c == "do" else "o", c, c) if starts else None
-        if c == "catch":
-            return (stack, "cc", "catch", c) if want == "s" else None
-        if c in ("return",):
-            return (stack, "r", "", c) if starts and frame != "C" else None
-        if c == "throw":
-            return (stack, "e", "", c) if starts else None
-        if c in ("break", "continue", "debugger"):
-            return (stack, "x", "", c) if starts else None
-        if c in ("var", "let", "const"):
-            return go("e", "decl" if starts else None) if starts or frame == "(f" and want == "k" else (go("o") if c == "let" and operand else None)
-        if c == "function":
-            if starts:
-                return go("fnx", "fn")
-            return go("fnx", "fx") if operand else None
-        if c == "class":
-            return (stack, "k", "class" if starts else "classx", c) if operand or last == "default" else None
-        if c == "case":
-            return (stack, "e", "case", c) if starts else None
-        if c == "default":
-            if last == "export":
-                return (stack, "X", "", c)
-            return (stack, "o", "case", c) if starts else None
-        if c == "import":
-            return go("k", "") if starts else (go("o") if operand else None)
-        if c == "export":
-            return (stack, "X", "", c) if starts else None
-        if c in ("new", "typeof", "void", "delete", "await", "yield", "keyof", "infer", "asserts"):
-            if c == "void":
-                return go("x") if operand else None
-            return go("r" if c == "yield" else "e") if operand else None
-        if c == "async":
-            return go("X" if starts else want if want in ("e", "k", "a", "r", "x") else "o", head) if operand else None
-        if c in ("in", "of", "instanceof", "as", "from", "extends", "implements", "is", "satisfies"):
-            if want in ("o", "x"):
-                return go("e")
-            if c == "extends" and head in ("class", "classx", "body") and want == "k":
-                return go("e")
-            return go("o") if operand and c not in ("in", "instanceof", "extends", "implements") else None
-        if c in ("interface", "enum", "namespace", "module"):
-            if starts:
-                return (stack, "x", "class" if c != "enum" else "enumx", c)
-            return go("o") if operand else None
-        if c == "type":
-            return go("x", "type") if starts else (go("o") if operand else None)
-        if c in ("public", "private", "protected", "readonly", "abstract", "declare", "override", "static"):
-            if starts or frame == "(" and want in ("k", "e") or frame == "O" and want == "k":
-                return go("s" if frame == "C" else ("X" if starts else want))
-            return go("o") if operand else None
-        if c in ("get", "set"):
-            return go("o") if operand else None
-        return go("o") if operand else None
-
-    def __init__(self) -> None:
-        super().__init__()
-
-    final = ("s", "o", "n", "x", "r")
+class Rules:
+    """A language by its grammar."""
 
+    def __init__(self, language: str):
+        self.language = language
+        rules, start, reserved, words = {
+            "javascript": (ebnf.SCRIPT, "program", ebnf.SCRIPT_RESERVED, ebnf.SCRIPT_WORDS), "typescript": (ebnf.SCRIPT + ebnf.TYPED, "program", ebnf.SCRIPT_RESERVED, ebnf.SCRIPT_WORDS + ebnf.TYPED_WORDS),
+            "java": (ebnf.JAVA, "program", ebnf.JAVA_RESERVED, ebnf.JAVA_WORDS), "go": (ebnf.GO, "program", ebnf.GO_RESERVED, []), "c": (ebnf.C, "program", ebnf.C_RESERVED, []),
+        }[language]
+        extra = ["MACRO"] if language == "c" else []
+        self.classes = {"ID": [*words, *extra], "NAME": ["ID", *words, *reserved], "PRIMITIVE": ["int", "long", "short", "byte", "char", "boolean", "float", "double"]}
+        self.words = {w: w for w in [*reserved, *words]}
+        self.rules, self.start = rules, start
+        self.grammar = Grammar(rules, start, self.classes)
+        self.known: dict[str, str] = {}
 
-class ScriptSteps(Script):
-    """Adds the states of one token: the name after ``function``, the optional header of ``catch``, the body of ``enum``."""
-
-    def step(self, state: tuple, c: str) -> tuple | None:
-        stack, want, head, last = state
-        if want == "fnx" and c != "\n":
-            if c == "I" or c in self.words and c not in ("if", "for", "while"):
-                return stack, "fny", head, "I"
-            if c == "*":
-                return stack, "fnx", head, c
-            if c in ("(", "<"):
-                return (stack + (("(", head),), "k", "", c) if c == "(" else (stack, "e", head, c)
-            return None
-        if want == "fny" and c != "\n":
-            if c == "(":
-                return stack + (("(", head),), "k", "", c
-            return (stack, "e", head, c) if c == "<" and self.typed else None
-        if want == "cc" and c != "\n":
-            if c == "(":
-                return stack + (("(c", head),), "k", "", c
-            return (stack + (("B", "s"),), "s", "", c) if c == "{" else None
-        if want in ("fnx", "fny", "cc"):
-            return state
-        if head == "enumx" and c == "{" and want in ("o", "x"):
-            return stack + (("O", "type"),), "k", "", c
-        # an arrow's parameter list of a control word in an object or class is done above
-        return super().step(state, c)
-
-
-class Typed(ScriptSteps):
-    language = "typescript"
-    typed = True
-
-
-class JavaLike(Machine):
-    """Java and C. Statements end with ``;`` or a block; a type stands before a name without an operator."""
-
-    language = "java"
-    names = 2  # names that may follow one another: a type and what it declares
-    top = {"package", "import", "class", "interface", "enum", "record", "public", "private", "protected", "static", "final", "abstract", "sealed", "strictfp", "@", ";", "void", "int", "long", "short", "byte", "char", "boolean", "float", "double", "I", "synchronized", "native"}
-    types = {"void", "int", "long", "short", "byte", "char", "boolean", "float", "double", "var"}
-    modifiers = {"public", "private", "protected", "static", "final", "abstract", "native", "synchronized", "transient", "volatile", "strictfp", "sealed", "default"}
-    final = ("s",)
-
-    def step(self, state: tuple, c: str) -> tuple | None:
-        if c == "\n":
-            return state
-        stack, want, head, last = state
-        frame = stack[-1][0] if stack else "T"
-        body = frame in ("T", "B", "C", "F")
-        if c == "@A":
-            return (stack, want, head, c) if want in ("s", "k", "e", "d", "x") else None
-        if last == "@A" and c == "(":
-            return stack + (("(a", (want, head)),), "k", "", c
-        go = lambda w, h=None: (stack, w, head if h is None else h, c)
-        operand = want in ("s", "d", "e", "k", "r", "x", "t")
-        starts = want in ("s", "d")
-        if frame == "T" and want == "s" and self.top and c not in self.top:
-            return None
-        if frame == "C" and want == "s" and c in ("N", "S", "if", "for", "while", "return", "switch", "do", "try", "else", "case", "break", "throw"):
-            return None
-        if c == "N":
-            return go("o") if operand and not (starts and frame in ("C", "T")) and last != "I" else None
-        if c == "S":
-            return go("o") if operand and (last != "I" or self.language == "c" and want == "o") or (self.language == "c" and want == "o" and last in ("S", "I")) else None
-        if c in ("I", "I2", "I3"):
-            if want == "e" and last == "." or last == "@":
-                return stack, "o", head, "I"
-            if want == "o":
-                if last == "I" and self.names > 1:
-                    return stack, "o", head, "I2"
-                if last == "I2" and self.names > 2:
-                    return stack, "o", head, "I3"
-                return (stack, "o", head, "I2") if last in ("]", ">", "*", "...") else None
-            if operand:
-                return stack, "o", head, "I2" if want == "x" and last in (">", "]") else "I"
-            return None
-        if c in ("(", "["):
-            if want == "c":
-                return (stack + (("(f" if head == "for" else "(c", head),), "k", "", c) if c == "(" else None
-            if c == "[" and want in ("s", "d") and self.language == "java":
-                return None
-            return stack + ((c, head if c == "[" or not body else (head or "call")),), "k", "", c
-        if c == "{":
-            if starts:
-                return stack + (("B", "do" if head == "do" else "s"),), "s", "", c
-            if head in ("class", "body") and want in ("o", "x", "k", "e") and last not in ("N", "S", "="):
-                return stack + (("C", "s"),), "s", "", c
-            if want in ("e", "k", "r") and last in ("=", ",", "{", "(", "return", "]") or want in ("x", "o") and last == "]" or want == "x" and last == ")" and self.language == "c" and frame != "T":
-                return stack + (("O", head),), "k", "", c
-            if want == "e" and last == "->":
-                return stack + (("F", head),), "s", "", c
-            if want in ("o", "x") and head == "new" and last in (")", ">"):
-                return stack + (("N", head),), "s", "", c
-            if want in ("o", "x") and last in (")", "I", "I2", ">") and body and head in ("call", "throws", "class", "try") and frame != "F" or want == "o" and last in ("try", "finally", "do", "static", "synchronized"):
-                return stack + (("B", "s"),), "s", "", c
-            return None
-        if c in (")", "]", "}"):
-            if not stack:
-                return None
-            kind, saved = stack[-1]
-            rest = stack[:-1]
-            if c == "}":
-                if kind in ("B", "C"):
-                    return (rest, "s", "dw" if saved == "do" else "", c) if want == "s" or kind == "C" and want in ("k", "o") and saved == "enum" else None
-                if kind in ("F", "N"):
-                    return (rest, "o", saved, ")") if want == "s" else None
-                return (rest, "o", saved, c) if kind == "O" and want in ("o", "k", "x") else None
-            if kind[0] != PAIR[c] or want not in ("o", "x", "k") and not (want == "t" and last == "*"):
-                return None
-            if want == "k" and last == ",":
-                return None
-            if kind == "(a":
-                return rest, *saved, ")"
-            if want == "k" and kind == "(c":
-                return None
-            if kind in ("(c", "(f"):
-                return (rest, "o", "call", c) if saved == "try" else (rest, "s" if saved == "dw" else "d", "", c)
-            return rest, "x", saved, c
-        if c == ",":
-            return go("k" if not body else "e") if want in ("o", "x") or want == "t" and last == "*" else None
-        if c == ";":
-            if frame in ("(f", "(c") and want in ("o", "x", "k"):
-                return go("k")
-            if body or frame == "N":
-                return (stack, "s", "", c) if want in ("s", "d", "o", "x", "r") else None
-            return None
-        if c == ":":
-            if want not in ("o", "x"):
-                return None
-            return (stack, "s", "", c) if head == "case" and frame in ("B", "F", "N") else ((stack, "s", "", c) if frame in ("B",) and last == "I" and head == "" else go("e"))
-        if c == "?":
-            return go("x") if want in ("o", "x") or want in ("e", "k") and last in ("<", ",") else None
-        if c == "@":
-            return go("e") if want in ("s", "k", "e") and self.language == "java" and last != "@" else None
-        if c == "->":
-            return go("e", "case2" if head == "case" else None) if want in ("o", "x") else None
-        if c == "...":
-            return go("o") if want in ("o", "x") else (go("o") if self.language == "c" and want == "k" else None)
-        if c in ("++", "--"):
-            return go("o") if want in ("o", "x") and last in ("I", "I2", ")", "]") else (go("e") if operand else None)
-        if c in ("!", "~"):
-            return go("e") if operand and not (starts and frame in ("T", "C")) else None
-        if c in ("+", "-"):
-            return go("e") if want in ("e", "k", "r", "o", "x") or starts and frame not in ("T", "C") else None
-        if c == "*" and head == "import" and last == ".":
-            return stack, "o", head, "I"
-        if c in ("*", "&") and self.language == "c":
-            return go("t") if operand or want == "o" else None
-        if c == "<":
-            return go("e") if want in ("o", "x") or starts and self.language == "java" and frame in ("C", "T", "B") or want == "e" and last in (".", "new", "::") else None
-        if c == ">":
-            return go("x") if want in ("o", "x") or want == "e" and last == "<" else None
-        if c == "::":
-            return go("e") if want in ("o", "x") else None
-        if c in BINARY:
-            return go("e") if want in ("o", "x") else None
-        return self.word(state, c, operand, starts, frame, body)
-
-    def word(self, state: tuple, c: str, operand: bool, starts: bool, frame: str, body: bool) -> tuple | None:
-        stack, want, head, last = state
-        go = lambda w, h=None: (stack, w, head if h is None else h, c)
-        if c in ("if", "while", "for", "switch"):
-            return (stack, "c", "dw" if head == "dw" and c == "while" else c, c) if starts and frame != "T" else ((stack, "c", "sw", c) if c == "switch" and want in ("e", "r") else None)
-        if c in ("synchronized", "catch") and starts and (c == "catch" or frame not in ("T", "C")):
-            return stack, "c", c, c
-        if c == "else":
-            return (stack, "d", "", c) if want == "s" and frame not in ("T", "C") else None
-        if c == "do":
-            return (stack, "d", "do", c) if starts else None
-        if c == "try":
-            return (stack, "o", "try", c) if starts else None
-        if c == "finally":
-            return (stack, "o", "", c) if starts else None
-        if c == "return":
-            return (stack, "r", "", c) if starts and frame not in ("T", "C") else None
-        if c in ("throw", "assert", "goto", "yield"):
-            return (stack, "e", "", c) if starts else ((stack, "o", head, "I") if c == "yield" and operand else None)
-        if c in ("break", "continue"):
-            return (stack, "x", "", c) if starts else None
-        if c == "case":
-            return (stack, "e", "case", c) if starts else None
-        if c == "default":
-            return (stack, "o", "case", c) if starts and frame not in ("T", "C") else (go("s") if starts else (go("e") if want in ("o", "x") else None))
-        if c == "record" and (frame not in ("T", "C") or not starts):
-            return (stack, "o", head, "I") if operand or want == "o" and last in ("]", ">") else ((stack, "o", head, "I2") if want == "o" and last == "I" else None)
-        if c in ("class", "interface", "enum", "record", "struct", "union"):
-            if last == ".":
-                return go("o")
-            if self.language == "c":
-                return go("x", "class" if body and starts or last in self.modifiers or last in ("typedef", "extern", "const") else head) if operand or want == "o" and last in ("typedef",) else None
-            return go("e", "class") if starts or last == "@" else None
-        if c in ("import", "package"):
-            return (stack, "e", c, c) if starts and frame == "T" else None
-        if c in ("extends", "implements", "throws", "permits"):
-            return go("e", "throws" if c == "throws" else head) if want in ("o", "x") else None
-        if c == "instanceof":
-            return go("e") if want in ("o", "x") else None
-        if c == "new":
-            return go("e", "new") if operand and not starts or starts and frame in ("B", "F", "N") else (go("e") if last == "::" else None)
-        if c in self.modifiers or c in ("typedef", "static", "const", "volatile", "extern", "register", "inline", "restrict", "_Noreturn", "_Thread_local", "_Atomic", "__inline"):
-            if self.language == "c":
-                return go("s" if starts else ("t" if operand else "x")) if operand or want in ("o", "x") else None
-            if c == "static" and starts and frame == "C":
-                return stack, "st", "", c
-            if frame == "B" and c in ("public", "private", "protected"):
-                return None
-            return go("s" if starts else want) if operand else None
-        if c in self.types or c in ("unsigned", "signed"):
-            if self.language == "java" and want == "x" and last not in (")",):
-                return None
-            return go("x") if operand or want == "x" or self.language == "c" and want == "o" and last in ("I",) else None
-        if c in ("sizeof", "_Alignas", "_Static_assert", "__attribute__"):
-            return go("x") if operand or want in ("o", "x") else None
-        if c in ("this", "super"):
-            return (stack, "o", head, ")" if False else "I") if operand else None
-        return (stack, "o", head, "I") if operand else None
+    def classify(self, t: str) -> str:
+        """The class of a token; ERR for what no token is."""
+        c = t[0]
+        if t == "\n":
+            return t
+        if t in self.words:
+            return t
+        if self.language == "java" and c == "@" and len(t) > 1:
+            return "AT"
+        if t[:2] in ("#!", "/*") and len(t) > 2:
+            return "" if self.language != "go" or "\n" not in t else "\n"
+        if c.isalpha() or c in "_$":
+            if self.language == "c" and t[-1] in "\"'":
+                return "STR"
+            return "MACRO" if self.language == "c" and _MACRO.fullmatch(t) else "ID"
+        if c == "#" and len(t) > 1:
+            return "PRIVATE"
+        if c.isdigit() or c == "." and len(t) > 1 and t[1].isdigit():
+            return "NUM" if NUMBER.fullmatch(t) else "ERR"
+        if len(t) > 1 and c in "\"'`":
+            if c == "`":
+                return "TPL" if self.language != "go" else "STR"
+            if c == "'" and self.language in ("java", "go") and not _CHARACTER.fullmatch(t):
+                return "ERR"
+            return "STR"
+        if len(t) > 2 and t.lstrip()[:1] == "/" and t not in ("/=", "/*"):
+            return "STR"
+        if c in "\"'`" or ord(c) > 127 or c in "\\#\0" or not c.isprintable() or t == "/*":
+            return "ERR"
+        return t
 
+    def classes_of(self, text: str) -> list[str]:
+        tokens = LEXERS[self.language].findall(text)
+        if tokens and isinstance(tokens[0], tuple):
+            tokens = [t[0] for t in tokens]
+        if len(self.known) > 200_000:
+            self.known.clear()
+        known, classify = self.known, self.classify
+        out = []
+        for t in tokens:
+            if t:
+                k = known.get(t)
+                if k is None:
+                    k = known[t] = classify(t)
+                if k:
+                    out.append(k)
+        return out
+
+    def tokens(self, text: str) -> list[str]:
+        """The classes of a text's tokens, its line ends as the language takes them."""
+        classes = self.classes_of(text)
+        if self.language in ("javascript", "typescript"):
+            out = []
+            for c in classes:
+                if c == "\n":
+                    c = "?NL"
+                    if out and out[-1] == c:
+                        continue
+                elif c == "}" and out and out[-1] != "?NL":
+                    out.append("?NL")
+                out.append(c)
+            return [*out, "?NL"]
+        if self.language == "go":
+            out = []
+            for c in classes:
+                if c != "\n":
+                    out.append(c)
+                elif out and (out[-1] in ("ID", "NUM", "STR", ")", "]", "}", "++", "--", "return", "break", "continue", "fallthrough")):
+                    out.append("NL")
+            return out
+        if self.language == "c":
+            out = []
+            for c in classes:
+                if c == "STR":
+                    if not out or out[-1] != "STRS":
+                        out.append("STRS")
+                elif c != "\n":
+                    out.append(c)
+            return out
+        return [c for c in classes if c != "\n"]
 
-class Java(JavaLike):
-    def step(self, state: tuple, c: str) -> tuple | None:
-        stack, want, head, last = state
-        if want == "st" and c != "\n":  # after ``static`` in a class: a block or a member
-            if c == "{":
-                return stack + (("B", "s"),), "s", "", c
-            return super().step((stack, "s", "", ";"), c)
-        if want == "st":
-            return state
-        if head == "class" and c == "{" and last != ")" and any(False for _ in ()):
+    def check(self, text: str) -> str | None:
+        """None if the text is valid, else what is wrong."""
+        if len(self.grammar.states) > 200_000:
+            self.grammar = Grammar(self.rules, self.start, self.classes)
+        if self.language == "c" and (wrong := _conditions(text)):
+            return wrong
+        if self.language in ("javascript", "typescript"):
+            text = jsx.without_elements(text, lambda inner: Rules.inner(self, inner))
+            if text is None:
+                return "element that isn't closed"
+        tokens = self.tokens(text)
+        at = self.grammar.run(tokens)
+        if at is None:
             return None
-        if stack and stack[-1][0] == "C" and want == "s" and c == ",":  # constants of an enum after a body
-            return stack, "k", "", c
-        if stack and stack[-1][0] == "C" and want in ("o", "x") and c == "}" and last in ("I", ")", "I2") and head in ("", "call"):
-            return None if last == "I2" else ((stack[:-1], "s", "", c))
-        if stack and stack[-1][0] == "N":
-            inner = super().step((stack[:-1] + (("C", stack[-1][1]),), want, head, last), c)
-            if inner is None:
-                return None
-            s, w, h, l = inner
-            if len(s) >= len(stack) and s[len(stack) - 1] == ("C", stack[-1][1]):
-                return s[:len(stack) - 1] + (stack[-1],) + s[len(stack):], w, h, l
-            return s, "o", stack[-1][1], ")"
-        return super().step(state, c)
-
+        return "ends too early" if at < 0 or at >= len(tokens) - 1 and tokens[-1:] == ["?NL"] else f"unexpected {tokens[at][:30]!r}"
 
-class C(JavaLike):
-    language = "c"
-    names = 3
-    top = None
-    types = {"void", "int", "long", "short", "char", "float", "double", "auto", "_Bool"}
-    modifiers = {"static", "const", "volatile", "extern", "register", "inline", "restrict"}
-
-    def step(self, state: tuple, c: str) -> tuple | None:
-        stack, want, head, last = state
-        frame = stack[-1][0] if stack else "T"
-        if frame == "T" and want == "s" and c in ("N", "S", "[", "]", ")", "if", "for", "while", "return", "switch", "do", "else", "case", "break", "continue", "goto", "+", "-", "=", ".", "<", ">", "!", "~", "++", "--"):
-            return None
-        if c == "{" and want in ("o", "x") and head in ("class",) and last in ("struct", "union", "enum", "I", "I2"):
-            return stack + (("O" if last == "enum" or head == "enum" else "S", "decl"),), "s", "", c
-        if c == "enum" and want in ("s", "d", "e", "k", "x", "t"):
-            return stack, "x", "enum", c
-        if c == "{" and head == "enum" and want in ("o", "x"):
-            return stack + (("O", "decl"),), "k", "", c
-        if frame == "S":
-            if c == "}":
-                return (stack[:-1], "x", "", ")") if want == "s" else None
-            if c == "{" and want == "s":
-                return None
-            inner = super().step((stack[:-1] + (("B", "s"),), want, head, last), c)
-            return None if inner is None else (inner[0][:len(stack) - 1] + (stack[-1],) + inner[0][len(stack):], *inner[1:]) if len(inner[0]) >= len(stack) else None
-        if frame == "T" and c == ":" and want != "o":
-            return None
-        if frame == "T" and c == ".":
-            return None
-        if frame == "O" and want == "k" and c in (".", "["):
-            return (stack, "e", head, ".") if c == "." else (stack + (("[", head),), "k", "", c)
-        if frame == "T" and c == "=" and last == "I":
-            return None  # a name alone is no declaration
-        return super().step(state, c)
+    def inner(self, text: str) -> bool:
+        """Whether a text in the braces of an element is an expression, or nothing."""
+        if not text.strip():
+            return True
+        return self.check(f"f({text}\n)") is None
 
 
-class Go(Machine):
-    """Go. A line end ends a statement after an operand; a declaration is all that may stand outside of functions."""
+_CONDITION = re.compile(r"(?m)^[ \t]*#[ \t]*(if|ifdef|ifndef|elif|else|endif)\b")
 
-    language = "go"
-    final = ("s",)
-    start = ((), "s", "file", "")
 
-    def step(self, state: tuple, c: str) -> tuple | None:
-        stack, want, head, last = state
-        frame = stack[-1][0] if stack else "T"
-        body = frame in ("T", "B", "F", "S", "G")
-        if c == "/*":
-            return state
-        if c == "/*n":
-            c = "\n"
-        if c == "\n":
-            if body:
-                return (stack, "s", "", "\n") if want in ("o", "x", "r") and not (want == "x" and last == "]") or want == "s" and head != "file" else (state if want in ("s", "e", "k", "d") and want != "d" else (state if want != "d" else None))
-            return None if want == "o" or want == "x" and last in (")", "}", "]") else state
-        go = lambda w, h=None: (stack, w, head if h is None else h, c)
-        if head == "file":
-            if want == "s":
-                return (stack, "name", "file", c) if c == "package" else None
-            return (stack, "o", "pkg", c) if c == "I" else None
-        if head == "pkg" and c != ";":
-            return None
-        if frame == "T" and want == "s" and c not in ("import", "func", "var", "type", "const", ";"):
-            return None
-        operand = want in ("s", "e", "k", "r", "x")
-        starts = want == "s"
-        declares = head in ("var", "const", "type", "func", "fl", "case", "struct") or frame in ("(", "S", "G")
-        if c in ("N", "S"):
-            if operand and not (want == "x" and last == ")" and not frame == "("):
-                return go("o")
-            return go("o") if c == "S" and want in ("o", "x") and frame in ("S", "G") else None
-        if c == "I":
-            if operand:
-                return go("o")
-            return go("o") if want == "o" and last in ("I", "]", "*", "chan", ")") and (declares and last != ")") else None
-        if c == "(":
-            if want == "fn":
-                return stack + (("(", "recv"),), "k", "", c
-            if starts and frame in ("T", "S", "G") and frame != "T":
-                return None
-            if want == "e" and last in ("import", "const", "var", "type") and body:
-                return stack + (("G", head),), "s", last, c
-            return stack + (("(", head),), "k", "", c
-        if c == "[":
-            return stack + (("[", head),), "k", "", c
-        if c == "{":
-            if want in ("s",):
-                return (stack + (("B", "s"),), "s", "", c) if frame in ("B", "F") else None
-            if last in ("struct", "interface", "select"):
-                return stack + (("B" if last == "select" else "S", "s" if last == "select" else head),), "s", "", c
-            if head == "ctl" and body and (want in ("o", "x", "e", "k", "s") or last == ";") and last not in ("=", "+", "-", "*", "<", ">", "==", "&&", "||", ":="):
-                return stack + (("B", "s"),), "s", "", c
-            if head == "fl" and want in ("o", "x"):
-                return stack + (("F", "expr"),), "s", "", c
-            if head == "func" and want in ("o", "x") and body:
-                return stack + (("B", "s"),), "s", "", c
-            if want in ("o", "x") and last in ("I", "]", "}", "x", "map"):
-                return stack + (("O", head),), "k", "", c
-            if want in ("e", "k") and frame == "O":
-                return stack + (("O", head),), "k", "", c
-            return None
-        if c in (")", "]", "}"):
-            if not stack:
-                return None
-            kind, saved = stack[-1]
-            rest = stack[:-1]
-            if c == "}":
-                if kind in ("B", "F", "S"):
-                    if want not in ("s", "o", "x", "r"):
-                        return None
-                    return (rest, "o", "blk" if kind == "B" else ("" if saved == "expr" else saved), c)
-                return (rest, "o", saved, c) if kind == "O" and want in ("o", "x", "k") else None
-            if kind == "G" and c == ")":
-                return (rest, "o", "", c) if want in ("s", "o", "x") else None
-            if kind != PAIR[c] or want not in ("o", "x", "k"):
-                return None
-            if saved == "recv":
-                return rest, "fn2", "func", c
-            return rest, "x", saved, c
-        if c == ",":
-            return go("k" if not body else "e") if want in ("o", "x") else None
-        if c == ";":
-            return (stack, "s", "ctl" if head == "ctl" else "", c) if body and want in ("s", "o", "x", "r") else None
-        if c == ":":
-            if want in ("o", "x"):
-                return (stack, "s", "", c) if body and (head == "case" or last == "I" and head == "") else (go("k") if frame in ("O", "[") else None)
-            return go("k") if frame == "[" and want == "k" else None
-        if c == "...":
-            return go("o" if want in ("o", "x") else "e") if want in ("o", "x", "k", "e") else None
-        if c in ("++", "--"):
-            return go("o") if want in ("o", "x") and body else None
-        if c in ("!", "^") and operand:
-            return go("e")
-        if c in ("+", "-", "*", "&", "<-"):
-            if want in ("o", "x") or operand and (c in ("*", "<-", "&") or not starts):
-                return go("e")
-            return None
-        if c == "~":
-            return go("e") if operand else None
-        if c in ("->", "=>", "::", "===", "@", "?", "**", "??", "?.", "=~"):
-            return None
-        if c in (":=", "=") or c in BINARY:
-            return go("e") if want in ("o", "x") else None
-        if c in ("if", "for", "switch"):
-            return (stack, "s2" if False else "e" if c == "if" else "k", "ctl", c) if starts and frame in ("B", "F") or c == "if" and last == "else" else None
-        if c == "else":
-            return (stack, "el", "ctl", c) if want == "o" and last == "}" and head == "blk" else None
-        if c == "select":
-            return (stack, "x", "ctl", c) if starts else None
-        if c in ("case", "default"):
-            return (stack, "e" if c == "case" else "o", "case", c) if starts and frame == "B" else None
-        if c == "return":
-            return (stack, "r", "", c) if starts and frame in ("B", "F") else None
-        if c in ("break", "continue", "goto", "fallthrough"):
-            return (stack, "x", "", c) if starts else None
-        if c in ("go", "defer"):
-            return (stack, "e", "", c) if starts else None
-        if c == "range":
-            return go("e") if operand else None
-        if c == "func":
-            if starts and frame == "T":
-                return stack, "fn", "func", c
-            return (stack, "x", "fl", c) if operand or want in ("o", "x") else None
-        if c in ("var", "const", "type", "import"):
-            return (stack, "e", c, c) if starts else None
-        if c in ("struct", "interface"):
-            return go("x") if operand or want == "o" else None
-        if c in ("map", "chan"):
-            return go("x") if operand or want in ("o", "x") else None
-        return None
+def _conditions(text: str) -> str | None:
+    """Whether each #if of a C file has its #endif."""
+    depth = 0
+    if "#" in text:
+        for m in _CONDITION.finditer(_C_COMMENT.sub(lambda m: "\n" * m[0].count("\n") if m[0][0] == "/" else m[0], text)):
+            depth += {"if": 1, "ifdef": 1, "ifndef": 1, "endif": -1}.get(m[1], 0)
+            if depth < 0 or m[1] in ("elif", "else") and not depth:
+                return f"#{m[1]} without #if"
+    return "#if without #endif" if depth else None
 
 
-class GoSteps(Go):
-    def step(self, state: tuple, c: str) -> tuple | None:
-        stack, want, head, last = state
-        if want == "fn" and c != "\n":
-            return (stack, "fn3", "func", c) if c == "I" else (stack + (("(", "recv"),), "k", "", c) if c == "(" else None
-        if want == "fn2" and c != "\n":
-            return (stack, "fn3", "func", c) if c == "I" else None
-        if want == "fn3" and c != "\n":
-            return stack + ((c, "func"),), "k", "", c if False else c if c in "([" else None
-        if want == "el" and c != "\n":
-            if c == "if":
-                return stack, "e", "ctl", c
-            return (stack + (("B", "s"),), "s", "", c) if c == "{" else None
-        if want in ("fn", "fn2", "fn3", "el"):
-            return None
-        if want == "fn3" and c not in "([":
-            return None
-        if stack and stack[-1][0] in ("S", "G") and want == "s":
-            if c == "I":
-                return stack, "o", "var", c
-            if stack[-1][0] == "G" and c in ("S", ".", "_"):
-                return stack, "o" if c == "S" else "e", "var", c
-            if c == "func":
-                return None
-        if want == "o" and last == "I" and head in ("var", "const", "type", "func") and c in ("[", "*", "func", "map", "chan", "struct", "interface"):
-            if c == "[":
-                return stack + (("[", head),), "k", "", c
-            return (stack, "e", head, c) if c == "*" else (stack, "x", "fl" if c == "func" else head, c)
-        if stack and stack[-1][0] == "(" and want == "o" and last == "I" and c in ("*", "[", "func", "map", "chan", "interface", "struct", "..."):
-            if c == "[":
-                return stack + (("[", head),), "k", "", c
-            return stack, "e" if c in ("*", "...") else "x", head, c
-        return super().step(state, c)
+_C_COMMENT = re.compile(r"/\*.*?\*/|//[^\n]*|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'", re.S)
 
 
 class Ruby(Machine):
@@ -1399,7 +874,7 @@ def check(text: str, language: str, piece: bool = False) -> str | None:
     m = _MACHINES.get(language)
     if m is None:
         sys.setrecursionlimit(max(sys.getrecursionlimit(), 10_000))
-        m = _MACHINES[language] = {"python": Python, "javascript": ScriptSteps, "typescript": Typed, "go": GoSteps, "java": Java, "ruby": Ruby, "c": C, "shell": Shell}[language]()
+        m = _MACHINES[language] = {"python": Python, "ruby": Ruby, "shell": Shell}[language]() if language in ("python", "ruby", "shell") else Rules(language)
     if piece and language == "go":  # a later part of a file has no package clause
         text = "package p\n" + text
     return m.check(text)
