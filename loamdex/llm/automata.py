@@ -15,18 +15,25 @@ import re
 from collections.abc import Iterable
 
 BAD = -1
-OPENING = {"(": ")", "[": "]", "{": "}"}
-CLOSING = {v: k for k, v in OPENING.items()}
+OPENING, CLOSING = frozenset("([{"), frozenset(")]}")
 
 _ITEM = re.compile(r"\s*(?:'([^']+)'|([A-Za-z_]\w*)|([()|*+?]))")
 
+class Exhausted(Exception):
+    """A text of which a grammar allows too many readings at once to follow them all."""
+
+
+MOST = 30_000  # configurations of a state
+
 Config = tuple  # (node, parent): parent is another configuration to return to, or ("base", node)
 
 
 class Grammar:
-    """rules: lines ``name = alternatives``; words in quotes and in capitals are tokens. classes: what a token in capitals stands for besides itself."""
+    """rules: lines ``name = alternatives``; words in quotes and in capitals are tokens. classes: what a token in capitals stands for besides itself. opening
+    and closing: further tokens that stand around something like brackets; a rule with the one has the other as well."""
 
-    def __init__(self, rules: str, start: str, classes: dict[str, Iterable[str]] | None = None):
+    def __init__(self, rules: str, start: str, classes: dict[str, Iterable[str]] | None = None, opening: Iterable[str] = (), closing: Iterable[str] = ()):
+        self.opening, self.closing = OPENING | set(opening), CLOSING | set(closing)
         self.classes = {k: [k, *v] for k, v in (classes or {}).items()}
         self.edges: list[list[tuple[str, object, int]]] = []
         self.starts: dict[str, int] = {}
@@ -117,6 +124,8 @@ class Grammar:
             if c in seen:
                 continue
             seen.add(c)
+            if len(seen) > MOST:
+                raise Exhausted
             node, parent = c
             if node in self.ends:
                 if parent is not None and parent[0] != "base":
@@ -144,7 +153,7 @@ class Grammar:
 
     def _move(self, s: int, token: str) -> object:
         after = self._after(s, token)
-        if token in OPENING:
+        if token in self.opening:
             if not after:
                 return BAD
             outer: dict[int, list] = {}
@@ -157,7 +166,7 @@ class Grammar:
                 self.outer_list.append(outer)
             inner = self._id(self._closure({(n, ("base", n)) for n in outer}))
             return (inner, o) if inner != BAD else BAD
-        if token in CLOSING:
+        if token in self.closing:
             came = frozenset((parent[1], target) for target, parent in after if parent is not None and parent[0] == "base")
             return came or BAD
         if token == "?NL":  # a line end that may be left out or end something

@@ -327,3 +327,65 @@ literal = '{{' (designated (',' designated)* ','?)? '}}' postfix*
 primary = ID | NUM | strings | '(' expr ')' | '(' block ')' | '(' type_name ')' literal | '_Generic' '(' assign (',' ('default' | type_name) ':' assign)+ ')' | '__builtin_va_arg' '(' assign ',' type_name ')'
 strings = MACRO? STRS (MACRO STRS?)*
 """
+
+# ------------------------------------------------------------------------------------------------------------------ Ruby
+
+RUBY_RESERVED = "if unless while until for in do end def class module begin rescue ensure else elsif case when then return yield and or not break next redo retry alias undef super self nil true false defined? BEGIN END".split()
+
+_RUBY_BINARY = "'+' | '-' | '*' | '/' | '%' | '**' | '==' | '!=' | '===' | '=~' | '!~' | '<=>' | '<' | '>' | '<=' | '>=' | '&&' | '||' | '&' | '|' | '^' | '<<' | '>>' | '..' | '...'"
+_RUBY_ASSIGNS = "'=' | '+=' | '-=' | '*=' | '/=' | '%=' | '**=' | '&=' | '|=' | '^=' | '<<=' | '&&=' | '||='"
+
+#: MIF and the like: an ``if`` behind an operand, which belongs to what is before it. BAR: the parameters of a block, with the bars around them. LABEL: a name and a colon. SYM: a symbol. QUOTED: a literal string.
+RUBY = f"""
+program = statements
+ends = ('NL' | ';')+
+statements = (statement? ends)* statement?
+statement = plain (('MIF' | 'MUNLESS' | 'MWHILE' | 'MUNTIL' | 'MRESCUE') sentence)*
+plain = 'alias' method_name method_name | 'undef' method_name (',' method_name)* | ('BEGIN' | 'END') '{{' statements '}}' | targets '=' values | sentence
+targets = target (',' target?)+ | '*' place?
+target = '*' place? | place | '(' targets ')'
+place = (ID | 'self' | '::' CONST) place_tail*
+place_tail = ('.' | '&.' | '::') called parens? | '[' arguments? ']'
+values = item (',' item)*
+item = ('*' | '**')? expr
+sentence = negated (('and' | 'or') negated)*
+negated = 'not'* expr
+expr = binary ('?' expr ':' expr | '?' expr SYM)? (({_RUBY_ASSIGNS}) right)? ('in' pattern | '=>' pattern)?
+right = values ('MRESCUE' expr)?
+binary = unary (({_RUBY_BINARY}) unary)* ('..' | '...')?
+unary = ('!' | '-' | '+' | '~' | '&' | 'defined?' | '..' | '...' | 'not')* value
+value = head tail*
+head = name call? | literal | '(' statements ')' | '[' arguments? ']' | hash | 'self' | 'nil' | 'true' | 'false' | lambda | compound | ('return' | 'break' | 'next') command? | 'redo' | 'retry' | ('yield' | 'super') (parens | command)? | '::' CONST call? | '->' parens? block
+name = ID
+call = parens | command
+parens = '(' arguments? ')'
+literal = NUM | QUOTED+ | SYM | WORDS
+tail = ('.' | '&.' | '::') (called (parens | command)? | parens) | '[' arguments? ']' | block
+called = NAME
+block = '{{' BAR? statements '}}' | 'do' BAR? body 'end'
+command = argument (',' argument)*
+arguments = argument (',' argument)* ','?
+argument = ('*' | '**' | '&') expr? | LABEL expr? | QUOTED ':' expr | expr ('=>' expr)? | '...' | statement_argument
+statement_argument = 'not' expr
+hash = '{{' (pair (',' pair)* ','?)? '}}'
+pair = expr '=>' expr | LABEL expr? | QUOTED ':' expr | '**' expr
+lambda = '->' ('(' parameters? ')' | parameters)? ('{{' statements '}}' | 'do' body 'end')
+parameters = parameter (',' parameter)* ','?
+parameter = ID ('=' expr)? | '*' ID? | '**' (ID | 'nil')? | '&' ID? | LABEL expr? | '...' | '(' parameters ')'
+body = statements rescues
+rescues = ('rescue' rescued? then_or_ends statements)* ('else' statements)? ('ensure' statements)?
+rescued = (item (',' item)*)? ('=>' value)?
+then_or_ends = ends 'then'? | 'then'
+compound = 'if' sentence then_or_ends statements ('elsif' sentence then_or_ends statements)* ('else' statements)? 'end' | 'unless' sentence then_or_ends statements ('else' statements)? 'end'
+  | ('while' | 'until') sentence ('DOL' | ends) statements 'end' | 'for' target (',' target)* 'in' sentence ('DOL' | ends) statements 'end' | 'begin' body 'end'
+  | 'case' sentence? ends? ('when' item (',' item)* then_or_ends statements)+ ('else' statements)? 'end' | 'case' sentence ends? ('in' top_pattern (('MIF' | 'MUNLESS') sentence)? then_or_ends statements)+ ('else' statements)? 'end'
+  | 'def' defined ('(' parameters? ')' | parameters ends)? ends? body 'end' | 'DEFE' defined ('(' parameters? ')')? '=' statement
+  | 'class' path ('<' expr)? ends body 'end' | 'class' '<<' expr ends body 'end' | 'module' path ends body 'end'
+path = '::'? CONST ('::' CONST)*
+defined = (('self' | ID) '.')? method_name
+method_name = (NAME | 'self') '='? | SYM | '+' | '-' | '*' | '/' | '%' | '**' | '==' | '!=' | '===' | '=~' | '!~' | '<=>' | '<' | '>' | '<=' | '>=' | '!' | '~' | '&' | '|' | '^' | '<<' | '>>' | '+@' | '-@' | '[' ']' '='? | '`'
+top_pattern = pattern_item (',' pattern_item)* ','?
+pattern_item = '*' ID? | '**' (ID | 'nil') | LABEL pattern? | pattern
+pattern = pattern_one ('|' pattern_one)* ('=>' ID)?
+pattern_one = '^' (ID | '(' expr ')') | CONST ('::' CONST)* ('(' top_pattern? ')' | '[' top_pattern? ']')? | '[' top_pattern? ']' | '{{' top_pattern? '}}' | '(' pattern ')' | ID | 'nil' | 'true' | 'false' | 'self' | literal | '-'? NUM (('..' | '...') ('-'? NUM)?)? | literal ('..' | '...') literal?
+"""

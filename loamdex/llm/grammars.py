@@ -16,14 +16,17 @@ import sys
 import warnings
 
 from . import ebnf, jsx
-from .automata import Grammar
-
-BAD = -1
+from .automata import Exhausted, Grammar
 
 _WS = r"[ \t\r\f\v\u00a0\ufeff\u200b]+"
 _STR = r'"(?:\\.|[^"\\\n])*"|\'(?:\\.|[^\'\\\n])*\''
 _NUM = r"(?:0[xXbBoO][0-9a-fA-F_]+(?:\.[0-9a-fA-F_]*)?(?:[pP][+-]?\d+)?|(?:\d[\d_]*\.?[\d_]*|\.\d[\d_]*)(?:[eE][+-]?\d+)?)[a-zA-Z_]*"
 _ID = r"[^\W\d][\w$]*|\$[\w$]*|\#[^\W\d][\w$]*"
+_RUBY_NUM = r"(?:0[xXbBoO][0-9a-fA-F_]+|\d[\d_]*(?:\.\d[\d_]*)?(?:[eE][+-]?\d+)?)[a-zA-Z_]*"
+# what is put into a string, with braces in it
+_INSERT = r"\{[^{}]*\}"
+for _ in range(4):
+    _INSERT = r"\{(?:[^{}]|" + _INSERT + r")*\}"
 
 LEXERS = {
     "javascript": re.compile(rf"""(?xs)
@@ -40,126 +43,18 @@ LEXERS = {
     "go": re.compile(rf"""(?xs) {_WS} | //[^\n]* | (/\*.*?\*/ | \n | "(?:\\.|[^"\\\n])*" | `[^`]*` | '(?:\\[^\n]+?|[^'\\\n])' | {_NUM} | {_ID}
         | \.\.\.|:=|<-|&\^=|<<=|>>=|==|!=|<=|>=|&&|\|\||\+\+|--|\+=|-=|\*=|/=|%=|&=|\|=|\^=|<<|>>|&\^ | .)"""),
     "ruby": re.compile(rf"""(?xs) {_WS} | \\\r?\n | (?:^=begin\b.*?^=end\b[^\n]*) | \#[^\n]* | ^__END__$.* |
-        (\n | "(?:\\.|\#\{{(?:[^{{}}]|\{{[^{{}}]*\}})*\}}|[^"\\])*" | '(?:\\.|[^'\\])*' | `(?:\\.|[^`\\])*`
-        | <<[~-]?(["'`]?)([A-Z_]\w*)\2[^\n]*\n.*?\n[ \t]*\3\b
-        | %[wWiIqQr]?(?:\([^)]*\)|\[[^\]]*\]|\{{[^}}]*\}}|<[^>]*>|\|[^|]*\||![^!]*!)
-        | (?:(?<=[=(,!&|?{{\[\n~])|(?<=\bif)|(?<=\bwhen)|(?<=unless)|(?<=and)|(?<=or)|(?<=not)|(?<=[=(,!&|?{{\[~][ ])|(?<=\bif[ ])|(?<=when[ ])|(?<=unless[ ]))[ \t]*/(?![ =/])(?:\\[^\n]|[^/\\\n])+/[imxounse]*
+        (\n | "(?:\\.|\#{_INSERT}|\#(?!\{{)|[^"\\\#])*" | '(?:\\.|[^'\\])*' | `(?:\\.|[^`\\])*`
+        | <<[~-](["'`]?)[A-Za-z_]\w*\2|<<(["'`]?)[A-Z_]\w*\3(?=[ \t]*[\n,).;])
+        | %[wWiIqQrs]?(?:\((?:[^()]|\([^()]*\))*\)|\[[^\]]*\]|\{{[^}}]*\}}|<[^>]*>|\|[^|]*\||![^!]*!)(?:[imxounse]{{1,4}}(?!\w))?
+        | (?:(?<![\s\S])|(?<=[=(,!&|?{{\[\n~])|(?<=\bif)|(?<=\bwhen)|(?<=unless)|(?<=and)|(?<=or)|(?<=not)|(?<=[=(,!&|?{{\[~][ ])|(?<=\bif[ ])|(?<=when[ ])|(?<=unless[ ]))[ \t]*/(?![ =/])(?:\\[^\n]|[^/\\\n])+/[imxounse]*
         | :(?:"(?:\\.|[^"\\])*"|'[^']*'|[^\W\d]\w*[?!=]?(?!:)|\[\]=?|[+*/<>=~!%&|^-]{{1,3}}) | \?[A-Za-z](?!\w)
-        | (?:do|\{{)[ \t]*\|[^|\n]*\| | [^\W\d]\w*[?!](?![=~])|[^\W\d]\w*:(?!:)(?=\s) | @@?[^\W\d]\w* | \$(?:\w+|[!@&~0-9*$?:"<>,./\;=]) | {_NUM} | [^\W\d]\w*
+        | (?:\bdo|\{{)\s*\|[^|\n]*(?:\n[^|\n]*)?\| | [^\W\d]\w*[?!](?![=~])|[^\W\d]\w*:(?!:)(?=[\s,)]) | @@?[^\W\d]\w* | \$(?:\w+|[!@&~0-9*$?:"<>,./\;=]) | {_RUBY_NUM} | [^\W\d]\w*
         | \.\.\.|\*\*=|<=>|===|\|\|=|&&=|<<=|>>=|->|=>|==|!=|=~|!~|<=|>=|&&|\|\||\.\.|::|&\.|\+=|-=|\*=|/=|%=|\|=|&=|\^=|<<|>>|\*\* | .)""", re.M),
 }
 LEXERS["typescript"] = LEXERS["javascript"]
-_GROUP = {"ruby": 0}
 
 NUMBER = re.compile(r"(?i)(?:0x[\da-f_]+(?:\.[\da-f_]*)?(?:p[+-]?\d+)?|0b[01_]+|0o?[0-7_]+|(?:\d[\d_]*\.?[\d_]*|\.\d[\d_]*)(?:e[+-]?\d+)?)(?:n|[ulfdij]{0,3}|ri?)")
 
-KEYWORDS = {
-    "javascript": "if else for while do switch case default return throw break continue function class var let const new typeof void delete in of instanceof await yield try catch finally "
-                  "import export from extends async static get set debugger with as".split(),
-    "typescript": "if else for while do switch case default return throw break continue function class var let const new typeof void delete in of instanceof await yield try catch finally "
-                  "import export from extends async static get set debugger with as interface enum namespace module type implements public private protected readonly abstract declare override keyof infer is satisfies asserts".split(),
-    "java": "if else for while do switch case default return throw break continue class interface enum record new instanceof try catch finally import package extends implements throws "
-            "public private protected static final abstract native synchronized transient volatile strictfp sealed permits assert void int long short byte char boolean float double yield var this super".split(),
-    "c": "if else for while do switch case default return break continue goto sizeof struct union enum typedef static const volatile extern register inline restrict unsigned signed void int long short char float double auto "
-         "_Bool _Noreturn _Static_assert _Atomic _Alignas _Thread_local __attribute__ __inline".split(),
-    "go": "if else for range switch case default return break continue goto fallthrough func package import var const type struct interface map chan go defer select".split(),
-    "ruby": "if unless while until for in do end def class module begin rescue ensure else elsif case when then return yield and or not break next redo retry alias undef super self nil true false defined? BEGIN END".split(),
-}
-UNARY = {"!", "~", "+", "-", "++", "--"}
-BINARY = set("= == === != !== < > <= >= + - * / % & | ^ && || ?? ?. << >> >>> += -= *= /= %= &= |= ^= <<= >>= >>>= **= &&= ||= ??= ** . -> :: => := <- &^ &^= =~ !~ <=> ".split())
-
-
-class Machine:
-    """Interned states and kept transitions. A state is (stack, want, head, last): the open brackets with their heads, what may come next,
-    what the statement began with, and the class before."""
-
-    language = ""
-    start: tuple = ((), "s", "", "")
-
-    def __init__(self) -> None:
-        self.states: list[tuple] = [self.start]
-        self.ids: dict[tuple, int] = {self.start: 0}
-        self.moves: list[dict[str, int]] = [{}]
-        self.words = {w: w for w in KEYWORDS[self.language]}
-
-    def id_of(self, state: tuple) -> int:
-        i = self.ids.get(state)
-        if i is None:
-            if len(self.states) > 400_000:  # deep and odd texts can't fill the memory; ids in use stay valid for the text at hand
-                return self._extra(state)
-            i = self.ids[state] = len(self.states)
-            self.states.append(state)
-            self.moves.append({})
-        return i
-
-    def _extra(self, state: tuple) -> int:
-        self.states.append(state)
-        self.moves.append({})
-        return len(self.states) - 1
-
-    def classify(self, t: str) -> str:
-        c = t[0]
-        if c == "@" and len(t) > 1:
-            return "@A"
-        if t[:2] in ("#!", "/*") and len(t) > 2:
-            return "/*n" if "\n" in t else "/*"
-        if c.isalpha() or c in "_$" or c == "#" and len(t) > 1:
-            return "I"
-        if c.isdigit() or c == "." and len(t) > 1 and t[1].isdigit():
-            return "N" if NUMBER.fullmatch(t) else "ERR"
-        if len(t) > 1 and c in "\"'`":
-            return "S"
-        if len(t) > 2 and c == "/" or t.lstrip()[:1] == "/" and len(t.lstrip()) > 2:
-            return "S"
-        if c in "\"'`" or ord(c) > 127 or c in "\\#\0" or not c.isprintable() and c != "\n":
-            return "ERR"
-        return t
-
-    def check(self, text: str) -> str | None:
-        """None if the text is valid, else what is wrong."""
-        if len(self.states) > 600_000:
-            self.__init__()
-        if len(text) > 4_000_000:  # one token at a time
-            tokens = (m[1] for m in LEXERS[self.language].finditer(text))
-        else:
-            tokens = LEXERS[self.language].findall(text)
-            if tokens and isinstance(tokens[0], tuple):
-                tokens = [t[0] for t in tokens]
-        words, moves, s, known = self.words, self.moves, 0, KNOWN
-        classify = self.classify
-        line = 1
-        for t in tokens:
-            if not t:
-                continue
-            c = words.get(t) or known.get(t) or classify(t)
-            n = moves[s].get(c)
-            if n is None:
-                after = self.step(self.states[s], c) if c != "ERR" else None
-                n = moves[s][c] = BAD if after is None else self.id_of(after)
-            if n == BAD:
-                return f"unexpected {t[:30]!r}"
-            s = n
-        stack, want, head, last = self.states[s]
-        n = moves[s].get("\n")
-        if n is None:
-            after = self.step(self.states[s], "\n")
-            n = moves[s]["\n"] = BAD if after is None else self.id_of(after)
-        if n == BAD:
-            return "ends too early"
-        stack, want, head, last = self.states[n]
-        return None if not stack and want in self.final else "ends too early"
-
-    final = ("s", "o", "n", "x")
-
-    def step(self, state: tuple, c: str) -> tuple | None:
-        raise NotImplementedError
-
-
-KNOWN = {c: c for c in "\n ( ) [ ] { } , ; : ? . @".split(" ")} | {b: b for b in BINARY | UNARY}
-KNOWN["\n"] = "\n"
-PAIR = {")": "(", "]": "["}
-
-
 _CHARACTER = re.compile(r"'(?:\\[^\n]+?|[^\\'\n])'")
 _MACRO = re.compile(r"(?:[A-Z][A-Z0-9_]*[a-z]{0,2}\d*|__\w+)")
 
@@ -176,7 +71,7 @@ class Rules:
         extra = ["MACRO"] if language == "c" else []
         self.classes = {"ID": [*words, *extra], "NAME": ["ID", *words, *reserved], "PRIMITIVE": ["int", "long", "short", "byte", "char", "boolean", "float", "double"]}
         self.words = {w: w for w in [*reserved, *words]}
-        self.rules, self.start = rules, start
+        self.rules, self.start, self.around = rules, start, ((), ())
         self.grammar = Grammar(rules, start, self.classes)
         self.known: dict[str, str] = {}
 
@@ -264,7 +159,7 @@ class Rules:
     def check(self, text: str) -> str | None:
         """None if the text is valid, else what is wrong."""
         if len(self.grammar.states) > 200_000:
-            self.grammar = Grammar(self.rules, self.start, self.classes)
+            self.grammar = Grammar(self.rules, self.start, self.classes, *self.around)
         if self.language == "c" and (wrong := _conditions(text)):
             return wrong
         if self.language in ("javascript", "typescript"):
@@ -272,7 +167,10 @@ class Rules:
             if text is None:
                 return "element that isn't closed"
         tokens = self.tokens(text)
-        at = self.grammar.run(tokens)
+        try:
+            at = self.grammar.run(tokens)
+        except Exhausted:
+            return EXHAUSTED
         if at is None:
             return None
         return "ends too early" if at < 0 or at >= len(tokens) - 1 and tokens[-1:] == ["?NL"] else f"unexpected {tokens[at][:30]!r}"
@@ -301,145 +199,132 @@ def _conditions(text: str) -> str | None:
 _C_COMMENT = re.compile(r"/\*.*?\*/|//[^\n]*|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'", re.S)
 
 
-class Ruby(Machine):
-    """Ruby. Openers and ``end``; a modifier stands after an operand; a call may do without brackets."""
+_HEREDOC = re.compile(r"<<([~-]?)([\"'`]?)([A-Za-z_]\w*)\2")
+#: Characters after which a / begins a regular expression in Ruby, beside those the lexer looks for.
+_AT_START = re.compile(r"(?:^|[\n;])[ \t]*/(?![ =/*])(?:\\[^\n]|[^/\\\n])+/[imxounse]*", re.M)
+
+
+_GOES_ON = set("+ - / % == != === =~ !~ <=> < > <= >= && || ^ << >> = += -= *= /= %= **= &= |= ^= <<= &&= ||= => , ( [ { . &. :: ? : ! and or not".split())
+
+_RUBY_OPENING = ("if", "unless", "while", "until", "for", "begin", "case", "def", "class", "module", "do")
+_BEHIND = {w: "M" + w.upper() for w in ("if", "unless", "while", "until", "rescue")}
+_OPERANDS = set("ID CONST NUM QUOTED SYM WORDS ) ] } end self nil true false return break next redo retry super yield".split())
+
 
-    language = "ruby"
-    final = ("s", "o", "r", "x", "n")
-    opens = {"def", "class", "module", "begin", "case"}
+class RubyRules(Rules):
+    """Ruby by its grammar. What stands in a heredoc is left out, its beginning is a string."""
+
+    def __init__(self, language: str):
+        self.language = language
+        self.classes = {"ID": ["CONST"], "NAME": ["ID", "CONST", *ebnf.RUBY_RESERVED]}
+        self.words = {w: w for w in ebnf.RUBY_RESERVED}
+        self.rules, self.start, self.around = ebnf.RUBY, "program", (_RUBY_OPENING, ("end",))
+        self.grammar = Grammar(self.rules, self.start, self.classes, *self.around)
+        self.known = {}
 
     def classify(self, t: str) -> str:
         c = t[0]
-        if t[:2] == "do" and "|" in t:
-            return "do"
-        if c == "{" and "|" in t:
-            return "{b"
+        if t == "\n" or t in self.words:
+            return t
+        if len(t) > 2 and t.startswith("<<") and (t[2] in "~-\"'`" or t[2].isalpha() or t[2] == "_"):
+            return "QUOTED"
+        if t[-1] == "|" and len(t) > 2 and (c == "{" or t.startswith("do")):
+            return "{ BAR" if c == "{" else "do BAR"
         if c == ":" and len(t) > 1 and t != "::":
-            return "S"
-        if c in "@$" and len(t) > 1:
-            return "I"
-        if t[:2] == "#!":
-            return "\n"
-        if c == "%" and len(t) > 2 or c == "<" and len(t) > 3 and t[:2] == "<<" and t[2] not in "<=":
-            return "S"
-        if c == "?" and len(t) == 2:
-            return "S"
-        if (c.isalpha() or c == "_") and t[-1] == ":":
-            return "L"
-        return super().classify(t)
-
-    def step(self, state: tuple, c: str) -> tuple | None:
-        stack, want, head, last = state
-        top = stack[-1] if stack else ""
-        body = top not in ("(", "(d", "[", "{h")
-        go = lambda w, h=None: (stack, w, head if h is None else h, c)
-        if c == "\n":
-            if want in ("o", "x", "r", "s"):
-                if not body and want != "s":
-                    return state if top in ("[", "{h") else (stack, "n", "", c)
-                return stack, "n" if want in ("o", "x") else "s", "" if body else head, c
-            return state
-        if want == "n":  # after a line end: a leading dot goes on
-            if c in (".", "&."):
-                return stack, "e", "", c
-            want = "s" if body or top == "(" else want
-            head = ""
-            if c in (",",) and not body:
-                want = "o"
-        operand = want in ("s", "e", "k", "r", "x")
-        if c in ("N", "S", "I", "L"):
-            if operand:
-                return stack, "k" if c == "L" else ("o"), head, c
-            if want == "o" and last == "I" and head != "def2":
-                return stack, "k" if c == "L" else "o", head, c
-            return (go("o") if c == "S" and last == "S" else None)
-        if c == "(":
-            return stack + ("(d" if head == "def" and last == "I" else "(",), "k", "", c
-        if c == "[":
-            return stack + ("[",), "k", "", c
-        if c in ("{", "{b"):
-            if want == "o":
-                return stack + ("{",), "s", "", c if last in ("I", ")", "S", "]", "}", "->", "super") else None
-            return stack + ("{h" if c == "{" and last != "->" else "{",), "k" if c == "{" else "s", "", c
-        if c in (")", "]", "}"):
-            if not stack:
-                return None
-            want_top = {")": ("(", "(d"), "]": ("[",), "}": ("{", "{h")}[c]
-            if top not in want_top or want not in ("o", "x", "k", "s", "r", "n"):
-                return None
-            return stack[:-1], "o", "def" if top == "(d" else "", c
-        if c == ",":
-            return go("k") if want in ("o", "x") else None
-        if c == ";":
-            return (stack, "s", "", c) if want in ("s", "o", "x", "r") and body else None
-        if c == ":":
-            return go("e") if want in ("o", "x") and last in ("S",) or want in ("o",) and head == "?" else None
-        if c == "?":
-            return go("e", "?") if want in ("o", "x") else None
-        if c == "->":
-            return go("x") if operand or want == "o" and last == "I" else None
-        if c in ("!", "~"):
-            return go("e") if operand or want == "o" and last == "I" else None
-        if c in ("+", "-", "*", "&", "**", "::", ".."):
-            return go("e") if operand and c != ".." or want in ("o", "x") else None
-        if c in ("++", "--", "===") and c != "===":
-            return None
-        if c == "=" and head == "def" and stack and top == "def" and want in ("o", "x"):  # a method without an end
-            return stack[:-1], "e", "", c
-        if c in (":=", "?.", "??", "<-", "@", "...") and c != "...":
-            return None
-        if c in BINARY or c == "...":
-            return go("e") if want in ("o", "x") else None
-        if last in (".", "&.", "::"):
-            return stack, "o", head, "I"
-        if last == "def":
-            return stack, "o", "def", "I"
-        if c in ("if", "unless", "while", "until"):
-            if want in ("s", "e", "k") and not (want == "e" and last in BINARY and last not in ("=", "<<", "||=", "+=", "=>", "&&", "||")):
-                return stack + ("loop" if c in ("while", "until") else "if",), "e", "cond" if c in ("while", "until") else "", c
-            return go("e", "") if want in ("o", "x", "r") else None
-        if c == "for":
-            return (stack + ("loop",), "e", "cond", c) if want in ("s",) else None
-        if c == "in":
-            return go("e") if want in ("o", "x") else (go("e") if want == "s" and top == "case" else None)
-        if c in self.opens:
-            if c in ("begin", "case") and operand or c in ("class", "module") and want == "s" or c == "def" and (want == "s" or operand and last in ("I", "=") or want == "o" and last == "I"):
-                return stack + (c,), "r" if c == "case" else ("s" if c == "begin" else "e"), "def" if c == "def" else "", c
-            return None
-        if c == "do":
-            if head == "cond" and want in ("o", "x"):
-                return (stack, "s", "", c)
-            return (stack + ("do",), "s", "", c) if want in ("o", "x") else None
-        if c == "then":
-            return (stack, "s", "", c) if want in ("o", "x", "s", "k") and top in ("if", "case", "begin", "def") else None
-        if c in ("else", "ensure"):
-            return (stack, "s", "", c) if want in ("s", "o") and top in ("if", "case", "begin", "def", "do", "class") else None
-        if c == "elsif":
-            return (stack, "e", "", c) if want == "s" and top == "if" else None
-        if c == "when":
-            return (stack, "e", "", c) if want == "s" and top == "case" else None
-        if c == "rescue":
-            if want == "s" and top in ("begin", "def", "do", "class"):
-                return stack, "r", "", c
-            return go("e") if want in ("o", "x") else None
-        if c == "end":
-            if not stack or top in ("(", "(d", "[", "{", "{h") or want not in ("s", "o", "x", "r", "n"):
-                return None
-            return stack[:-1], "o", "", "}"
-        if c in ("and", "or"):
-            return go("e") if want in ("o", "x") else None
-        if c in ("not", "defined?"):
-            return go("e") if operand else None
-        if c in ("return", "break", "next", "yield", "super", "redo", "retry"):
-            return (stack, "r", head, "I" if c in ("yield", "super") else c) if operand or want == "o" else None
-        if c in ("alias", "undef"):
-            return (stack, "e", "", c) if want == "s" else None
-        if c in ("self", "nil", "true", "false"):
-            return (stack, "o", head, "S" if c != "self" else "v") if operand or want == "o" and last == "I" else None
-        return (stack, "o", head, "I") if operand else None
-
-
-# ---------------------------------------------------------------------------------------------------------------- shell
+            return "SYM"
+        if c == "?" and len(t) == 2 and t[1].isalpha():
+            return "QUOTED"
+        if len(t) > 1 and (c in "\"'`" or c == "%" and t not in ("%=",)):
+            return "WORDS" if c == "%" else "QUOTED"
+        if t.lstrip()[:1] == "/" and len(t.lstrip()) > 2:
+            return "WORDS"
+        if c.isdigit():
+            return "NUM" if NUMBER.fullmatch(t) else "ERR"
+        if t[-1] == ":" and len(t) > 1 and (c.isalpha() or c == "_"):
+            return "LABEL"
+        if c in "@$" and len(t) > 1 or c.isalpha() or c == "_":
+            return "CONST" if c.isupper() else "ID"
+        if c in "\"'`\\#@$\0" or ord(c) > 127 or not c.isprintable():
+            return "ERR"
+        return t
+
+    def tokens(self, text: str) -> list[str]:
+        lexer, known = LEXERS["ruby"], self.known
+        if len(known) > 200_000:
+            known.clear()
+        out: list[str] = []
+        at = 0
+        waiting = "<<" in text and _HEREDOC.search(text) is not None
+        while True:
+            again = False
+            for m in lexer.finditer(text, at):
+                t = m[1]
+                if not t:
+                    continue
+                k = known.get(t)
+                if k is None:
+                    k = known[t] = self.classify(t)
+                if waiting and k == "QUOTED" and t.startswith("<<"):
+                    h = _HEREDOC.match(t)
+                    line = text.find("\n", m.end())
+                    end = re.compile(rf"(?m)^{'[ \\t]*' if h[1] else ''}{re.escape(h[3])}\r?$").search(text, line + 1) if line >= 0 else None
+                    if end is None:
+                        out.append("ERR")
+                        return out
+                    text, at, again = text[:line + 1] + text[min(end.end() + 1, len(text)):], m.end(), True
+                if " " in k:
+                    out += k.split(" ")
+                else:
+                    out.append(k)
+                if again:
+                    break
+            if not again:
+                return self.ended(out)
+
+    @staticmethod
+    def ended(classes: list[str]) -> list[str]:
+        """A line end ends a statement, but not after an operator, nor before a call that goes on, nor at the end of brackets."""
+        out: list[str] = []
+        n, looping, words = len(classes), False, set(ebnf.RUBY_RESERVED)
+
+        def endless(i: int) -> bool:
+            """Whether an equals sign follows a method's name and its parameters on the same line."""
+            j = i + 2 if classes[i + 2:i + 3] != ["."] else i + 4
+            if classes[j:j + 1] == ["("]:
+                depth = 0
+                while j < n:
+                    depth += {"(": 1, ")": -1}.get(classes[j], 0)
+                    j += 1
+                    if not depth:
+                        break
+            return classes[j:j + 1] == ["="] and classes[j + 1:j + 2] != ["("] or classes[j:j + 1] == ["="] and classes[j - 1:j] == [")"]
+
+        for i, c in enumerate(classes):
+            if c != "\n":
+                last = out[-1] if out else ""
+                if c in words and last in (".", "&.", "def", "DEFE") and c != "self":
+                    c = "ID"  # a method's name
+                elif c in _BEHIND and last in _OPERANDS:
+                    c = _BEHIND[c]
+                elif c == "do" and looping:
+                    c, looping = "DOL", False
+                elif c == "def" and endless(i):
+                    c = "DEFE"
+                if c in ("while", "until", "for"):
+                    looping = True
+                out.append(c)
+                continue
+            looping = False
+            j = i + 1
+            while j < n and classes[j] == "\n":
+                j += 1
+            last = out[-1] if out else ""
+            if j < n and classes[j] in (".", "&.", ")", "]", "}") or last in ("NL", "?NL"):
+                continue
+            if last in _GOES_ON and not (len(out) > 1 and out[-2] in ("def", ".", ":")):
+                continue
+            out.append("?NL" if last in ("LABEL", "|", "*", "&", "**", "then", "do", "BAR") else "NL")
+        return [*out, "?NL"]
 
 
 class ShellError(Exception):
@@ -639,7 +524,7 @@ def _sh_list(t: str, i: int, closer: str) -> int:
                 return i + 1
             raise ShellError("unexpected )")
         if c in ";&|":
-            if t.startswith(";;", i):
+            if t.startswith((";;", ";&"), i):
                 if not stack or stack[-1][0] != "case" or stack[-1][1] not in ("body",):
                     raise ShellError("unexpected ;;")
                 i += 3 if t.startswith(";;&", i) else 2
@@ -675,6 +560,9 @@ def _sh_list(t: str, i: int, closer: str) -> int:
                 continue
             m = SH_SPACE.match(t, i)
             i = m.end() if m else i
+            if t.startswith(("<(", ">("), i):
+                i = _sh_list(t, i + 2, ")")
+                continue
             j, w = _sh_word(t, i)
             if j == i:
                 raise ShellError("redirection without a target")
@@ -689,7 +577,7 @@ def _sh_list(t: str, i: int, closer: str) -> int:
             if stack and stack[-1][1] == "pattern":
                 i += 1
                 continue
-            if t.startswith("((", i) and at_command:
+            if t.startswith("((", i) and (at_command or stack and stack[-1][:2] == ["for", "name"]):
                 j = t.find("))", i)
                 if j < 0:
                     raise ShellError("unclosed arithmetic")
@@ -792,8 +680,9 @@ def _sh_list(t: str, i: int, closer: str) -> int:
             if w == "{":
                 pass
             raise ShellError("loop without do")
-        if w == "!" or w == "time":
-            i = j
+        if w in ("!", "time", "coproc"):
+            m = re.match(r"[ \t]+\w+(?=[ \t]+[{(])", t[j:j + 200]) if w == "coproc" else None
+            i = j + (m.end() if m else 0)
             continue
         if w == "[[":
             m = re.search(r"(?:^|\s)\]\](?=[\s;&|)]|$)", t[j:])
@@ -830,22 +719,51 @@ class Shell:
         except ShellError as e:
             return str(e)
         except RecursionError:
-            return None
+            return EXHAUSTED
         return None
 
 
+#: What is said of a text that is nested too deeply for a parser; it isn't called valid.
+EXHAUSTED = "nested too deeply to be parsed"
+PIECE = 1_000_000  # characters that the interpreter's parser gets at a time
+_UNFINISHED = re.compile(r"never closed|unterminated|unexpected EOF|expected an indented block|EOF while|was expected|expected 'except'")
+
+
 class Python:
-    def check(self, text: str) -> str | None:
+    @staticmethod
+    def parse(text: str) -> str | None:
         with warnings.catch_warnings():
             warnings.simplefilter("ignore")
             try:
-                ast.parse(text.lstrip("\ufeff"))
+                ast.parse(text)
             except SyntaxError as e:
                 return (e.msg or "invalid syntax")[:80]
             except ValueError as e:  # a NUL
                 return str(e)[:80]
             except (RecursionError, MemoryError):
-                return None
+                return EXHAUSTED
+        return None
+
+    def check(self, text: str) -> str | None:
+        """Long texts are parsed in pieces cut at statements of the outermost level. A piece that is only unfinished, since the cut fell into a literal or a
+        bracket, is joined with what follows it, twice as much each time; any other error stands, whatever follows."""
+        text = text.lstrip("\ufeff")
+        start, size = 0, PIECE
+        while start < len(text):
+            end = start + size
+            if end < len(text):
+                cut = anchor(text[end:end + PIECE])
+                if cut is None:
+                    size *= 2
+                    continue
+                end += cut
+            error = self.parse(text[start:end])
+            if error is None:
+                start, size = min(end, len(text)), PIECE
+            elif end >= len(text) or not _UNFINISHED.search(error):
+                return error
+            else:
+                size = 2 * (end - start)
         return None
 
 
@@ -867,14 +785,38 @@ def anchor(text: str) -> int | None:
     return None
 
 
+HEAD = 4_000  # characters whose tokens are tried first
+
+
+def accepts(text: str, language: str) -> bool:
+    """Whether a grammar takes a whole text. Most texts in another language break off within their first tokens; only the others are read to the end."""
+    m = _machine(language)
+    if isinstance(m, Rules) and len(text) > 2 * HEAD:
+        head = text[:text.rfind("\n", 0, HEAD) + 1]
+        tokens = m.tokens(head) if head else []
+        try:
+            at = m.grammar.run(tokens)
+        except Exhausted:
+            return False
+        # a token that can't follow stays one whatever comes; only a literal or an element that was cut makes others of those near the end
+        if at is not None and 0 <= at < len(tokens) // 2 and "<" not in head and "`" not in head:
+            return False
+    return check(text, language) is None
+
+
+def _machine(language: str):
+    m = _MACHINES.get(language)
+    if m is None:
+        sys.setrecursionlimit(max(sys.getrecursionlimit(), 10_000))
+        m = _MACHINES[language] = {"python": Python, "shell": Shell}[language]() if language in ("python", "shell") else (RubyRules if language == "ruby" else Rules)(language)
+    return m
+
+
 def check(text: str, language: str, piece: bool = False) -> str | None:
     """None if the text is valid in the language, else what is wrong. An empty text is valid."""
     if not text.strip():
         return None
-    m = _MACHINES.get(language)
-    if m is None:
-        sys.setrecursionlimit(max(sys.getrecursionlimit(), 10_000))
-        m = _MACHINES[language] = {"python": Python, "ruby": Ruby, "shell": Shell}[language]() if language in ("python", "ruby", "shell") else Rules(language)
+    m = _machine(language)
     if piece and language == "go":  # a later part of a file has no package clause
         text = "package p\n" + text
     return m.check(text)

@@ -1,7 +1,8 @@
 """Source files that do not parse.
 
 Every file is parsed by the grammar of its own language; where that fails, the other languages are ranked by their tokens and all of their grammars
-are tried in that order. A foreign grammar that takes the file points to a wrong extension, none at all to a corrupt file.
+are tried in that order. A foreign grammar that takes the file points to a wrong extension, none at all to a corrupt file. A file that its own grammar
+takes is valid whatever the others say, so they aren't asked about it.
 
 A file of more than one block of lines is cut at statements of the outermost level, and its pieces are parsed in parallel. If all are valid, so is
 the file. Only where a piece fails, since a cut may have fallen into a literal, the file is parsed as a whole.
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import BLOCK_LINES, clean_lines, current_files, small, text_blocks
-from .grammars import LANGUAGES, anchor, check
+from .grammars import LANGUAGES, accepts, anchor, check
 
 #: Tokens that are more usual in a language than in others, with weights.
 MARKS = {
@@ -41,7 +42,7 @@ def ranked(text: str) -> list[str]:
 
 def foreign(text: str, own: str) -> str | None:
     """The likeliest other language whose grammar takes the text."""
-    return next((lang for lang in ranked(text) if lang != own and check(text, lang) is None), None)
+    return next((lang for lang in ranked(text) if lang != own and accepts(text, lang)), None)
 
 
 def _check_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -69,18 +70,12 @@ def _check_pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                            columns=["file_id", "error"]).astype({"file_id": "int64"})
 
 
-#: Above this many characters a Python file of which a piece fails counts as invalid; the interpreter's parser would need gigabytes for the whole.
-PYTHON_WHOLE = 20_000_000
-
-
 def _check_whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         rows = []
-        for f, text, language, error in zip(pdf["file_id"], pdf["text"], pdf["language"], pdf["error"]):
-            if not (language == "python" and len(text) > PYTHON_WHOLE):
-                error = check(text, language)
-            if error:
-                rows.append((f, error, foreign(text, language) if len(text) <= PYTHON_WHOLE else None))
+        for f, text, language in zip(pdf["file_id"], pdf["text"], pdf["language"]):
+            if error := check(text, language):
+                rows.append((f, error, foreign(text, language)))
         yield pd.DataFrame(rows, columns=["file_id", "error", "looks_like"]).astype({"file_id": "int64"})
 
 
@@ -114,7 +109,7 @@ def invalid_files(lines: DataFrame, files: DataFrame, block_lines: int = BLOCK_L
     # the join brought the pieces of a file together; they are spread again
     failing = pieces.repartition("file_id", "piece").mapInPandas(_check_pieces, "file_id bigint, error string").groupBy("file_id").agg(F.max("error").alias("error")).where(F.col("error").isNotNull())
     again = (several.join(failing.select("file_id"), "file_id", "left_semi").groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("block", "text"))).alias("bs"))
-             .select("file_id", F.array_join(F.transform("bs", lambda x: x["text"]), "\n").alias("text")).join(failing, "file_id")
+             .select("file_id", F.array_join(F.transform("bs", lambda x: x["text"]), "\n").alias("text"))
              .join(known.withColumnRenamed("head", "language"), "file_id").mapInPandas(_check_whole, _RESULT))
     return whole.unionByName(again)
 
