@@ -26,8 +26,7 @@ from pyspark.sql import functions as F
 from .common import clean_lines, current_files, small
 
 MASK = "********"
-MAX_DEPTH = 5  # layers of encoding inside one another
-PEM_LINES = 1000  # the longest key that fits a PEM block: far above any key size in use
+MAX_DEPTH = 100  # layers of encoding inside one another; each is shorter than the one around it, so this only keeps the interpreter's stack
 
 # Shapes of tokens of public services, and tokens made of a short tag and a random part.
 TOKEN = re.compile(r"""(?x)(?<![A-Za-z0-9])(?:
@@ -82,9 +81,10 @@ DATA_URI = re.compile(r"data:[\w/+.\-]+;base64,[A-Za-z0-9+/=]*")
 SSH_PUBLIC = re.compile(r"\b(?:ssh-(?:rsa|ed25519|dss)|ecdsa-sha2-\w+) [A-Za-z0-9+/=]+")
 # What stands where a secret was taken out or is still to come.
 PLACEHOLDER = re.compile(
-    r"(?i)example|placeholder|change[_\-]?me|redacted|replace|your[_\-]|_here\b|^todo|^none$|^null$|^nil$|^test$|dummy|sample|"
+    r"(?i)(?<![A-Za-z0-9])(?:example|placeholder|change[_\-]?me|redacted|replace(?:[_\-]?(?:me|this|with))?|dummy|sample|masked|hidden|removed|insert|fixme|foobar)\d{0,4}(?![A-Za-z0-9])|(?-i:EXAMPLE)|"
+    r"your[_\-]|_here\b|^todo|^none$|^null$|^nil$|^test$|"
     r"^x{4,}|^[x\-]+$|^\*+|^\.+$|^•+|^-+$|^<.*>$|\$\{|\$\(|^\$\w|\{\{|^%\w+%$|^%\(|^vault:|^env:|^ref:|^secret:|^ssm:|^file:|^/run/|^@\w+@$|"
-    r"^\{.*\}$|^\[.*\]$|^(.)\1{5,}$|getenv|environ|process\.env|masked|hidden|removed|insert|fixme|foobar|^0+$")
+    r"^\{.*\}$|^\[.*\]$|^(.)\1{5,}$|getenv|environ|process\.env|^0+$")
 
 
 def entropy(v: str) -> float:
@@ -94,8 +94,10 @@ def entropy(v: str) -> float:
 
 def plausible(v: str, named: bool) -> bool:
     """Whether a literal can be a secret: named says that its name or its place already says so."""
-    if len(v) < 6 or PLACEHOLDER.search(v) or " " in v:
+    if len(v) < 4 or PLACEHOLDER.search(v) or " " in v:
         return False
+    if len(v) < 6:  # short ones have to be mixed to be more than a word or a number
+        return named and all(any(map(kind, v)) for kind in (str.isalpha, str.isdigit, lambda c: not c.isalnum() and c not in "_.-/:()[]{}<>,;=+*&|\"'"))
     if v.isdigit():
         return named and len(v) >= 10
     digit, alpha = any(c.isdigit() for c in v), any(c.isalpha() for c in v)
@@ -125,11 +127,44 @@ def secret_name(name: str) -> bool:
                                                                           r"(?:bind|admin)pw|privatekey|signingkey|secretkey|accesskey|smtppass|dbpass)$", bare))
 
 
+OPENSSH = b"openssh-key-v1\0"
+PKCS7 = bytes.fromhex("2a864886f70d0107")
+
+
+def openssh_private(b: bytes) -> bool:
+    """The container of OpenSSH: cipher, derivation, its options, number of keys, that many public keys and the private part, each with its length, and no
+    byte missing. A cipher needs a derivation, a key a known sort, and an open private part its two equal check numbers."""
+    i = len(OPENSSH)
+
+    def field() -> bytes | None:
+        nonlocal i
+        n = int.from_bytes(b[i:i + 4], "big") if i + 4 <= len(b) else -1
+        if n < 0 or i + 4 + n > len(b):
+            return None
+        i += 4 + n
+        return b[i - n:i]
+
+    cipher, kdf, options = field(), field(), field()
+    if not cipher or not kdf or options is None or (cipher == b"none") != (kdf == b"none") or i + 4 > len(b):
+        return False
+    n = int.from_bytes(b[i:i + 4], "big")
+    i += 4
+    public = [field() for _ in range(min(n, 1 + len(b) // 8))]
+    private = field()
+    if not public or not private or any(not p or not re.match(rb"\0\0\0[\x07-\x40](?:ssh-|ecdsa-|sk-)", p) for p in public):
+        return False
+    return len(private) % 8 == 0 and (cipher != b"none" or len(private) >= 16 and private[:4] == private[4:8])
+
+
+#: The secret parts of a JSON web key.
+JWK_KIND, JWK_PART = re.compile(r"[\"']kty[\"']\s*:"), re.compile(r"[\"'](?:d|k|p|q|dp|dq|qi)[\"']\s*:\s*[\"']([A-Za-z0-9_-]{20,})[\"']")
+
+
 def der_private(b: bytes) -> bool:
     """PKCS#1, PKCS#8 or SEC 1 private keys by their grammar: SEQUENCE { INTEGER 0 or 1, INTEGER | SEQUENCE { OID } |
-    OCTET STRING ... } whose lengths fit; and OpenSSH's own container."""
-    if b.startswith(b"openssh-key-v1\0"):
-        return True
+    OCTET STRING ... } whose lengths fit; PKCS#12: SEQUENCE { INTEGER 3, SEQUENCE { OID of PKCS#7 } }; and OpenSSH's own container."""
+    if b.startswith(OPENSSH):
+        return openssh_private(b)
 
     def head(i: int) -> tuple[int, int, int] | None:
         if i + 2 > len(b):
@@ -146,11 +181,14 @@ def der_private(b: bytes) -> bool:
     if not top or top[0] != 0x30 or top[2] + top[1] > len(b) + 4 or top[1] < 24:
         return False
     version = head(top[2])
-    if not version or version[0] != 2 or version[1] != 1 or b[version[2]:version[2] + 1] not in (b"\0", b"\1"):
+    if not version or version[0] != 2 or version[1] != 1 or b[version[2]:version[2] + 1] not in (b"\0", b"\1", b"\3"):
         return False
     third = head(version[2] + 1)
     if not third:
         return False
+    if b[version[2]] == 3:
+        oid = head(third[2]) if third[0] == 0x30 else None
+        return bool(oid and oid[0] == 6 and b[oid[2]:oid[2] + oid[1]].startswith(PKCS7) and top[1] > 100)
     if third[0] == 0x30:
         oid = head(third[2])
         return bool(oid and oid[0] == 6)
@@ -219,6 +257,8 @@ def scan(text: str, depth: int = 0) -> list[tuple[int, int, str]]:
             out.append((m.start(), m.end(), "token"))
     for m in TAGGED.finditer(text):
         add(m.start(1), m.end(1), "tagged")
+    if "kty" in text and JWK_KIND.search(text):
+        out += [(m.start(1), m.end(1), "container") for m in JWK_PART.finditer(text)]
     # literals put together on the line
     if text.count('"') + text.count("'") >= 4:
         for m in PIECES.finditer(text):
@@ -293,7 +333,7 @@ def scan(text: str, depth: int = 0) -> list[tuple[int, int, str]]:
                 for b in layers(m[0], kind):
                     if der_private(b):
                         out.append((m.start(), m.end(), "container"))
-                    elif (inner := text_of(b)) and inner != m[0] and any(r not in ("bare", "prose", "login") or kind != "escaped" and r == "bare" for _, _, r in scan(inner, depth + 1)):
+                    elif (inner := text_of(b)) and len(inner) < len(m[0]) and any(r not in ("bare", "prose", "login") or kind != "escaped" and r == "bare" for _, _, r in scan(inner, depth + 1)):
                         out.append((m.start(), m.end(), "decoded"))
     return out
 
@@ -327,7 +367,7 @@ def _scan_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 #: What a line needs to hold a secret at all, cheap enough for every line: a word of the rules, an address with a user, or a long run
 #: of the characters of encoded data that isn't only letters, or an escape.
 CANDIDATE = (r"(?i)passw|pass|pwd|pw\b|secret|token|key|auth|cred|bearer|kennwort|contrase|clave|identified|://[^/\s]*:[^/\s]*@|"
-             r"private key|glpat-|[sr]k_live_|gh[pousr]_|xox[abeoprs]-|AKIA|ASIA|AIza|eyJ|\blog ?in\b|\buses\b|\bsig=|(?:^|\s)-u\s|\\x|%[0-9a-f]{2}")
+             r"private key|glpat-|[sr]k_live_|gh[pousr]_|xox[abeoprs]-|AKIA|ASIA|AIza|eyJ|\blog ?in\b|\buses\b|\bsig=|(?:^|\s)-u\s|\\x|%[0-9a-f]{2}|[\"']kty[\"']")
 LONG = (r"(?<![A-Za-z0-9+/=_.\-])(?=[A-Za-z0-9+/=_.\-]{12})[A-Za-z0-9+/=_.\-]*?[0-9][A-Za-z+/]|"
         r"[\"'],? ?[\"'][^\"'\s]*[0-9][^\"'\s]*[\"']|\\u[0-9a-fA-F]{4}|\\[0-7]{3}")
 
@@ -347,8 +387,8 @@ def find_credentials(lines: DataFrame, files: DataFrame) -> DataFrame:
     markers stay.
     """
     rows = clean_lines(lines)
-    wanted = rows.where(F.length("text") >= 8).where(F.col("text").rlike(CANDIDATE) | F.col("text").rlike(LONG))
-    hits = wanted.mapInPandas(_scan_batches, "file_id bigint, line int, text string, masked_sure string, masked_all string, rules string").dropDuplicates(["file_id", "line"])
+    wanted = rows.where(F.length("text") >= 6).where(F.col("text").rlike(CANDIDATE) | F.col("text").rlike(LONG))
+    hits = wanted.mapInPandas(_scan_batches, "file_id bigint, line int, text string, masked_sure string, masked_all string, rules string").distinct()
     known = current_files(files)
     # a value without quotes is a name or a call in most languages, a literal elsewhere
     literal = F.col("language").isNull() | F.col("language").isin("shell", "dockerfile")
@@ -359,13 +399,14 @@ def find_credentials(lines: DataFrame, files: DataFrame) -> DataFrame:
     markers = (rows.where(F.col("text").contains("PRIVATE KEY") & (begin != end)).select("file_id", "line", begin.alias("opens")).distinct())
     w = Window.partitionBy("file_id").orderBy("line")
     ranges = (markers.withColumn("last", F.when(~F.lead("opens").over(w), F.lead("line").over(w)))
-              .where(F.col("opens") & F.col("last").isNotNull() & (F.col("last") - F.col("line") <= PEM_LINES))
+              .where(F.col("opens") & F.col("last").isNotNull())
               .select("file_id", F.col("line").alias("first"), "last"))
+    # ranges from an opening marker to the next one don't overlap, so these are no more lines than there are
     wanted = ranges.select("file_id", "first", "last", F.explode(F.sequence("first", "last")).alias("line"))
-    inside = rows.join(small(wanted), ["file_id", "line"]).dropDuplicates(["file_id", "first", "line"])
+    inside = rows.join(small(wanted), ["file_id", "line"]).distinct().persist()
     body = F.col("text").rlike(_BODY)
     sound = inside.groupBy("file_id", "first").agg(F.min(body | F.col("line").isin(F.col("first"), F.col("last")) | begin | end).alias("ok"),
-                                                   F.count(F.lit(1)).alias("n"), F.first(F.col("last") - F.col("first") + 1).alias("want"))
+                                                   F.count_distinct("line").alias("n"), F.max(F.col("last") - F.col("first") + 1).alias("want"))
     block = (inside.join(sound.where(F.col("ok") & (F.col("n") == F.col("want")) & (F.col("n") > 2)).select("file_id", "first"), ["file_id", "first"])
              .join(known.select("file_id"), "file_id", "left_semi")
              .select("file_id", "line", "text", F.when(begin | end, F.col("text")).otherwise(F.regexp_replace("text", r"[A-Za-z0-9+/=]{4,}", MASK)).alias("masked"),

@@ -180,7 +180,7 @@ def comments_above(ls: list[str], at: int, language: str | None) -> list[dict]:
 
 
 def _decorator_start(ls: list[str], end: int) -> int | None:
-    for i in range(end - 1, max(-1, end - 60), -1):
+    for i in range(end - 1, -1, -1):
         if not ls[i].strip():
             return None
         if ls[i].lstrip().startswith("@"):
@@ -191,7 +191,7 @@ def _decorator_start(ls: list[str], end: int) -> int | None:
 def signature_end(ls: list[str], at: int, language: str | None) -> int:
     """The last line of a definition's head: where its brackets are closed again."""
     depth = 0
-    for i in range(at, min(len(ls), at + 100)):
+    for i in range(at, len(ls)):
         t = re.sub(r"\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\])*'|#.*$" if language == "python" else r"\"(?:\\.|[^\"\\])*\"|//.*$", "", ls[i])
         depth += sum(t.count(c) for c in "([") - sum(t.count(c) for c in ")]")
         if depth <= 0 and (language != "python" or t.rstrip().endswith(":") or re.search(r":\s*\S", t.split(")")[-1])):
