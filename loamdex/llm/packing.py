@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .tokens import VOCABULARY, token_counts
 
-SALTS = 64
+PART = 1_000_000  # items of one length that are numbered in one task
 
 
 def _pair(avail: np.ndarray, total: int) -> tuple[int, int] | None:
@@ -184,7 +184,9 @@ def containers(documents: DataFrame, sizes: DataFrame, vocabulary: str = VOCABUL
     Documents without tokens (null or empty texts) need no room and are put in container 1. Repeated rows count once, empty tables give no rows.
     """
     items = pieces(documents, sizes, vocabulary).persist()
-    salted = items.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALTS)).cast("int"))
+    # pieces of one length can be a third of all items, so their number of parts grows with the table
+    salts = max(64, -(-items.count() // PART))
+    salted = items.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)).cast("int"))
     sub = salted.groupBy("profile", "capacity", "tokens", "salt").agg(F.count(F.lit(1)).alias("n"))
     w = Window.partitionBy("profile", "capacity", "tokens").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sub.select("profile", "capacity", "tokens", "salt", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("offset"), "n").persist()

@@ -131,7 +131,8 @@ def _chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """w, file_id, block, at: the digests of all windows of SPAN characters that start at most RUN - 1 before the places ``ats``."""
+    """w, v, file_id, block, at: the digests of all windows of SPAN characters that start at most RUN - 1 before the places ``ats``, and of their first halves;
+    the two have 128 bits together."""
     for pdf in batches:
         out = []
         for f, b, ats, *row in zip(pdf["file_id"], pdf["block"], pdf["ats"], pdf["before"], pdf["own"], pdf["after"], pdf["more_before"], pdf["more_after"]):
@@ -140,9 +141,9 @@ def _windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             s = np.unique((np.asarray(ats, dtype=np.int64)[:, None] + start - np.arange(RUN)[None, :]).ravel())
             s = s[(s >= 0) & (s + SPAN <= t.n)]
             if len(s):
-                out.append((t.digest(s, s + SPAN).view(np.int64), np.full(len(s), f), np.full(len(s), b, dtype=np.int32), (s - start).astype(np.int32)))
+                out.append((t.digest(s, s + SPAN).view(np.int64), t.digest(s, s + SPAN // 2).view(np.int64), np.full(len(s), f), np.full(len(s), b, dtype=np.int32), (s - start).astype(np.int32)))
         if out:
-            yield pd.DataFrame({c: np.concatenate([o[i] for o in out]) for i, c in enumerate(("w", "file_id", "block", "at"))})
+            yield pd.DataFrame({c: np.concatenate([o[i] for o in out]) for i, c in enumerate(("w", "v", "file_id", "block", "at"))})
 
 
 def _pairs_of_sets(sets: DataFrame) -> DataFrame:
@@ -154,10 +155,11 @@ def _pairs_of_sets(sets: DataFrame) -> DataFrame:
 
 
 def _shared(lines: DataFrame, block_lines: int) -> DataFrame:
-    """k, s: the digests that occur in more than one file, and where."""
+    """k, h, file_id, block, at: the places whose digest occurs in more than one file. A digest's places are rows of a window, which spills, so one that stands
+    in a third of all files is never put together in memory."""
     keys = _neighbours(lines, block_lines).mapInPandas(_chunks, "k bigint, h int, file_id bigint, block int, at int")
-    return (keys.groupBy("k").agg(F.collect_set(F.struct("h", "file_id", "block", "at")).alias("s"))
-            .where((F.size("s") > 1) & F.exists("s", lambda x: x["file_id"] != F.col("s")[0]["file_id"])))
+    of = Window.partitionBy("k")
+    return keys.withColumn("least", F.min("file_id").over(of)).withColumn("most", F.max("file_id").over(of)).where("least <> most").drop("least", "most")
 
 
 def _ids(c: Column) -> Column:
@@ -172,19 +174,19 @@ def shared_pairs(lines: DataFrame, files: DataFrame, block_lines: int = BLOCK_LI
     """
     rows, indexed = clean_lines(lines), current_files(files).select("file_id")
     # few places are left here, so this is where files that don't count are cheap to leave out
-    flat = _shared(rows, block_lines).select("k", F.explode("s").alias("x")).select("k", "x.*").join(indexed, "file_id", "left_semi").persist()
+    flat = _shared(rows, block_lines).join(indexed, "file_id", "left_semi").persist()
     right = flat.where("h <> 0").groupBy("k", "h").agg(_ids(F.col("file_id")).alias("ids")).where(F.size("ids") > 1)
     # digests whose places don't all go on alike to the right may do so to the left
     alike = flat.groupBy("k").agg(F.min("h").alias("a"), F.max("h").alias("b")).where((F.col("a") != F.col("b")) | (F.col("a") == 0) | (F.col("b") == 0))
     mixed = flat.join(alike.select("k"), "k", "left_semi")
-    left = _around(rows, mixed, block_lines).groupBy("w").agg(_ids(F.col("file_id")).alias("ids")).where(F.size("ids") > 1)
+    left = _around(rows, mixed, block_lines).groupBy("w", "v").agg(_ids(F.col("file_id")).alias("ids")).where(F.size("ids") > 1)
     return _pairs_of_sets(right.select("ids").unionByName(left.select("ids")))
 
 
 def _around(rows: DataFrame, places: DataFrame, block_lines: int) -> DataFrame:
     wanted = places.groupBy("file_id", "block").agg(F.collect_set("at").alias("ats"))
     some = rows.join(small(wanted.select("file_id").distinct()), "file_id", "left_semi")
-    return _neighbours(some, block_lines).join(wanted, ["file_id", "block"]).mapInPandas(_windows, "w bigint, file_id bigint, block int, at int")
+    return _neighbours(some, block_lines).join(wanted, ["file_id", "block"]).mapInPandas(_windows, "w bigint, v bigint, file_id bigint, block int, at int")
 
 
 def _lengths(rows: DataFrame) -> DataFrame:
@@ -196,7 +198,7 @@ def shared_spans(lines: DataFrame, files: DataFrame, block_lines: int = BLOCK_LI
     """file_id, path, start, length: the maximal stretches of each file (in code points from 0) whose every character lies in a window of SPAN characters
     that also stands in another file."""
     rows, indexed = clean_lines(lines), current_files(files).select("file_id")
-    flat = _shared(rows, block_lines).select("k", F.explode("s").alias("x")).select("k", "x.*").join(indexed, "file_id", "left_semi").persist()
+    flat = _shared(rows, block_lines).join(indexed, "file_id", "left_semi").persist()
     right = flat.where("h <> 0").groupBy("k", "h").agg((F.min("file_id") != F.max("file_id")).alias("both")).where("both").select("k", "h", F.lit(True).alias("goes_on"))
     marked = flat.join(right, ["k", "h"], "left").withColumn("goes_on", F.coalesce("goes_on", F.lit(False)))
     w = Window.partitionBy("file_id", "block").orderBy("at")
@@ -205,7 +207,8 @@ def shared_spans(lines: DataFrame, files: DataFrame, block_lines: int = BLOCK_LI
     # a window at an end needs all places of its digest, those inside other stretches as well
     ends_of = flat.join(edge.where("not inner").select("k").distinct(), "k", "left_semi")
     windows = _around(rows, ends_of.select("file_id", "block", "at"), block_lines)
-    ends = windows.groupBy("w").agg(F.collect_set(F.struct("file_id", "block", "at")).alias("s")).where(F.exists("s", lambda x: x["file_id"] != F.col("s")[0]["file_id"])).select(F.explode("s").alias("x")).select("x.*")
+    of = Window.partitionBy("w", "v")
+    ends = windows.withColumn("least", F.min("file_id").over(of)).withColumn("most", F.max("file_id").over(of)).where("least <> most").select("file_id", "block", "at")
     starts = marked.where("goes_on").select("file_id", "block", "at").unionByName(ends).distinct()
     own = _lengths(rows).groupBy("file_id", F.floor((F.col("line") - 1) / block_lines).cast("int").alias("block")).agg(F.sum(F.col("n") + 1).alias("n"))
     offset = own.withColumn("offset", F.coalesce(F.sum("n").over(Window.partitionBy("file_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
