@@ -106,8 +106,8 @@ def _whole(before: str, own: str, after: str, more_before: bool, more_after: boo
 
 
 def _chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """K, H, file_id, block, at: of each cut point with a whole chunk and KEY characters after it. H is half the digest of the next SPAN
-    characters, 0 if there are fewer; it only tells places of one K apart, so the two have 96 bits together."""
+    """K, H, file_id, block, at: of each cut point with a whole chunk and KEY characters after it. H is the digest of the next SPAN
+    characters, 0 if there are fewer; it tells places of one K apart, so the two have 128 bits together."""
     for pdf in batches:
         out: list[tuple[np.ndarray, ...]] = []
         for f, b, *row in zip(pdf["file_id"], pdf["block"], pdf["before"], pdf["own"], pdf["after"], pdf["more_before"], pdf["more_after"]):
@@ -125,7 +125,7 @@ def _chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             with np.errstate(over="ignore"):
                 key = _mix(t.digest(p, q) ^ (t.digest(p, p + KEY) * _ODD))
             h = np.where(p + SPAN <= t.n, t.digest(p, np.minimum(p + SPAN, t.n)), np.uint64(0))
-            out.append((key.view(np.int64), h.astype(np.uint32).view(np.int32), np.full(len(p), f), np.full(len(p), b, dtype=np.int32), (p - start).astype(np.int32)))
+            out.append((key.view(np.int64), h.view(np.int64), np.full(len(p), f), np.full(len(p), b, dtype=np.int32), (p - start).astype(np.int32)))
         if out:
             yield pd.DataFrame({c: np.concatenate([o[i] for o in out]) for i, c in enumerate(("k", "h", "file_id", "block", "at"))})
 
@@ -157,7 +157,7 @@ def _pairs_of_sets(sets: DataFrame) -> DataFrame:
 def _shared(lines: DataFrame, block_lines: int) -> DataFrame:
     """k, h, file_id, block, at: the places whose digest occurs in more than one file. A digest's places are rows of a window, which spills, so one that stands
     in a third of all files is never put together in memory."""
-    keys = _neighbours(lines, block_lines).mapInPandas(_chunks, "k bigint, h int, file_id bigint, block int, at int")
+    keys = _neighbours(lines, block_lines).mapInPandas(_chunks, "k bigint, h bigint, file_id bigint, block int, at int")
     of = Window.partitionBy("k")
     return keys.withColumn("least", F.min("file_id").over(of)).withColumn("most", F.max("file_id").over(of)).where("least <> most").drop("least", "most")
 
