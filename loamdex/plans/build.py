@@ -87,8 +87,14 @@ def metadata(spark: SparkSession, old: dict[str, str], operation: str, root: Pat
     return spark.createDataFrame(sorted((old | {k: v for k, v in fresh.items() if v}).items()), SCHEMAS["meta"])
 
 
-def parts(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(n, "ready", now()) for n in ("files", "lines", "symbols", "metrics", "fts")], SCHEMAS["components"])
+def parts(spark: SparkSession, tables: dict[str, DataFrame]) -> DataFrame:
+    """The state of each component: ready if the snapshot to be written has its tables."""
+    needs = {"files": ["files"], "lines": ["lines"], "symbols": ["symbols"], "metrics": ["file_metrics"], "fts": POSTINGS}
+    return spark.createDataFrame([(n, "ready" if all(t in tables for t in ts) else "unavailable", now()) for n, ts in needs.items()], SCHEMAS["components"])
+
+
+def with_parts(spark: SparkSession, tables: dict[str, DataFrame], meta: DataFrame) -> dict[str, DataFrame]:
+    return tables | {"meta": meta, "components": parts(spark, tables)}
 
 
 @dataclass
@@ -105,7 +111,7 @@ def init(spark: SparkSession, store: Store, root: Path, config: Config) -> Resul
         raise BlockingIOError("the index is locked")
     try:
         tables = {n: empty(spark, n) for n in ("files", "lines", "symbols", "file_metrics", *POSTINGS)}
-        store.publish(tables | {"meta": metadata(spark, {}, "init", root, config), "components": parts(spark)})
+        store.publish(with_parts(spark, tables, metadata(spark, {}, "init", root, config)))
     finally:
         store.unlock()
     return Result("init", {"files": 0})
@@ -116,7 +122,7 @@ def rebuild(spark: SparkSession, store: Store, root: Path, config: Config) -> Re
         scanned = with_ids(git.scan(spark, root, config), ["path"]).persist()
         t = derive(scanned)
         t["symbols"] = with_ids(t["symbols"], ["path", "line", "column", "kind", "name"])
-        store.publish(with_postings(t) | {"meta": metadata(spark, {}, "rebuild", root, config), "components": parts(spark)})
+        store.publish(with_parts(spark, with_postings(t), metadata(spark, {}, "rebuild", root, config)))
         x = store.read(spark)
         m = x.metrics.agg(F.count(F.lit(1)).alias("n"), *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("line_count", "code_lines", "comment_lines", "blank_lines", "symbol_count"))).first()
         f = x.files.agg(F.count_if(F.col("index_status") == "skipped").alias("skipped"), F.coalesce(F.sum("transcoded"), F.lit(0)).alias("transcoded")).first()
@@ -150,7 +156,7 @@ def update(spark: SparkSession, store: Store, root: Path, config: Config, adopt:
         first = x.symbols.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
         fresh["symbols"] = with_ids(fresh["symbols"], ["path", "line", "column", "kind", "name"], start=first)
         counts["symbols"] = fresh["symbols"].count()
-        store.publish(next_tables(x, fresh, outcomes) | {"meta": metadata(spark, meta, "update", root, config), "components": parts(spark)})
+        store.publish(with_parts(spark, next_tables(x, fresh, outcomes), metadata(spark, meta, "update", root, config)))
         scanned.unpersist()
         return Result("update", counts)
 
@@ -170,14 +176,3 @@ def freshness(meta: dict[str, str], root: Path) -> str:
     if meta.get("vcs_dirty") != "1":
         return "stale"
     return "unknown" if not meta.get("vcs_dirty_hash") else ("fresh" if meta["vcs_dirty_hash"] == s["vcs_dirty_hash"] else "stale")
-
-
-def status(spark: SparkSession, store: Store, root: Path, config: Config) -> dict:
-    holder = store.lock_holder()
-    if store.current() is None:
-        return {"exists": False, "locked": holder is not None}
-    x = store.read(spark)
-    meta = {r["key"]: r["value"] for r in x.meta.collect()}
-    b = blocker(meta, root, config)
-    return {"exists": True, "locked": holder is not None, "meta": meta, "components": [r.asDict() for r in x.components.collect()], "freshness": freshness(meta, root),
-            "update": {"compatible": b is None, "requires_adopt": b in ADOPTABLE, "rebuild_required": b is not None and b not in ADOPTABLE, "blocker": b}}

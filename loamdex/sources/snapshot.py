@@ -65,6 +65,11 @@ class Store:
         t = {n: spark.read.schema(schema_of(n)).parquet(str(at / f"{n}.parquet")) for n in TABLES}
         return Index(t["files"], t["lines"], t["symbols"], t["file_metrics"], self.runs(spark), t["meta"], t["components"], *(t[n] for n in POSTINGS))
 
+    def tables(self) -> list[str]:
+        """The tables that the current snapshot has; the full-text ones tell whether it can be searched."""
+        at = self.current()
+        return [n for n in TABLES if at and (at / f"{n}.parquet").is_dir()]
+
     def meta(self, spark: SparkSession) -> dict[str, str]:
         return {r["key"]: r["value"] for r in self.read(spark).meta.collect()}
 

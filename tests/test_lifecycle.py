@@ -116,7 +116,10 @@ def test_queries_on_a_checkout(spark, checkout, tmp_path):
     assert ask("stats")["files"] == "2" and ask("stats")["root"] == str(root)
     assert ask("sql", "select path from files where path like 'MAIN%' limit -1") == [{"path": "main.go"}]
     assert [m["name"] for m in ask("match", "runtask NOT python")] == ["RunTask"] or len(ask("match", "runtask")) >= 1
-    assert ask("status")["freshness"] == "fresh" and ask("status")["update"]["compatible"]
+    s = ask("status")
+    assert s["index_stale"] is False and s["update_compatible"] is True and s["fts5"] is True and s["config_ignore_dirs"] == [] and s["schema_version"] == 4 and s["lock"] is None and s["vcs_dirty"] is False
+    assert [c["name"] for c in s["components"] if c["status"] == "ready"] == ["files", "lines", "symbols", "metrics", "fts"] and "index_stale\tno" in cli.run(["--root", str(root), "--db", str(tmp_path / "db"), "status"], spark)
+    assert ask("help", "refs")["name"] == "refs" and {"defs", "sql", "help"} <= {c["name"] for c in ask("help")["commands"]} and set(ask("version")) == {"version", "commit", "modified", "schema_version", "file_source"}
     assert {(s["table"], s["column"]): s["primary_key"] for s in ask("schema")}[("lines", "line")] == 2
     for wrong in (["defs"], ["defs", "a", "--list"], ["files", "a", "--status", "x"], ["show", "main.go", "--line", "0"], ["refs", "a", "--limit", "0"], ["refs", ""], ["sql", "delete from files"]):
         with pytest.raises(ValueError):
@@ -128,14 +131,14 @@ def test_queries_on_a_checkout(spark, checkout, tmp_path):
     (root / "untracked.py").write_text("class U:\n    pass\n")
     (root / "bad.txt").write_text("good now\n")
     run("add", "main.go", "new.py", "_x", "bad.txt")
-    assert ask("status")["freshness"] == "stale"
+    assert ask("status")["index_stale"] is True
     u = ask("update")
     assert (u["added"], u["updated"], u["deleted"], u["symbols"]) == (2, 1, 1, 3)
-    assert ask("status")["freshness"] == "fresh"
+    assert ask("status")["index_stale"] is False
     assert [m["name"] for m in ask("match", "class NOT go")] == ["N"] and [m["path"] for m in ask("match", "--content", '"taskrunnerx" OR "good now"')] == ["bad.txt"]
     assert [m["path"] for m in ask("match", "--content", "content:more")] == ["main.go"] and ask("match", "--content", "return") == []
     (root / "main.go").write_text(GO)
-    assert ask("status")["freshness"] == "stale"
+    assert ask("status")["index_stale"] is True
     assert sorted(f["path"] for f in ask("files", "--list")) == ["bad.txt", "main.go", "new.py"]
     assert [x["status"] for x in ask("logs")] == ["succeeded"] * 2 and ask("logs")[0]["operation"] == "update"
     assert call("sql", "select 1 as b, 2 as a").index('"a"') < call("sql", "select 1 as b, 2 as a").index('"b"')
