@@ -274,11 +274,12 @@ def update_next_snapshot(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 @query("select split_part(path, '/', 1) || '/' || split_part(path, '/', 2) as folder, sha256(string_agg(path || chr(9) || coalesce(content_hash, '-'), chr(1) order by path || chr(9) || coalesce(content_hash, '-'))) as digest from f group by 1"
-       .replace("chr(1)", "chr(10)"))
+       .replace("chr(1)", "chr(0)"))
 def dirty_set_digest(x: Index) -> DataFrame:
-    """The digest of each folder's set of files, with line ends between."""
+    """The digest of each folder's set of files, as the metadata has it for the changed ones. A set's digest is of all its entries in order, so a folder's paths
+    and hashes come together in one row."""
     entry = incremental.dirty_entry(F.col("path"), F.col("content_hash"))
-    return x.files.groupBy(F.substring_index("path", "/", 2).alias("folder")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(entry)), "\n"), 256).alias("digest"))
+    return x.files.groupBy(F.substring_index("path", "/", 2).alias("folder")).agg(incremental.set_digest(F.collect_list(entry)).alias("digest"))
 
 
 @query("select content_hash, count(*) as copies, min(path) as first_path from f group by 1 having count(*) > 1")

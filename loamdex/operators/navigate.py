@@ -53,9 +53,9 @@ def target(files: DataFrame, path: str, slash: bool) -> DataFrame:
 
 
 def outline(index: Index, path: str) -> DataFrame:
-    # one row by construction
+    # one row by construction; a semi join goes below the removal of repeats, so that only the rows of the file move
     at = F.broadcast(target(index.files, path, slash=True))
-    return index.symbols.join(at, F.col("file_id") == F.col("target_id")).orderBy("line", "column", "name", "kind", "id").select(*SYMBOL_COLUMNS)
+    return index.symbols.join(at, F.col("file_id") == F.col("target_id"), "left_semi").orderBy("line", "column", "name", "kind", "id").select(*SYMBOL_COLUMNS)
 
 
 def show(index: Index, path: str, line: int, context: int = 3) -> DataFrame:
@@ -63,7 +63,7 @@ def show(index: Index, path: str, line: int, context: int = 3) -> DataFrame:
         raise ValueError("line must be greater than 0")
     near = index.lines.where(F.col("line").between(max(1, line - context), line + context))
     at = F.broadcast(target(index.files, path, slash=False))
-    return near.join(at, F.col("file_id") == F.col("target_id")).orderBy("line").select("line", "text")
+    return near.join(at, F.col("file_id") == F.col("target_id"), "left_semi").orderBy("line").select("line", "text")
 
 
 def files(index: Index, query: str | None = None, status: str = "indexed", language: str | None = None, limit: int = 100) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import posixpath
 import subprocess
 from collections.abc import Iterator
 from pathlib import Path
@@ -40,6 +41,12 @@ def tracked(root: Path) -> list[str]:
     return listed(git(root, "ls-files", "-z")) or []
 
 
+def clean(path: str) -> str | None:
+    """A path below the root without empty parts and dots; null if it leaves the root."""
+    out = posixpath.normpath(path)
+    return None if out in (".", "..") or out.startswith(("/", "../")) else out
+
+
 def keep(path: str, config: Config) -> bool:
     """Whether no part of a path is ignored, its name included, and its extension isn't one of binary files."""
     ignored = set(config.ignored())
@@ -54,7 +61,7 @@ def scan(spark: SparkSession, root: Path, config: Config, candidates: set[str] |
     The paths are listed on the driver; the executors read the files by path, so nothing is left out for how it is named. Symbolic links, other
     special files, files over the limit, unreadable files and files that aren't text give no row.
     """
-    paths = [p for p in tracked(root) if keep(p, config) and (candidates is None or p in candidates)]
+    paths = sorted({c for p in tracked(root) if (c := clean(p)) and keep(c, config) and (candidates is None or c in candidates)})
     df = spark.createDataFrame([(p,) for p in paths], "path string").repartition(max(1, len(paths) // per_task))
     base, most, fallbacks = str(root), config.max_bytes, list(config.fallbacks)
 

@@ -211,3 +211,9 @@ def test_changes_are_applied_from_a_stream(spark, checkout, tmp_path):
     q.stop()
     x = store.read(spark)
     assert sorted(r["path"] for r in x.files.collect()) == ["c.py", "n.py"] and sorted(r["name"] for r in x.symbols.collect()) == ["g", "newer"]
+
+
+def test_paths_stay_below_the_root():
+    from loamdex.sources.git import clean
+
+    assert [clean(p) for p in ("a/b.py", "./a//b.py", "a/../b.py", "../b.py", "/b.py", "..", ".", "a/../../b")] == ["a/b.py", "a/b.py", "b.py", None, None, None, None, None]
