@@ -175,8 +175,10 @@ _MARKS_OF_QUOTES = re.compile(r"[\"'“”„‘’«»‚]")
 _INNER_APOSTROPHE = re.compile(r"(?<=\w)['’](?=\w)")
 CELL = re.compile(r" {2,}\|? *| \| ?|\t+")
 # where something may begin: a word that isn't written small; where it may end
-_BEGIN = re.compile(r"(?<![^ \n\x01])(?=[^\sa-zß-ÿ\x01,.;:!?)-])")
-_END = re.compile(r"(?<=[.!?:…])(?=[ \n\x01]|$)")
+_CAPITAL = re.compile(r"[^\sa-zß-ÿ\x01,.;:!?)-]")
+_BEGIN = re.compile(rf"([ \n\x01])(?={_CAPITAL.pattern})")
+_END = re.compile(r"([.!?:…])(?=[ \n\x01]|$)")
+
 
 _FOLD = str.maketrans({**{c: "o" for c in "aeco0"}, **{c: "l" for c in "ilj1!tf"}, **{c: "n" for c in "nur"}, **{c: "b" for c in "h6b"}, **{c: "s" for c in "s5"},
                        **{c: "g" for c in "gq9"}, **{c: "v" for c in "vy"}, **{c: "x" for c in "xzk"}})
@@ -200,12 +202,27 @@ def fold(text: str) -> str:
 
 
 _ID = re.compile(r"(?<=\bID )\w{8,12}\b")
-_NUMBER = re.compile(r"(?<!\w)(?:(?=(?:[a-z_]*\d){3})(?=\w*[a-z])\w{8,}|\d[\d.,]*)(?!\w)")
+# a word of eight characters and more with three digits and a letter, such as programs give to requests
+_CODE = re.compile(r"(?<!\w)(?=(?:[a-z_]*\d){3})(?=\w*[a-z])\w{8,}(?!\w)")
+_MIXED = re.compile(r"[0-9](?:(?=[a-z_])|(?<=[a-z_][0-9]))")
+_DIGITS = re.compile(r"[0-9][0-9.,]*")
+
+
+def _number(m: re.Match) -> str:
+    """# for digits that stand alone, themselves for those inside a word."""
+    s, (a, b) = m.string, m.span()
+    within = a and (s[a - 1].isalnum() or s[a - 1] == "_") or b < len(s) and (s[b].isalnum() or s[b] == "_")
+    return m[0] if within else "#"
+
+
+def without_numbers(text: str) -> str:
+    return _DIGITS.sub(_number, _CODE.sub("#", text) if _MIXED.search(text) else text)
+
 _DROPPED = re.compile(r"[^a-z# \n\x01-\x04]+")
 
 
 def _letters(text: str) -> str:
-    t = fold(_NUMBER.sub("#", plain(_ID.sub("0", text) if "ID " in text else text))).translate(_NO_LETTERS)
+    t = fold(without_numbers(plain(_ID.sub("0", text) if "ID " in text else text))).translate(_NO_LETTERS)
     return t if t.isascii() else _DROPPED.sub("", t)
 
 
@@ -220,7 +237,10 @@ def prepared(text: str) -> str:
     text = text.translate(_NO_MARKS) if _MARKED.search(text) else text
     if _MARKS_OF_QUOTES.search(text):
         text = QUOTED.sub("\x04", _INNER_APOSTROPHE.sub("", text))
-    return _letters(_END.sub("\x03", _BEGIN.sub("\x02", CELL.sub("\x01", text))))
+    if "  " in text or "|" in text or "\t" in text:
+        text = CELL.sub("\x01", text)
+    text = ("\x02" if _CAPITAL.match(text) else "") + _BEGIN.sub("\\1\x02", text)
+    return _letters(_END.sub("\\1\x03", text))
 
 
 def columns(page: str) -> Iterator[str]:
@@ -527,9 +547,7 @@ def _probes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Where a labelled node looks: in each table under its key, and under those with one other bit."""
     for pdf in batches:
         own = keys(np.ascontiguousarray(pdf[["h1", "h2"]].to_numpy(dtype=np.int64)))
-        at = (own[:, :, None] ^ _FLIPS).reshape(len(pdf), -1)
-        n = at.shape[1]
-        yield pd.DataFrame({"at": at.ravel(), "label": np.repeat(pdf["node"].to_numpy(), n), "root": np.repeat(pdf["root"].to_numpy(), n), "g1": np.repeat(pdf["h1"].to_numpy(), n), "g2": np.repeat(pdf["h2"].to_numpy(), n)})
+        yield pdf.rename(columns={"node": "label", "h1": "g1", "h2": "g2"}).assign(ats=list((own[:, :, None] ^ _FLIPS).reshape(len(pdf), -1)))
 
 
 def _sought(batches: Iterator[pd.DataFrame], bitmap) -> Iterator[pd.DataFrame]:
@@ -556,9 +574,9 @@ def _verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _met(nodes: DataFrame, frontier: DataFrame) -> DataFrame:
     """node, root, h1, h2 of the nodes with a near-duplicate in the frontier, each once."""
-    probes = frontier.mapInPandas(_probes, "at int, label string, root string, g1 bigint, g2 bigint")
+    probes = frontier.mapInPandas(_probes, "label string, root string, g1 bigint, g2 bigint, ats array<int>").withColumn("at", F.explode("ats")).drop("ats")
     # at most TABLES * 65,536 numbers, however many nodes there are
-    looked_for = np.array([r["at"] for r in probes.select("at").distinct().toLocalIterator()], dtype=np.int64)
+    looked_for = probes.select("at").distinct().toPandas()["at"].to_numpy(dtype=np.int64)
     bits = np.zeros(TABLES << KEY_BITS, dtype=np.uint8)
     bits[looked_for] = 1
     bitmap = nodes.sparkSession.sparkContext.broadcast(np.packbits(bits).tobytes())
