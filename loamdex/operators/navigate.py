@@ -132,7 +132,7 @@ def counts(index: Index) -> DataFrame:
     total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(c)
     of_metrics = index.metrics.agg(total("code_lines"), total("comment_lines"), total("blank_lines"))
     one = of_files.withColumn("one", F.lit(1))
-    for df in (index.symbols.agg(F.count(F.lit(1)).alias("symbols")), index.lines.agg(F.count(F.lit(1)).alias("lines")), of_metrics):
+    for df in (index.symbols.agg(F.count(F.lit(1)).alias("symbols")), (index.lines if index.line_keys is None else index.line_keys).agg(F.count(F.lit(1)).alias("lines")), of_metrics):
         one = one.join(df.withColumn("one", F.lit(1)), "one")  # of one row each
     return one.select("files", "skipped_files", "symbols", "lines", "code_lines", "comment_lines", "blank_lines")
 

@@ -25,6 +25,8 @@ class Index:
     components: DataFrame | None = None
     symbols_postings: DataFrame | None = None
     files_postings: DataFrame | None = None
+    #: The keys of the lines, each once, for what needs no text.
+    line_keys: DataFrame | None = None
 
     def views(self) -> None:
         """Registers the tables under the names that SQL of users may use."""
@@ -46,4 +48,5 @@ def read_index(spark: SparkSession, folder: str) -> Index:
     all keys of the grouping, so the filters of a query are carried out below it, in the scan where they can be."""
     read = lambda name: spark.read.parquet(f"{folder}/{name}.parquet")
     pick = lambda name, table: read(name).select(*(f.name for f in SCHEMAS[table].fields))
-    return Index(newest_files(read("files")), pick("file_lines", "lines").distinct(), pick("symbols", "symbols").distinct(), pick("file_metrics", "file_metrics").distinct(), pick("build_runs", "build_runs").distinct())
+    return Index(newest_files(read("files")), pick("file_lines", "lines").distinct(), pick("symbols", "symbols").distinct(), pick("file_metrics", "file_metrics").distinct(), pick("build_runs", "build_runs").distinct(),
+                 line_keys=read("file_lines").select("file_id", "line").distinct())
