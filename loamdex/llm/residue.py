@@ -142,7 +142,6 @@ You must be logged in to view this page.
 This website uses cookies to improve your experience.
 Accept all cookies
 Page under construction. Check back soon.
-Coming soon
 Type your text here
 Enter your headline here
 Sample text for the column.
@@ -464,6 +463,11 @@ def spans_of(columns_of_pages: list[str]) -> tuple[str, np.ndarray, np.ndarray,
         word = so_far[np.flatnonzero(letter & ~np.concatenate([[False], letter[:-1]]))] - 1
         of = np.searchsorted(last, word, side="right")
         words = np.bincount(of, minlength=n)
+        # a cell that stands twice, one below the other, begins and ends there
+        size = last - first
+        for i in np.flatnonzero((size[1:] == size[:-1]) & ~new[1:]).tolist():
+            if text[first[i]:last[i]] == text[first[i + 1]:last[i + 1]]:
+                begins[i] = begins[i + 1] = finishes[i] = finishes[i + 1] = True
         quotes = np.concatenate([[0], np.cumsum(quoted)])
         for w in range(min(WINDOW, n)):
             s, e = first[:n - w], last[w:]

@@ -132,7 +132,7 @@ def test_better_pages_come_sooner(spark):
 NEWS = "The harbour board praised several broken windows.\nWheat 12s., barley 8s., oats 4s. the quarter."
 FOUND = {1: "Please enable JavaScript to view this page.", 2: NEWS + "\nPlea5e enable JavaScrlpt to\nview this p0ge.\n" + NEWS, 3: "{{headline}}\n" + NEWS, 4: NEWS + "\n[Insert caption here]", 5: "Dolor tortor vitae ornare praesent lorem\nNuilam dictum", 6: "502 Bad Gateway",
          7: "Traceback (most recent call last): File \"/srv/x/ocr.py\", line 3", 8: "blah blah blah", 9: "This viewer does not work  To Mrs. Crosby, at Bramton,\nwithout scripts. Update your  a daughter, weighing 8\nbrowser.  pounds. Lost between", 10: "Dies ist ein BIindtext und zeigt\nnur den Satzspiegel.",
-         11: "CAPTION GOES HERE", 12: "Your session has expired. Please sign in again.", 13: "Veuillez activer JavaScript pour afficher cette page", 14: "Su navegador no adrnite marcos."}
+         11: "CAPTION GOES HERE", 12: "Your session has expired. Please sign in again.", 13: "Veuillez activer JavaScript pour afficher cette page", 14: "Su navegador no adrnite marcos.", 15: "The grain market sold the old\nfoo bar baz foo bar\nfoo bar baz foo bar\nbridge on Tuesday."}
 PRINTED = {21: NEWS, 22: "Readers whose machine says 'please enable JavaScript' may ask Mr. Tolland at the library on\nThursday.", 23: "The telegram came back marked 'address not found', and the boy kept the shilling.", 24: "Lot [40] went to {Pellam} for $5 and costs.", 25: "In all 59 pages were counted, among them 404 of verse.",
            26: "Access to the quay is denied to carts of more than 9 stone.", 27: "An internal error in the ledger of the mill was put right.", 28: "Miss Gorley recited 'Lorem ipsum dolor' and nobody understood him.", 29: "", 30: None, 31: "x" * 60_000, 32: "The council office is temporarily unavailable while the roof is mended.",
            33: "La lettre revint avec la mention « introuvable »."}
