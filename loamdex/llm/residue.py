@@ -161,7 +161,7 @@ PLACEHOLDER = re.compile(
     r"\{\{[^{}\n]+\}\}|\{%[^%\n]+%\}|<%=?[^%\n]+%>|\$\{\w+\}|\[\[[^\[\]\n]+\]\]|@@[\w ]{2,}@@|%[A-Z][A-Z0-9_]{2,}%|#[A-Z][A-Z0-9_]{3,}#|__[A-Z][A-Z0-9_]{2,}__|"
     r"&lt;\w{2,}&gt;|\{\d{1,2}\}|\[(?:[A-Z][A-Z0-9]{2,20})(?: [A-Z0-9]{2,20}){0,3}\]|\[[IlL1]n[sfr]\w{1,3}[trf]\b[^\[\]\n]{3,}\n?[^\[\]\n]*\]|\b[A-Z0-9][A-Z0-9 ]{2,30} [GC]OE[S5] HERE\b|"
     r"\bY[o0]ur [a-z][a-z ]{2,30} te[xz][tfrl] h[ecora]r[ecora]\b|\{\{[\w| ]{2,}\}?(?=\s|$)")
-_PLACEHOLDER_CHARS = re.compile(r"[{}%$\[@#&<]|__| HERE|[o0]ur [a-z ]+ te[xz]")
+_PLACEHOLDER_MARKS, _PLACEHOLDER_WORDS = (*"{}%$[@#&<", "__", " HERE"), re.compile(r"[o0]ur [a-z ]+ te[xz]")
 #: What programs write when they fail, by a text that every match holds.
 _PROGRAMS = {
     "ack (m": r"\bTrace[bh]ack \(m", "Fatal": r"\bFatal error: \w", "/": r"/[a-z5]{2,6}/\w+/\w+\.(?:py|php|js|rb|java|go|p[hb]p)\b", "Error:": r"\b(?:[A-Z][a-z]+){1,3}Error:", "Exception:": r"\b(?:[A-Z][a-z]+){1,3}Exception:",
@@ -297,9 +297,13 @@ _LONG_LOREM = {x for x in _LOREM if len(x) >= 5}
 _NO_SIGNS = str.maketrans("", "", "#\x01\x02\x03\x04")
 
 
+_ONLY_LETTERS = {i: " " for i in range(128) if not chr(i).islower()}
+
+
 def repeated(text: str) -> str | None:
     """A word or a pair of words that stands three times in a row."""
-    ws = re.findall(r"[a-z]+", text.lower())
+    low = text.lower()
+    ws = low.translate(_ONLY_LETTERS).split() if low.isascii() else re.findall(r"[a-z]+", low)
     if "xxx" in text or any(map(eq, ws, ws[1:])):
         for a, b, c in zip(ws, ws[1:], ws[2:]):
             if a == b == c and len(a) > 1 and a not in ("no", "ha", "oh", "la", "hear", "very", "ja", "tic", "bang", "hurrah"):
@@ -307,6 +311,8 @@ def repeated(text: str) -> str | None:
             if len(a) > 1 and {*a} | {*b} | {*c} == {"x"}:
                 return "x"
     # three pairs in a row: four words one after another equal the ones two places on
+    if not any(map(eq, ws, ws[2:])):
+        return None
     same = [i for i, equal in enumerate(map(eq, ws, ws[2:])) if equal]
     return next((fold(ws[i] + ws[i + 1]) for i, j in zip(same, same[3:]) if j - i == 3), None)
 
@@ -329,7 +335,7 @@ def fillers(page: str) -> set[str]:
 def trusted_marks(text: str) -> set[str]:
     """What on a page is residue beyond doubt, each with its sort in front."""
     out: set[str] = set()
-    if _PLACEHOLDER_CHARS.search(text):
+    if any(map(text.__contains__, _PLACEHOLDER_MARKS)) or "ur " in text and _PLACEHOLDER_WORDS.search(text):
         out |= {"placeholder" + folded(m[0]) for m in PLACEHOLDER.finditer(text) if not re.fullmatch(r"\{[A-Z][a-z]+\}|\[\d+\]", m[0])}
     if r := repeated(text):
         out.add("repeated" + r)
