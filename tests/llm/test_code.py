@@ -239,3 +239,27 @@ def test_forest_finds_what_no_notice_says(spark, tables):
     assert {i for i in by if by[i] != "forest"} == {407}
     assert handwritten.not_written(lines.limit(0), files).count() == 0
     assert handwritten.not_written(*tables({1: ("r/a.py", "python", "x = 1")})).count() == 0
+
+
+def test_series():
+    for *lines, least in (("int a_0 = 4;", "int a_1 = 9;", "", "int a_2 = 1;", 2), ("B_0009=1", "B_0010=4", "B_0011=4", 2), ("x opRegion310 = 7", "x opReading1 = 2", "x opRegion312 = 1", 2), ("t['key.b.8'] = 1", "t['key.cd.9'] = 1", 1), ("v[8] = {}", "v[9] = {}", 1),
+                          ("row_3 = load(key_8)", "row_9 = load(key_2)", "end", "row_10 = 1", 0), ("a = 1", "a = 2", 0), ("row_1 = 1", "sum_2 = 1", 0), ("x" + "9" * 5000, "x1", 0)):
+        assert handwritten.series(lines) == least, lines
+
+
+def test_numbered_lines_are_found_whatever_the_sample(spark, tables):
+    rng = random.Random(4)
+    name = lambda: "".join(rng.choice(["load", "row", "table", "merge", "key", "sum", "next", "cell"]) for _ in range(2))
+    hand = lambda: "\n".join(x for _ in range(rng.randint(3, 9)) for x in (f"def {name()}_{rng.randint(1, 99)}({name()}, {name()}):", f"    if {name()} > {rng.randint(1, 9)}:", f"        return {name()}({name()})", ""))
+    forms = [lambda i, k: f"def get_{i}_{k}(o): return o[{rng.randint(1, 9999)}]", lambda i, k: f"KEY_{i}_{k:03d} = field('{name()}', {rng.randint(1, 9999)})", lambda i, k: f"CELL_{i}_{name()}_{k} = {rng.randint(1, 9999)}"]
+    made = lambda i: "\n".join(forms[i % 3](i, k) for k in range(rng.randint(30, 60)))
+    texts = {i: (f"r/src/h{i}.py", "python", hand()) for i in range(1, 121)} | {i: (f"r/src/m{i}.py", "python", made(i)) for i in range(200, 215)}
+    texts |= {i: (f"r/src/g{i}.py", "python", "# Code generated by x. DO NOT EDIT.\n" + hand()) for i in range(300, 306)}
+    # most of what a program numbered has no notice; one such file says that people keep it
+    texts |= {400: ("r/src/k.py", "python", "# Originally generated by a script, now kept by hand\n" + made(1))}
+    lines, files = tables(texts)
+    for sample in (12_000, 60):
+        assert {r["file_id"] for r in handwritten.not_written(lines, files, sample).collect()} == set(range(200, 215)) | set(range(300, 306)), sample
+    few = tables({1: ("r/a.py", "python", "A_1 = 1\nA_2 = 2\nA_3 = 3"), 2: ("r/b.py", "python", "\n".join(f"A_{k} = 3" for k in range(12)))})
+    share = {r["file_id"]: r["n_series_per_n_shown"] for r in handwritten.features(*few).collect()}
+    assert share[1] == 0 and share[2] > 0.9
