@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import credentials, docpairs, handwritten, mixing, packing, residue, spans, syntax
 from .common import table
+from .tokens import token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -121,12 +122,16 @@ def p5_checked(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_checked(spark: SparkSession, d: str) -> DataFrame:
-    """Of each profile, the documents placed, the tokens that aren't in their own containers, containers over their capacity, and documents cut that fit whole."""
-    placed = packing.containers(table(spark, d, "documents"), table(spark, d, "pack_sizes")).persist()
-    over = placed.groupBy("profile", "container").agg(F.sum("tokens").alias("t"), F.max("capacity").alias("c")).groupBy("profile").agg(F.count_if(F.col("t") > F.col("c")).alias("overfull"))
+    """Of each profile, the documents of which exactly the tokens, counted anew, are in its containers, containers over their capacity, and documents cut that fit whole."""
+    documents, sizes = table(spark, d, "documents"), table(spark, d, "pack_sizes")
+    placed = packing.containers(documents, sizes).persist()
+    over = placed.groupBy("profile", "capacity", "container").agg(F.sum("tokens").alias("t")).groupBy("profile", "capacity").agg(F.count_if(F.col("t") > F.col("capacity")).alias("overfull"))
     per = placed.groupBy("profile", "capacity", "doc_id").agg(F.sum("tokens").alias("t"), F.count(F.lit(1)).alias("n"))
-    of = per.groupBy("profile", "capacity").agg(F.count(F.lit(1)).alias("documents"), F.count_if((F.col("n") > 1) & (F.col("t") <= F.col("capacity"))).alias("cut"))
-    return of.join(over, "profile").select("profile", "capacity", "documents", "overfull", "cut")
+    least = F.greatest(F.lit(1), F.ceil(F.col("own") / F.col("capacity")))
+    of = (per.join(token_counts(documents).withColumnRenamed("tokens", "own"), "doc_id", "left").groupBy("profile", "capacity")
+          .agg(F.count_if((F.col("t") == F.col("own")) & (F.col("n") == least)).alias("documents"), F.count_if((F.col("n") > 1) & (F.col("t") <= F.col("capacity"))).alias("cut")))
+    every = sizes.select("profile", "capacity").distinct().join(of, ["profile", "capacity"], "left").join(over, ["profile", "capacity"], "left")
+    return every.select("profile", "capacity", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("documents", "overfull", "cut")))
 
 
 def p7_checked(spark: SparkSession, d: str) -> DataFrame:

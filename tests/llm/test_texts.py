@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from loamdex.llm import mixing, packing, residue
+from loamdex.llm import mixing, packing, queries, residue
 from loamdex.llm.tokens import VOCABULARY, encoding, token_counts
 
 DOCS = "doc_id bigint, text string, source string"
@@ -76,6 +76,25 @@ def test_containers(spark):
     assert sorted(map(tuple, packing.containers(docs(spark, rows), sizes).collect())) == sorted(map(tuple, got.itertuples(index=False)))
 
 
+def test_p6_checked_counts_only_documents_placed_whole(spark, tmp_path, monkeypatch):
+    rows = [(i, "harbor ferry " * i, "a") for i in range(1, 40)] + [(50, "harbor ferry " * 300, "a"), (51, None, "a"), (52, "", "a"), (5, "harbor ferry " * 5, "a"), (None, "x", "a")]
+    docs(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([("s", 64), ("s", 512), ("l", 512), ("l", 512)], "profile string, capacity int").write.parquet(f"{tmp_path}/pack_sizes.parquet")
+
+    def checked():
+        return sorted(map(tuple, queries.p6_checked(spark, str(tmp_path)).collect()))
+
+    # two capacities under one name are two rows, whose containers aren't added up
+    assert checked() == [("l", 512, 42, 0, 0), ("s", 64, 42, 0, 0), ("s", 512, 42, 0, 0)]
+    real = packing.containers
+    # the last piece of a long document is lost, and a short document is placed twice
+    monkeypatch.setattr(packing, "containers", lambda *a: (x := real(*a)).where("not (doc_id = 50 and tokens < capacity)").unionByName(x.where("doc_id = 1").withColumn("container", F.col("container") + 1000)))
+    assert [r[2] for r in checked()] == [40, 40, 40]
+    # nothing is placed: the profiles are still there, as in SQL
+    monkeypatch.setattr(packing, "containers", lambda *a: real(*a).limit(0))
+    assert checked() == [("l", 512, 0, 0, 0), ("s", 64, 0, 0, 0), ("s", 512, 0, 0, 0)]
+
+
 # ------------------------------------------------------------------------------------------------------------- mixing
 
 
