@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import credentials, docpairs, handwritten, mixing, packing, residue, spans, syntax
 from .common import table
-from .tokens import token_counts
+from .tokens import VOCABULARY, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -135,14 +135,27 @@ def p6_checked(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_checked(spark: SparkSession, d: str) -> DataFrame:
-    """Of each source, its documents that can be drawn, the share it has to reach, and draws over the cap or of other documents."""
+    """Of each source, its documents that can be drawn, the share it has to reach, and documents drawn over the cap or that aren't its own.
+
+    A source whose drawn tokens, counted anew, are further from its share of the largest draw than half of its longest document shows what it reached instead.
+    """
     documents, targets = table(spark, d, "documents"), table(spark, d, "mix_targets")
-    taken = mixing.draw(documents, targets).select("doc_id", "source", "times")
+    taken = mixing.draw(documents, targets).groupBy("doc_id", "source").agg(F.sum("times").alias("times")).persist()
     own = documents.where("text <> '' and source is not null").select("doc_id", "source").distinct()
     can = own.groupBy("source").agg(F.count(F.lit(1)).alias("documents"))
-    goals = targets.groupBy("source").agg(F.max("target_share").alias("target_share"), F.max("max_repeats").alias("most"))
+    goals = targets.groupBy("source").agg(F.max(F.struct("target_share", "max_repeats")).alias("g")).select("source", F.col("g.target_share").alias("target_share"), F.col("g.max_repeats").alias("most"))
     of = taken.join(own.withColumn("own", F.lit(True)), ["doc_id", "source"], "left").join(goals, "source").groupBy("source").agg(F.count_if(F.col("times") > F.col("most")).alias("over"), F.count_if(F.col("own").isNull()).alias("foreign"))
-    return goals.join(can, "source", "left").join(of, "source", "left").select("source", "target_share", F.coalesce("documents", F.lit(0)).alias("documents"), F.coalesce("over", F.lit(0)).alias("over"), F.coalesce("foreign", F.lit(0)).alias("foreign"))
+    tokens = token_counts(documents, VOCABULARY, "source").where("tokens > 0").join(taken, ["doc_id", "source"], "left").groupBy("source").agg(
+        F.sum("tokens").alias("all"), F.max("tokens").alias("longest"), F.sum(F.col("tokens") * F.coalesce("times", F.lit(0))).alias("drawn"))
+    asked = (F.col("target_share") > 0) & (F.col("most") >= 1)
+    every = Window.partitionBy()  # one row per source of the targets
+    total = F.min(F.when(asked, F.col("most") * F.col("all") / F.col("target_share"))).over(every)
+    due = F.coalesce(F.when(asked, F.col("target_share") * total), F.lit(0.0))
+    # a token more, as the shares are floating-point numbers
+    missed = F.abs(F.col("drawn") - due) > F.col("longest") / 2 + 1
+    reached = F.when(missed, F.col("drawn") / F.greatest(total, F.lit(1.0))).otherwise(F.col("target_share"))
+    return (goals.join(can, "source", "left").join(of, "source", "left").join(tokens, "source", "left")
+            .select("source", reached.alias("target_share"), *(F.coalesce(c, F.lit(0)).alias(c) for c in ("documents", "over", "foreign"))))
 
 
 def p8_checked(spark: SparkSession, d: str) -> DataFrame:

@@ -146,6 +146,34 @@ def test_better_pages_come_sooner(spark):
     assert sum(i % 2 for i in got) > 0.8 * len(got)
 
 
+def test_p7_checked_sees_shares_that_are_not_reached(spark, tmp_path, monkeypatch):
+    rng = random.Random(9)
+    rows = [(i, "goose " * rng.randint(5, 60), "abc"[i % 3]) for i in range(1, 400)] + [(1000 + i, "tar " * 20, "small") for i in range(6)] + [(2000, None, "a"), (2001, "", "a"), (2002, "x y", None), (2003, "x y", "untargeted")]
+    docs(spark, [*rows, rows[0]]).write.parquet(f"{tmp_path}/documents.parquet")
+    goals = [("a", 0.3, 4), ("b", 0.3, 2), ("c", 0.35, 2), ("small", 0.05, 3), ("absent", 0.1, 2), ("never", 0.0, 2), ("unset", None, 2), ("b", 0.3, 2)]
+    spark.createDataFrame(goals, "source string, target_share double, max_repeats int").write.parquet(f"{tmp_path}/mix_targets.parquet")
+    n = {"a": 133, "b": 133, "c": 133, "small": 6}
+    good = {s: (share, n.get(s, 0), 0, 0) for s, share, _ in goals}
+
+    def checked():
+        got = queries.p7_checked(spark, str(tmp_path)).collect()
+        assert len(got) == len(good)
+        return {r[0]: tuple(r[1:]) for r in got}
+
+    assert checked() == good
+    real = mixing.draw
+    # every second page of a source isn't drawn
+    monkeypatch.setattr(mixing, "draw", lambda *a: real(*a).where("source <> 'b' or doc_id % 2 = 0"))
+    got = checked()
+    assert got.pop("b")[0] < 0.2 and got == {k: v for k, v in good.items() if k != "b"}
+    # nothing is drawn
+    monkeypatch.setattr(mixing, "draw", lambda *a: real(*a).limit(0))
+    assert {s: r[0] for s, r in checked().items()} == {s: share if s in ("absent", "never", "unset") else 0.0 for s, share, _ in goals}
+    # a page over its cap in two rows
+    monkeypatch.setattr(mixing, "draw", lambda *a: (x := real(*a)).unionByName(x.where("doc_id = 1000")))
+    assert checked()["small"][2] == 1
+
+
 # ------------------------------------------------------------------------------------------------------------ residue
 
 NEWS = "The harbour board praised several broken windows.\nWheat 12s., barley 8s., oats 4s. the quarter."
